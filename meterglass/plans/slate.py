@@ -1,0 +1,4 @@
+"""All queries over the usage operators, with the SQL that must give the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
