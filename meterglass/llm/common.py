@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once inside an Arrow batch.
 SLICE_BYTES = 4 << 20
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plus(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df with more columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. A local one is set only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
     sent = [spark.sparkContext.broadcast(shard) for shard in benchmark_shards(benchmark, size)]
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields])
+    schema = common.plus(docs, ADDED)
     types = to_arrow_schema(T.StructType.fromDDL(ADDED))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,3 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
 
     out = docs.mapInArrow(scanned, schema)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+
+
+def items_digest(items: str = "items") -> Column:
+    """SHA-256 of the sorted item ids, joined with commas."""
+    return F.sha2(F.array_join(items, ",").cast("binary"), 256)

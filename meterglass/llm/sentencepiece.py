@@ -16,7 +16,6 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from . import common
 
@@ -265,7 +264,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pieces], [*batch.schema.names, "pieces"])
 
-    return docs.mapInArrow(encoded, docs.schema.add("pieces", T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(encoded, common.plus(docs, "pieces array<int>"))
 
 
 def decode(rows: DataFrame, model: str, pieces: str = "pieces", to: str = "decoded") -> DataFrame:
@@ -279,4 +278,4 @@ def decode(rows: DataFrame, model: str, pieces: str = "pieces", to: str = "decod
             texts = [unigram.decode(p.values.to_pylist() if p.is_valid else []) for p in batch.column(batch.schema.get_field_index(pieces))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
-    return rows.mapInArrow(decoded, rows.schema.add(to, "string"))
+    return rows.mapInArrow(decoded, common.plus(rows, f"{to} string"))

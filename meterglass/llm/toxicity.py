@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             values = sent.value.scores(*common.utf8(batch.column(batch.schema.get_field_index(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(scored, docs.schema.add("score", "double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.mapInArrow(scored, common.plus(docs, "score double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(key: str = "doc_id") -> Column:
