@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, sentencepiece, token_counts, toxicity
+from . import dart_minhash, decontamination, sentencepiece, token_counts, toxicity
 from .common import table
 
 
@@ -30,11 +30,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("pieces_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op6_sentencepiece, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op6_sentencepiece, op9_dart_minhash, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
