@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontamination, sentencepiece, token_counts, toxicity
+from . import dart_minhash, decontamination, licenses, secrets, sentencepiece, token_counts, toxicity
 from .common import table
 
 
@@ -22,6 +22,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    base = secrets.listed(F.filter("secrets", lambda x: x["kind"] < 3))
+    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,5 +51,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op6_sentencepiece, op9_dart_minhash, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_secrets, op5_licenses, op6_sentencepiece, op9_dart_minhash, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
