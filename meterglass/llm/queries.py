@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontamination, licenses, secrets, sentencepiece, token_counts, toxicity
+from . import dart_minhash, decontamination, licenses, secrets, sentencepiece, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -41,6 +41,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("pieces_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.col("n_bytes") - F.length("kept")
+    return rows.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
@@ -51,5 +57,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_secrets, op5_licenses, op6_sentencepiece, op9_dart_minhash, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_secrets, op5_licenses, op6_sentencepiece, op8_suffix_dedup, op9_dart_minhash, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
