@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontamination, licenses, secrets, sentencepiece, suffix_dedup, token_counts, toxicity
+from . import chat, dart_minhash, decontamination, licenses, permutation_index, secrets, sentencepiece, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontamination.items_digest().alias("items_sha256"), "contaminated")
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out())
@@ -41,6 +46,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("pieces_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.repair(table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", "role", "action", F.array_join("inserted", ",").alias("inserted"), "rendered")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = F.col("n_bytes") - F.length("kept")
@@ -57,5 +67,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_secrets, op5_licenses, op6_sentencepiece, op8_suffix_dedup, op9_dart_minhash, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_permutation_index, op3_toxicity, op4_secrets, op5_licenses, op6_sentencepiece, op7_chat, op8_suffix_dedup, op9_dart_minhash, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
