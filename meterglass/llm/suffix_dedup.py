@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,58 +25,41 @@ from .dart_minhash import _RANDOM, _powers
 GRAM = 40
 #: Cuts in a shard, about, and at most of one anchor.
 SHARD_CUTS = 3_000
+BASE = 0x5851F42D4C957F2D
+#: Bits of a place within a slice of text; longer slices than this are refused.
+PLACE_BITS = 30
 #: Bits of a text position within a shard; a shard's text must be shorter.
 BITS = 21
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the grams that are the leftmost least-hashed of some `least` bytes inside a text; and all hashes."""
-    n = data.size - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    base = 0x5851F42D4C957F2D
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[data] * _powers(base, data.size), dtype=np.uint64)])
-    h = common.mix((total[GRAM:] - total[:-GRAM]) * _powers(pow(base, -1, 1 << 64), n))
-    width = least - GRAM + 1
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Hash and place of each anchor, the first and last window of `least` bytes that it anchors, and the cut's hash.
+
+    A window's anchor is the leftmost of its grams with the least (upper bits of the) hash, so equal windows have
+    equal anchors at equal distance. The cut runs from the first window's start to the last one's end.
+    """
+    none = np.zeros(0, np.int64)
+    n, width = data.size - GRAM + 1, least - GRAM + 1
     starts = np.flatnonzero(np.arange(data.size) + least <= np.repeat(offsets[1:], np.diff(offsets)))
     if not starts.size:
-        return np.zeros(0, np.int64), h
-    # least of each window of `width` hashes: of a block's rest and the next block's beginning
+        return (none,) * 5
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[data] * _powers(BASE, data.size), dtype=np.uint64)])
+    back = _powers(pow(BASE, -1, 1 << 64), n)
+    h = common.mix((total[GRAM:] - total[:-GRAM]) * back)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    # least of each window of `width` grams: of a block's rest and the next block's beginning; places break ties
     blocks = -(-n // width) + 1
     padded = np.full(blocks * width, np.iinfo(np.uint64).max)
-    padded[:n] = h
+    padded[:n] = (h & ~mask) | np.arange(n, dtype=np.uint64)
     grid = padded.reshape(blocks, width)
     ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     behind = np.minimum.accumulate(grid, axis=1).reshape(-1)
-    low = np.minimum(ahead[starts], behind[starts + width - 1])
-    # leftmost place of it: the first from the start on whose hash equals the least; equal leasts stay together
-    change = np.concatenate([[True], (low[1:] != low[:-1]) | (np.diff(starts) > 1)])
-    out = []
-    todo, want = starts[change], low[change]
-    place = np.full(todo.size, -1)
-    for d in range(width):
-        left = np.flatnonzero(place < 0)
-        if not left.size:
-            break
-        hit = h[np.minimum(todo[left] + d, n - 1)] == want[left]
-        place[left[hit]] = todo[left[hit]] + d
-    out.append(place[place >= 0])
-    # where one gram recurs, a later window of the same least may begin after its first place
-    run = np.cumsum(change) - 1
-    late = np.flatnonzero(starts > place[run])
-    while late.size:
-        first = late[np.concatenate([[True], run[late[1:]] != run[late[:-1]]])]
-        nxt = starts[first].copy()
-        open_ = np.ones(first.size, bool)
-        for _ in range(width):
-            open_ &= h[np.minimum(nxt, n - 1)] != low[first]
-            if not open_.any():
-                break
-            nxt[open_] += 1
-        out.append(nxt)
-        place[run[first]] = nxt
-        late = late[starts[late] > place[run[late]]]
-    return np.unique(np.concatenate(out)), h
+    place = (np.minimum(ahead[starts], behind[starts + width - 1]) & mask).astype(np.int64)
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    first, last = starts[new], starts[np.concatenate([new[1:], [True]])]
+    place = place[new]
+    cut = common.mix((total[last + least] - total[first]) * back[first]) ^ common.mix(((last - first) << 8 | (place - first)).astype(np.uint64))
+    return h[place], place, first, last, cut
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -200,52 +183,65 @@ def runs(start: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + least) for p in np.split(start, gap)]
 
 
+def row_hash(key: str, text: str) -> Column:
+    """64 bits that stand for a row; rows with equal bits are taken for copies of each other."""
+    return F.xxhash64(key, text)
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:
-    """(id, h, spans): for each document with any, the maximal runs of bytes (start, end) that repeated strings cover.
+    """(h, spans): for each row_hash with any, the maximal runs of bytes (start, end) that repeated strings cover.
 
-    h is a hash of the text: rows of a repeated id but other text are different documents. Rows that are wholly equal
-    are told by count(*) of (id, h) and are left to the caller. Nothing crosses a text's end; null is empty.
+    Rows that are wholly equal count as so many places. Nothing crosses a text's end; null is empty.
     """
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where(f"octet_length(text) >= {least}")
+    rows = docs.select(row_hash(key, text).alias("h"), F.col(text).alias("text")).where(f"octet_length(text) >= {least}")
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            data, offsets = common.utf8(batch.column(2))
-            place, h = anchors(data, offsets, least)
+            data, offsets = common.utf8(batch.column(1))
+            h, place, first, last, cut = anchors(data, offsets, least)
+            a = pa.array(h.view(np.int64))
+            if not whole:
+                yield pa.RecordBatch.from_arrays([a], ["a"])
+                continue
             row = np.searchsorted(offsets, place, side="right") - 1
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((place - offsets[row]).astype(np.int32))], ["a", "id", "h", "at"])
-
-    spotted = rows.mapInArrow(found, f"a long, id {dict(rows.dtypes)['id']}, h long, at int")
-    often = spotted.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    places = spotted.join(often, "a").groupBy("id", "h").agg(F.collect_set(F.struct("a", "at")).alias("places"))
-    reach = least - GRAM
-    with_text = rows.join(places, ["id", "h"]).select("id", "h", "text", "places")
+            packed = (place - offsets[row]) << 16 | (place - first) << 8 | (last - place + least - GRAM)
+            yield pa.RecordBatch.from_arrays([a, pa.array(cut.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(packed)], ["a", "c", "h", "at"])
+
+    # two scans, the first for the anchors alone: cheaper than keeping all places of anchors met once
+    often = rows.mapInArrow(lambda x: found(x, False), "a long").groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
+    flagged = common.cut(rows.mapInArrow(lambda x: found(x, True), "a long, c long, h long, at long").join(often, "a"))
+    equal = flagged.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("h", "at")).alias("one"))
+    unlike = equal.groupBy("a").agg(F.count("*").alias("m"))
+    equal = common.cut(equal.join(unlike, "a"))
+    # an anchor with one cut, met several times: all of it is repeated; cuts that differ are compared below
+    same = equal.where("m = 1").select("a", "c", F.col("one.at").alias("at"))
+    same = same.select("a", "c", (-F.shiftright("at", 8).bitwiseAND(255)).cast("int").alias("low"), (F.col("at").bitwiseAND(255) + GRAM).cast("int").alias("high"))
+    places = equal.where("m > 1").groupBy("one.h").agg(F.collect_list(F.struct("a", "c", "n", "m", F.col("one.at").alias("at"))).alias("places"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 1 << 20):
-            data, offsets = common.utf8(batch.column(2))
-            raw, lists = data.tobytes(), batch.column(3)
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.combine_chunks()
-            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
-            a, at = lists.flatten().field("a"), lists.flatten().field("at").to_numpy().astype(np.int64)
-            low, high = np.maximum(at - reach, 0), np.minimum(at + least, (offsets[1:] - offsets[:-1])[row])
-            cuts = [raw[s:e] for s, e in zip((offsets[:-1][row] + low).tolist(), (offsets[:-1][row] + high).tolist(), strict=True)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), a, pa.array(at.astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array(cuts, pa.binary())], ["id", "h", "a", "at", "before", "cut"])
-
-    cuts = common.cut(with_text.mapInArrow(cut_out, f"id {dict(rows.dtypes)['id']}, h long, a long, at int, before int, cut binary").withColumn("c", F.xxhash64("cut", "before")))
-    distinct = common.cut(cuts.groupBy("a", "before", "cut", "c").agg(F.count("*").alias("n")))
-    shards = max(1, distinct.count() // SHARD_CUTS)
-    hot = distinct.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > 2 * SHARD_CUTS).withColumn("parts", F.ceil(F.col("m") / SHARD_CUTS).cast("int"))
-    cool = distinct.join(hot.select("a"), "a", "left_anti").select("*", F.concat_ws(":", F.pmod("a", F.lit(shards))).alias("shard"), F.lit(0).alias("side"))
-    part = F.pmod(F.xxhash64("cut"), F.col("parts")).cast("int")
-    dealt = distinct.join(hot.select("a", "parts"), "a").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("a", "before", "cut", "c", "n", F.concat_ws(":", "a", F.least("part", "other"), F.greatest("part", "other")).alias("shard"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+            data, offsets = common.utf8(batch.column(1))
+            raw, lists = data.tobytes(), batch.column(2)
+            flat = lists.flatten()
+            at = flat.field("at").to_numpy()
+            begin = offsets[:-1][np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())] + (at >> 16)
+            before, after = at >> 8 & 255, (at & 255) + GRAM
+            cuts = [raw[s:e] for s, e in zip((begin - before).tolist(), (begin + after).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in "acnm"), pa.array(before.astype(np.int32)), pa.array(cuts, pa.binary())], ["a", "c", "n", "m", "before", "cut"])
+
+    texts = rows.join(places, "h").select("h", "text", "places")
+    distinct = texts.mapInArrow(cut_out, "a long, c long, n long, m long, before int, cut binary")
+    shards = max(1, equal.where("m > 1").count() // SHARD_CUTS)
+    parts = F.ceil(F.col("m") / SHARD_CUTS).cast("int")
+    part = F.pmod(F.col("c"), parts).cast("int")
+    hot = F.col("m") > 2 * SHARD_CUTS
+    dealt = distinct.select("*", part.alias("part"), F.explode(F.when(hot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))).alias("other"))
+    shard = F.when(hot, F.concat_ws(":", "a", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.pmod("a", F.lit(shards)).cast("string"))
+    dealt = dealt.select("a", "c", "n", "before", "cut", shard.alias("shard"), (hot & (F.col("part") > F.col("other"))).cast("int").alias("side"))
 
     def judged(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["a", "c"], ignore_index=True)
+        # equal rows have given their cuts several times
+        shard = shard.drop_duplicates(["a", "c", "side"]).sort_values(["a", "c"], ignore_index=True)
         pair = shard["shard"].iloc[0].split(":")
         if len(pair) == 3 and pair[1] != pair[2]:
             sides = [shard[shard["side"] == k].reset_index(drop=True) for k in (0, 1)]
@@ -262,9 +258,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
                     out += [(side["a"][i], side["c"][i], s - side["before"][i], e - side["before"][i]) for s, e in runs(starts, least)]
         return pd.DataFrame(out, columns=["a", "c", "low", "high"])
 
-    spans = cool.unionByName(dealt).groupBy("shard").applyInPandas(judged, "a long, c long, low int, high int")
-    placed = cuts.drop("cut").join(spans, ["a", "c"]).select("id", "h", F.struct((F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("end")).alias("span"))
-    return placed.groupBy("id", "h").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    compared = dealt.groupBy("shard").applyInPandas(judged, "a long, c long, low int, high int")
+    start = F.shiftright("at", 16).cast("int")
+    placed = flagged.join(same.unionByName(compared), ["a", "c"]).select("h", F.struct((start + F.col("low")).alias("start"), (start + F.col("high")).alias("end")).alias("span"))
+    return placed.groupBy("h").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -284,14 +281,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     overlapping occurrences count, and strings are judged on the input. Null counts as empty; shorter texts stay whole.
     Rows that are equal in key and text are copies of each other: both go. Null keys are allowed.
     """
-    whole = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
-    copies = whole.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.lit(True).alias("copied"))
-    spans = repeated(docs, key, text, least).withColumnsRenamed({"id": "id1", "h": "h1"})
-    rows = whole.join(spans, F.col("id").eqNullSafe(F.col("id1")) & (F.col("h") == F.col("h1")), "left")
-    rows = rows.join(copies, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    size = F.octet_length("text")
-    all_of_it = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
-    rows = rows.select("id", "text", F.when(F.col("copied") & (size >= least), all_of_it).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))).alias("spans"))
+    rows = docs.select(F.col(key).alias("id"), row_hash(key, text).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.join(repeated(docs, key, text, least), "h", "left")
+    rows = rows.select("id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
