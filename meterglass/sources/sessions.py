@@ -1,0 +1,34 @@
+"""Session exports: one row a session, and its messages' times in another table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+
+
+def from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages in the shape of the export, derived from the events table."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    sessions = events.groupBy(F.col("user_id").alias("id")).agg(F.min(seconds).alias("started_at"), (F.sum(F.floor("value")) - 1500).alias("input_tokens"), F.lit(None).cast("string").alias("source"))
+    return sessions, events.where("user_id % 7 <> 0").select(F.col("user_id").alias("session_id"), seconds.alias("timestamp"))
+
+
+def with_activity(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Adds active_at: the time of the last message, or of the start where there is none."""
+    last = messages.groupBy(F.col("session_id").alias("id")).agg(F.max("timestamp").alias("last"))
+    return sessions.join(last, "id", "left").withColumn("active_at", F.coalesce("last", "started_at")).drop("last")
+
+
+def normalised(sessions: DataFrame) -> DataFrame:
+    """Adds the record's fields and skip_reason. Sessions are cumulative: a later read replaces the record."""
+    agent = F.when(F.coalesce(F.trim("source"), F.lit("")) == "", "unknown").otherwise(F.col("source"))
+    counters = [c for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens") if c in sessions.columns]
+    negative = F.least(*(F.coalesce(c, F.lit(0)) for c in counters)) if len(counters) > 1 else F.coalesce(counters[0], F.lit(0))
+    created = X.seconds_to_ms(F.col("started_at"))
+    reason = F.when(created.isNull(), "time_invalid").when(negative < 0, "tokens_negative")
+    return sessions.withColumns({
+        "message_id": F.col("id").cast("string"), "session_id": F.col("id").cast("string"), "granularity": F.lit("session"), "time_created_utc": created, "source_time_updated": X.seconds_to_ms(F.col("active_at")),
+        "tok_input": F.coalesce("input_tokens", F.lit(0)), "agent_raw": agent, "agent_key": X.agent_key(agent), "is_incomplete": F.lit(False), "skip_reason": reason,
+    })
