@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-USAGE = T.StructType.fromDDL(
-    "host_id string, source string, granularity string, message_id string, session_id string, time_created_utc bigint, time_completed_utc bigint, "
-    "source_time_updated bigint, origin string, origin_priority int, agent_raw string, agent_key string, provider_id string, model_id string, variant string, "
-    "tok_input bigint, tok_output bigint, tok_reasoning bigint, tok_cache_read bigint, tok_cache_write bigint, cost double, cost_source string, is_incomplete boolean, project_dir string"
-)
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+USAGE = T.StructType([
+    T.StructField(*(lambda name, kind: (name, _TYPES[kind]))(*column.split()))
+    for column in (
+        "host_id string", "source string", "granularity string", "message_id string", "session_id string", "time_created_utc bigint", "time_completed_utc bigint",
+        "source_time_updated bigint", "origin string", "origin_priority int", "agent_raw string", "agent_key string", "provider_id string", "model_id string", "variant string",
+        "tok_input bigint", "tok_output bigint", "tok_reasoning bigint", "tok_cache_read bigint", "tok_cache_write bigint", "cost double", "cost_source string", "is_incomplete boolean", "project_dir string",
+    )
+])
 KEY = ("host_id", "source", "message_id")
 TOKENS = ("tok_input", "tok_output", "tok_reasoning", "tok_cache_read", "tok_cache_write")
 BILLABLE = ("tok_input", "tok_output", "tok_cache_read", "tok_cache_write")

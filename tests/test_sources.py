@@ -1,0 +1,158 @@
+"""Adapters, merging and streaming on small hand-made inputs."""
+
+import json
+from itertools import permutations
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterglass.operators import coverage, merge, pricing
+from meterglass.schema import USAGE, SchemaMismatch, checked
+from meterglass.sources import applog, lines, messages, prices, rollouts, transcripts, wire
+from meterglass.streaming import ingest
+
+
+def usage_row(**changed):
+    row = {
+        "host_id": "h", "source": "s", "granularity": "message", "message_id": "m", "session_id": "x", "time_created_utc": 1, "time_completed_utc": None, "source_time_updated": 5, "origin": "live", "origin_priority": 3, "agent_raw": "", "agent_key": "",
+        "provider_id": "p", "model_id": "q", "variant": None, "tok_input": 1, "tok_output": 2, "tok_reasoning": 0, "tok_cache_read": 0, "tok_cache_write": 0, "cost": None, "cost_source": "unavailable", "is_incomplete": False, "project_dir": "",
+    }
+    return row | changed
+
+
+def usage(spark, *rows):
+    return spark.createDataFrame([tuple(r[f.name] for f in USAGE) for r in rows], USAGE)
+
+
+def test_line_numbers_count_blank_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(f'{{"n":{i}}}' if i % 3 else "" for i in range(1, 200)) + "\n")
+    rows = lines.read(spark, str(tmp_path)).where("value <> ''").collect()
+    assert rows and all(json.loads(r.value)["n"] == r.line for r in rows)
+
+
+def rollout_file(events):
+    return "\n".join(json.dumps(e) for e in events)
+
+
+def counters(*v):
+    return dict(zip(("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens"), v, strict=True))
+
+
+def token_event(total, last=None):
+    info = {"total_token_usage": counters(*total)} | ({"last_token_usage": counters(*last)} if last else {})
+    return {"timestamp": "2026-07-01T00:00:00Z", "type": "event_msg", "payload": {"type": "token_count", "info": info}}
+
+
+def test_rollout_counters(spark, tmp_path):
+    events = [
+        {"timestamp": "2026-07-01T00:00:00Z", "type": "session_meta", "payload": {"id": "sess", "model_provider": "acme"}}, {"timestamp": "2026-07-01T00:00:00Z", "type": "turn_context", "payload": {"model": "ns.big", "cwd": "/w"}},
+        token_event((100, 20, 10, 30, 12), (100, 20, 10, 30, 12)), token_event((150, 30, 15, 50, 20), (7, 3, 2, 5, 2)), token_event((150, 30, 15, 50, 20), (7, 3, 2, 5, 2)), token_event((1, 1, 1, 1, 1)),
+    ]
+    (tmp_path / "good.jsonl").write_text(rollout_file(events))
+    (tmp_path / "bad.jsonl").write_text(rollout_file(events) + "\nnot json\n")
+    got = rollouts.records(lines.parsed(lines.read(spark, str(tmp_path)))).orderBy("line").collect()
+    assert [(r.line, r.tok_input, r.tok_cache_read, r.tok_cache_write, r.tok_output, r.tok_reasoning, r.is_incomplete, r.regressed) for r in got] == [
+        (3, 100, 20, 10, 30, 12, False, False), (4, 7, 3, 2, 5, 2, False, False), (5, 0, 0, 0, 0, 0, True, False), (6, 0, 0, 0, 0, 0, True, True),
+    ]
+    assert {(r.session_id, r.provider_id, r.model_id, r.project_dir) for r in got} == {("sess", "ns", "big", "/w")}
+
+
+def test_transcript_winner_in_any_order(spark):
+    def answer(n, out, side=False, speed=None):
+        use = {"input_tokens": 1, "output_tokens": out, "cache_creation": {"ephemeral_5m_input_tokens": 2, "ephemeral_1h_input_tokens": 3}} | ({"speed": speed} if speed else {})
+        return (f"f{n}", n, json.dumps({"type": "assistant", "timestamp": "2026-07-01T00:00:00Z", "sessionId": "s", "requestId": "r", "isSidechain": side, "message": {"id": "a", "model": "m", "usage": use}}))
+
+    rows = [answer(1, 50, side=True), answer(2, 9), answer(3, 10), answer(4, 10, speed="fast")]
+    for order in list(permutations(rows))[::6]:
+        df = lines.parsed(spark.createDataFrame([*order, ("f9", 9, "broken")], "path string, line int, value string"))
+        got = transcripts.records(df).collect()
+        assert [(r.message_id, r.line, r.tok_cache_write) for r in got] == [("a#r", 4, 5)]
+    assert transcripts.diagnostics(transcripts.records(df)).first().long_cache_tokens == 3
+
+
+def test_legacy_documents(spark):
+    docs = [("/d/storage/message/s1/m1.json", json.dumps({"role": "assistant", "tokens": {"input": 3}, "time": {"created": 5}, "variant": "x"})), ("/d/storage/message/s1/m2.json", json.dumps({"role": "assistant", "tokens": {}}))]
+    got = {r.message_id: r for r in messages.legacy(spark.createDataFrame(docs, "path string, value string")).collect()}
+    assert got["m1"].session_id == "s1" and got["m1"].variant is None and got["m1"].source_time_updated == 5 and got["m1"].skip_reason is None
+    assert got["m2"].skip_reason == "time_missing"
+
+
+def test_wire_round_trip(spark):
+    rows = usage(spark, usage_row(), usage_row(message_id="n", source="other", cost=0.5, cost_source="actual"))
+    body = [r.value for r in wire.lines(rows).collect()]
+    head = json.dumps({"protocol_version": 1, "machine_id_hash": "abc", "sources": [{"source": "s"}]})
+    batch = spark.createDataFrame([(i + 1, v) for i, v in enumerate([head, *body])], "line int, value string")
+    assert [tuple(r) for r in wire.decode(batch, "abc", "s").collect()] == [tuple(r) for r in rows.where("source = 's'").collect()]
+    with pytest.raises(wire.RejectedBatch):
+        wire.decode(batch, "other", "s")
+
+
+def test_log_entries(spark):
+    df = spark.createDataFrame([('{"timestamp":"1","level":"WARN","message":"a"}',), ("noise",), ('{"timestamp":"2","level":"odd"}',), ('{"timestamp":"3","level":"info"}',)], "value string")
+    assert [r.timestamp for r in applog.newest(applog.entries(df), 10, "timestamp").collect()] == ["3", "1"]
+    assert applog.at_least(applog.entries(df), "warn").count() == 1
+
+
+def test_prices(spark, tmp_path):
+    entry = {"provider_id": "p", "model_id": "m-20250101", "input_per_mtok": 5, "output_per_mtok": 25, "cache_read_per_mtok": 0.5, "cache_write_per_mtok": 6.25, "note": "kept"}
+    (tmp_path / "p.json").write_text(json.dumps({"schema_version": 1, "entries": [entry, entry | {"model_id": "m-20250929"}, entry | {"model_id": "m-20251101"}]}))
+    catalog = prices.read(spark, str(tmp_path / "p.json"))
+    assert "kept" in catalog.first().raw
+    pairs = spark.createDataFrame([("p", "m-20251001"), ("P", "m-20250101"), ("x", "m")], "provider_id string, model_id string")
+    got = {r.model_id: r.kind for r in pricing.match(pairs, catalog).collect()}
+    assert got == {"m-20251001": "family", "m-20250101": "normalized", "m": "crossProvider"}
+    path = prices.write(catalog, str(tmp_path / "out"), 2)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(pricing.InvalidPrices):
+        pricing.checked_catalog(catalog.withColumn("input_per_mtok", F.lit(-1.0)))
+    cost = spark.createDataFrame([(1_000_000, 250_000, 4_000_000, 500_000, 5.0, 25.0, 0.5, 6.25)], "tok_input long, tok_output long, tok_cache_read long, tok_cache_write long, input_per_mtok double, output_per_mtok double, cache_read_per_mtok double, cache_write_per_mtok double")
+    assert cost.select(pricing.estimate()).first()[0] == pytest.approx(16.375)
+
+
+def test_winner_is_the_sequential_fold_in_any_order(spark):
+    rows = [(3, 5), (2, 9), (3, 5), (1, 99), (3, 4)]
+    for order in list(permutations(range(5)))[::17]:
+        arrivals = spark.createDataFrame([("k", *rows[i], n, i) for n, i in enumerate(order)], "k string, origin_priority int, source_time_updated long, arrival_seq long, i int")
+        held = None
+        for n, i in enumerate(order):
+            if held is None or rows[i] >= rows[held]:
+                held = i
+        assert merge.winners(arrivals, "k").first().i == held
+        assert merge.changed(arrivals, "k").where("changed").orderBy(F.desc("arrival_seq")).first().i == held
+
+
+def test_rounds(spark, tmp_path):
+    folder = str(tmp_path / "archive")
+    seq = lambda df, n: df.withColumn("arrival_seq", F.lit(n).cast("bigint"))
+    ingest.publish(seq(usage(spark, usage_row(), usage_row(message_id="old")), 0), folder, 0)
+    ingest.publish(seq(usage(spark, usage_row(tok_input=9, source_time_updated=6), usage_row(message_id="old", origin="bak", origin_priority=2, source_time_updated=99)), 1), folder, 1)
+    got = {r.message_id: (r.tok_input, r.origin) for r in ingest.archive(spark, folder).collect()}
+    assert got == {"m": (9, "live"), "old": (1, "live")}
+    ingest.publish(seq(usage(spark, usage_row(tok_input=1, source_time_updated=7)), 1), folder, 1)  # told again: nothing happens
+    assert ingest.archive(spark, folder).where("message_id = 'm'").first().tok_input == 9
+    with pytest.raises(merge.RejectedRound):
+        ingest.publish(seq(usage(spark, usage_row(tok_output=-1)), 2), folder, 2)
+    assert ingest.archive(spark, folder).count() == 2
+    _, bad = merge.validated(usage(spark, usage_row(message_id=" "), usage_row()), strict=False)
+    assert bad.count() == 1
+    with pytest.raises(SchemaMismatch):
+        checked(spark.range(1))
+
+
+def test_stream_into_the_archive(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "archive")
+    for n, late in enumerate((usage_row(), usage_row(tok_input=7, source_time_updated=9))):
+        usage(spark, late).withColumn("arrival_seq", F.lit(n).cast("bigint")).write.mode("append").parquet(source)
+        schema = spark.read.parquet(source).schema
+        query = ingest.stream(spark.readStream.schema(schema).parquet(source), folder, str(tmp_path / "check"))
+        query.awaitTermination(120)
+    assert [r.tok_input for r in ingest.archive(spark, folder).collect()] == [7]
+
+
+def test_coverage_none_differs_from_idle(spark):
+    buckets = spark.createDataFrame([(0, 10, "a"), (10, 20, "b"), (20, 30, "c"), (30, 30, "d")], "bucket_start long, bucket_end long, label string")
+    spans = spark.createDataFrame([("h", "s", "live", 0, 5), ("h", "s", "bak", 5, 12), ("h", "t", "live", 0, 10), ("h", "s", "bak", 50, 40)], "host_id string, source string, origin string, interval_start long, interval_end long")
+    got = {r.label: r.coverage for r in coverage.status(buckets, spans).collect()}
+    assert got == {"a": "full", "b": "partial", "c": "none", "d": "none"}
+    series = coverage.status(buckets, spans).withColumn("n", F.lit(None).cast("long"))
+    assert {r.label: r.n for r in coverage.masked(series, "n").collect()} == {"a": 0, "b": 0, "c": None, "d": None}
