@@ -82,7 +82,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_
     nth = F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("id"))
     posted = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("id", "v")
     sample = posted.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h", "v").limit(PIVOTS).collect()  # of bounded size
-    pivots = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1)
+    pivots = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), size["d"] if size else 1)
     pivots /= np.maximum(np.sqrt((pivots * pivots).sum(axis=1, keepdims=True)), 1e-300)
     sent = spark.sparkContext.broadcast(pivots)
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()

@@ -197,7 +197,7 @@ class Unigram:
         """Piece ids of all texts in one array, and where each text's ids end."""
         if len(self.index) > REMEMBERED:
             self.forget()
-        chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        chunks = [CHUNK.findall(" " + t.replace(MARKER, " ")) if t else [] for t in texts]
         counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
         which = np.fromiter(map(self.index.get, chain.from_iterable(chunks), repeat(-1)), np.int64, int(counts.sum()))
         missing = np.flatnonzero(which < 0)
