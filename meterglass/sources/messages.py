@@ -28,15 +28,18 @@ def skip_reason() -> Column:
 def normalised(rows: DataFrame, data: str = "data") -> DataFrame:
     """Adds the record's fields and skip_reason to rows with a JSON document each. Wrong types count as absent."""
     rows = rows.withColumn("v", F.try_parse_json(data)).withColumn("skip_reason", skip_reason())
-    count = lambda path: X.lossy_count(at(f"tokens.{path}"))
+    counters = {"input": "_in", "output": "_out", "reasoning": "_why", "cache.read": "_read", "cache.write": "_write"}
+    # each value is taken out of the document once, and looked at several times
+    rows = rows.withColumns({c: at(f"tokens.{path}") for path, c in counters.items()} | {"_cost": at("cost")})
+    count = lambda path: X.lossy_count(F.col(counters[path]))
     either = lambda name: F.coalesce(X.text_or_number(at(name)), X.text_or_number(at(f"model.{name}")))
     fields = {"provider_id": either("providerID"), "model_id": either("modelID"), "tok_input": count("input"), "tok_output": count("output"), "tok_reasoning": count("reasoning"), "tok_cache_read": count("cache.read"), "tok_cache_write": count("cache.write")}
-    cost = X.lossy_double(at("cost"))
+    cost = X.lossy_double(F.col("_cost"))
     rows = rows.withColumns(fields | {"time_created_utc": X.lossy_bigint(at("time.created")), "time_completed_utc": X.lossy_bigint(at("time.completed")), "time_updated": X.lossy_bigint(at("time.updated")), "cost": F.when(cost > 0, cost), "agent_raw": F.coalesce(X.text_or_number(at("agent")), X.text_or_number(at("mode")), F.lit("")), "variant": X.text_or_number(at("variant")), "project_dir": F.coalesce(X.text_or_number(at("path.cwd")), F.lit(""))})
     return rows.withColumns({
         "agent_key": X.agent_key(F.col("agent_raw")), "cost_source": F.when(F.col("cost").isNotNull(), "actual").otherwise("unavailable"),
         "is_incomplete": (X.all_tokens() == 0) & F.col("time_completed_utc").isNull(),
-    }).drop("v")
+    }).drop("v", "_cost", *counters.values())
 
 
 def legacy(files: DataFrame) -> DataFrame:
