@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pivots: the distinct vectors of least hash. How many of them represent a vector.
-PIVOTS, NEAREST = 512, 256
+PIVOTS, NEAREST = 512, 192
 #: Rows of a shard and queries of a group, about; the share of a shard that is ranked again.
 SHARD, QUERIES, SHARE = 8_192, 32_768, 12
 
