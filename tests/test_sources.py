@@ -156,3 +156,16 @@ def test_coverage_none_differs_from_idle(spark):
     assert got == {"a": "full", "b": "partial", "c": "none", "d": "none"}
     series = coverage.status(buckets, spans).withColumn("n", F.lit(None).cast("long"))
     assert {r.label: r.n for r in coverage.masked(series, "n").collect()} == {"a": 0, "b": 0, "c": None, "d": None}
+
+
+def test_deltas_across_micro_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "path string, line long, total long"
+    for rows in ([("a", 1, 10), ("a", 2, 25), ("b", 1, 4)], [("a", 3, 20), ("a", 4, 30), ("b", 2, 9)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = ingest.stream_deltas(spark.readStream.schema(schema).parquet(source))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted((r.path, r.line, r.delta) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1, 10), ("a", 2, 15), ("a", 3, 0), ("a", 4, 10), ("b", 1, 4), ("b", 2, 5)]
