@@ -208,7 +208,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
             yield pa.RecordBatch.from_arrays([a, pa.array(cut.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(packed)], ["a", "c", "h", "at"])
 
     # two scans, the first for the anchors alone: cheaper than keeping all places of anchors met once
-    often = rows.mapInArrow(lambda x: found(x, False), "a long").groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
+    # written, so that Spark can split what it joins: one anchor may have a third of all places
+    often = common.cut(rows.mapInArrow(lambda x: found(x, False), "a long").groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a"))
     flagged = common.cut(rows.mapInArrow(lambda x: found(x, True), "a long, c long, h long, at long").join(often, "a"))
     equal = flagged.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("h", "at")).alias("one"))
     unlike = equal.groupBy("a").agg(F.count("*").alias("m"))
