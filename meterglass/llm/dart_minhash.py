@@ -21,8 +21,11 @@ from . import common
 #: Bands of coordinates; at similarity 0.8 all bands differ for one pair in 20,000.
 BANDS, BAND_ROWS = 25, 5
 SHINGLE = 5
-#: Times that the members of a bucket which are no copy of its centre elect a centre of their own.
+#: Times that the members of a bucket which are no copy of its centre elect a centre of their own, before all the rest
+#: are compared with each other.
 ROUNDS = 4
+#: Members of a bucket, about, that one key of the join that pairs them has on either side.
+BLOCK = 500
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP, _STEPS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -177,14 +180,15 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(decided, "a long, b long")
 
 
-def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that hold each bucket's similar documents together.
+def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """Links (a, b) that hold each bucket's similar documents together; none if no bucket has two members.
 
     Comparing all members with each other would grow with the square of a bucket. Instead the member that shares the
     most bands with others, such as the original of many copies, becomes the centre, and all are compared with it;
-    those unlike it elect a centre among themselves, and so on.
+    those unlike it elect a centre among themselves, and so on. What the links found so far don't connect is then
+    compared pair by pair, so that in the end all pairs of a bucket are compared or connected.
     """
-    found = None
+    members, found, tried = buckets, None, None
     for _ in range(ROUNDS):
         sizes = buckets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
         buckets = common.cut(buckets.join(sizes, "h").select("h", "id", "n"))
@@ -193,10 +197,41 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         shared = buckets.groupBy("id").agg(F.sum("n").alias("shared"))
         centre = buckets.select("h", "id").join(shared, "id").groupBy("h").agg(F.max(F.struct("shared", (-F.col("id")).alias("c"))).alias("m"))
         with_centre = buckets.join(centre.select("h", (-F.col("m.c")).alias("b")), "h").where("id <> b").select("h", F.col("id").alias("a"), "b")
-        yes = common.cut(similar(with_centre.select("a", "b").distinct(), sets, least))
+        pairs = common.cut(with_centre.select("a", "b").distinct())
+        tried = pairs if tried is None else tried.union(pairs)
+        yes = common.cut(similar(pairs, sets, least))
         found = yes if found is None else found.union(yes)
         buckets = with_centre.join(yes, ["a", "b"], "left_anti").select("h", F.col("a").alias("id"))
-    return found
+    if found is None:
+        return None
+    label = components(found)
+    rest = apart(members, label, sets, least)
+    if not rest.isEmpty():
+        ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = similar(rest.join(ordered, ["a", "b"], "left_anti"), sets, least)
+        return label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found)
+    return label.select(F.col("id").alias("a"), F.col("label").alias("b"))
+
+
+def apart(members: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of members (h, id) of a bucket with unlike labels; not those whose sizes rule `least` out.
+
+    Members of a bucket's most frequent label are not paired with each other, so only the others meet all.
+    """
+    sizes = sets.select("id", F.octet_length("s").alias("size"))
+    # two members alone have been compared when one was the centre
+    large = members.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").select("h")
+    rows = common.cut(members.join(large, "h").join(label, "id", "left").join(sizes, "id").select("h", "id", F.coalesce("label", "id").alias("label"), "size"))
+    counts = rows.groupBy("h", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("h").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
+    main = main.select("h", F.col("m.label").alias("main"), *(F.ceil(c / BLOCK).cast("int").alias(k) for c, k in ((F.col("n") - F.col("m.n"), "x"), (F.col("n"), "y"))))
+    rows = common.cut(rows.join(main, "h"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("label <> main").select("h", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), block("x").alias("i"), every("y").alias("j"))
+    right = rows.select("h", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), (F.col("label") == F.col("main")).alias("of_main"), block("y").alias("j"), every("x").alias("i"))
+    pairs = left.join(right, ["h", "i", "j"]).where("la <> lb and (of_main or a < b)").where(F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-6)
+    return common.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:

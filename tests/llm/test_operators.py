@@ -370,6 +370,35 @@ def test_classes_of_near_copies(spark, odd):
     assert dart_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def classes_in_buckets(buckets, sets, least=0.8):
+    label = {i: i for i in sets}
+    for h in {h for h, _ in buckets}:
+        for a, b in itertools.combinations([i for g, i in buckets if g == h], 2):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((label[a], label[b]))
+                label = {i: x if v == y else v for i, v in label.items()}
+    return label
+
+
+def test_links_connect_all_that_a_bucket_connects(spark, monkeypatch):
+    # in bucket 1, 0 is the centre, 1 is like 0 and like 2, 2 is unlike 0; 3 to 22 are families inside a mixed bucket
+    sets = {0: set(range(100)), 1: set(range(8, 108)), 2: set(range(16, 116)), 99: set(range(5000, 5100))}
+    buckets = [(1, 0), (1, 1), (1, 2), (2, 0), (2, 99)]
+    for i in range(3, 23):
+        sets[i] = set(range(10_000 + i // 2 * 500 + i % 2 * 5, 10_100 + i // 2 * 500 + i % 2 * 5))
+        buckets.append((3, i))
+    for i in range(30, 60):  # a long chain of edited copies in one bucket
+        sets[i] = set(range(20_000 + i * 8, 20_100 + i * 8))
+        buckets.append((4, i))
+    want = classes_in_buckets(buckets, sets)
+    rows = spark.createDataFrame(buckets, "h long, id long")
+    held = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint32).tobytes())) for i, s in sets.items()], "id long, s binary")
+    for block in (500, 3):
+        monkeypatch.setattr(dart_minhash, "BLOCK", block, raising=False)
+        got = {r.id: r.label for r in dart_minhash.components(dart_minhash.links(rows, held, 0.8)).collect()}
+        assert {i: got.get(i, i) for i in sets} == want
+
+
 def test_signatures_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(12)
     pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
