@@ -28,7 +28,9 @@ SHARD_CUTS = 3_000
 BASE = 0x5851F42D4C957F2D
 #: Bits of a place within a slice of text; longer slices than this are refused.
 PLACE_BITS = 30
-#: Bits of a text position within a shard; a shard's text must be shorter.
+#: Anchors with more cuts have a shard of their own: sums of small numbers alone stay near their mean.
+OWN_CUTS = 100
+#: Bits of a text position that are sorted together with what they are sorted by; longer texts are sorted by places.
 BITS = 21
 
 
@@ -69,9 +71,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(5):
         key = key << np.uint64(8) | padded[k : k + n]
-    place, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << BITS) - 1)
-    packed = np.sort(key << np.uint64(BITS) | place)
-    order, head = (packed & mask).astype(np.int64), packed >> np.uint64(BITS)
+    mask, fits = np.uint64((1 << BITS) - 1), n < 1 << BITS
+    if n >= 1 << 31:
+        raise ValueError(f"a shard's text has {n} bytes")
+    if fits:
+        packed = np.sort(key << np.uint64(BITS) | np.arange(n, dtype=np.uint64))
+        order, head = (packed & mask).astype(np.int64), packed >> np.uint64(BITS)
+    else:
+        order = np.argsort(key, kind="stable")
+        head = key[order]
     new = np.concatenate([[True], head[1:] != head[:-1]])
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.zeros(n + 1, np.int64)
@@ -83,8 +91,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not at.size:
             break
         place = order[at]
-        packed = np.sort(rank[place].astype(np.uint64) << np.uint64(2 * BITS) | rank[np.minimum(place + h, n)].astype(np.uint64) << np.uint64(BITS) | place.astype(np.uint64))
-        place, head = (packed & mask).astype(np.int64), packed >> np.uint64(BITS)
+        if fits:
+            packed = np.sort(rank[place].astype(np.uint64) << np.uint64(2 * BITS) | rank[np.minimum(place + h, n)].astype(np.uint64) << np.uint64(BITS) | place.astype(np.uint64))
+            place, head = (packed & mask).astype(np.int64), packed >> np.uint64(BITS)
+        else:
+            both = rank[place] * (n + 1) + rank[np.minimum(place + h, n)]
+            by = np.argsort(both, kind="stable")
+            place, head = place[by], both[by]
         order[at] = place
         new[at] = np.concatenate([[True], head[1:] != head[:-1]])
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -232,12 +245,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
 
     texts = rows.join(places, "h").select("h", "text", "places")
     distinct = texts.mapInArrow(cut_out, "a long, c long, n long, m long, before int, cut binary")
-    shards = max(1, equal.where("m > 1").count() // SHARD_CUTS)
+    shards = max(1, equal.where(f"m > 1 and m <= {OWN_CUTS}").count() // SHARD_CUTS)
     parts = F.ceil(F.col("m") / SHARD_CUTS).cast("int")
     part = F.pmod(F.col("c"), parts).cast("int")
-    hot = F.col("m") > 2 * SHARD_CUTS
+    hot = F.col("m") > SHARD_CUTS
     dealt = distinct.select("*", part.alias("part"), F.explode(F.when(hot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))).alias("other"))
-    shard = F.when(hot, F.concat_ws(":", "a", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.pmod("a", F.lit(shards)).cast("string"))
+    shard = F.when(hot, F.concat_ws(":", "a", F.least("part", "other"), F.greatest("part", "other")))
+    shard = shard.when(F.col("m") > OWN_CUTS, F.concat(F.lit("own"), F.col("a"))).otherwise(F.pmod("a", F.lit(shards)).cast("string"))
     dealt = dealt.select("a", "c", "n", "before", "cut", shard.alias("shard"), (hot & (F.col("part") > F.col("other"))).cast("int").alias("side"))
 
     def judged(shard: pd.DataFrame) -> pd.DataFrame:

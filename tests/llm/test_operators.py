@@ -328,6 +328,20 @@ def test_suffix_array_and_common_prefixes():
         assert lcp[k] == min(n, 30)
 
 
+def test_suffix_array_of_texts_too_long_to_pack(monkeypatch):
+    text = np.random.default_rng(1).integers(97, 101, (1 << 21) + 5000).astype(np.uint8)
+    text[-4000:] = text[:4000]
+    order = suffix_dedup.suffix_array(text)
+    assert np.array_equal(np.sort(order), np.arange(text.size))
+    raw = text.tobytes()
+    assert all(raw[a : a + 5000] < raw[b : b + 5000] for a, b in itertools.pairwise(order[::997].tolist()))
+    rank = np.argsort(order)
+    assert abs(rank[0] - rank[text.size - 4000]) == 1
+    monkeypatch.setattr(suffix_dedup, "BITS", 4)
+    raw = b"banana bandana banana" * 3
+    assert suffix_dedup.suffix_array(np.frombuffer(raw, np.uint8)).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
 # ---- 9
 
 
