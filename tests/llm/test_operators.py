@@ -184,6 +184,15 @@ def test_license_notices(spark, odd):
     assert licenses.summary(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_copies_of_a_line_take_no_places_of_the_unknown_class(spark):
+    rng = random.Random(7)
+    lines = spark.createDataFrame([(made_up(rng, 8),) for _ in range(300)], "paragraph string")
+    least = lines.orderBy(F.xxhash64("paragraph")).first().paragraph
+    many = lines.union(spark.range(5000).select(F.lit(least).alias("paragraph")))
+    unknown = licenses.examples(many).where(F.col("label") == len(licenses.FAMILIES) - 1)
+    assert unknown.count() == unknown.distinct().count() == 300
+
+
 # ---- 6
 
 
