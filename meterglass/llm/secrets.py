@@ -27,7 +27,7 @@ LEAST_ASSIGNED = 6
 LENGTHS = ((20, 0.2), (28, 0.1), (40, 0.05), (64, 0.01), (128, 0.001))
 #: Steps of the histogram of -ln p; p-values are rounded up to the next step.
 STEPS, MOST_BINS = 8, 400
-#: Longest part of a token that the tests look at; the whole token is the span.
+#: Longer tokens are tested in blocks of this length, the last with what is left over; the whole token is the span.
 TESTED = 512
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
@@ -78,8 +78,18 @@ def tail(z: Column) -> Column:
 
 
 def bin_of(token: Column) -> Column:
-    """Step of -ln p at which the battery puts a token; null for tokens that are plainly words or numbers."""
-    s = F.substring(token, 1, TESTED)
+    """Step of -ln p at which the battery puts a token; null for tokens that are plainly words or numbers.
+
+    The hypothesis is that some block of the token is random, so its p-value is the largest of its blocks' ones.
+    """
+    n = F.length(token)
+    last = F.greatest(F.floor(n / TESTED).cast("int"), F.lit(1)) - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(token, k * TESTED + 1, F.when(k == last, n).otherwise(F.lit(TESTED))))
+    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), F.array_min(F.transform(blocks, block_bin)))
+
+
+def block_bin(s: Column) -> Column:
+    """Step of -ln p at which the battery puts a token, or a block of one."""
     chosen = F.lit(BASE64)
     for pattern, letters in reversed(ENCODINGS):
         chosen = F.when(s.rlike(pattern), F.lit(letters)).otherwise(chosen)
@@ -119,8 +129,7 @@ def bin_of(token: Column) -> Column:
         values = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
         return F.struct(F.length(s).alias("n"), F.length(alphabet).alias("a"), values.alias("v"))
 
-    p = let(let(chosen, valued), tested)
-    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), p)
+    return let(let(chosen, valued), tested)
 
 
 def length_class(token: Column) -> Column:

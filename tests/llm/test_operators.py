@@ -167,6 +167,15 @@ def test_random_tokens_by_the_same_procedure_in_numpy(spark):
     assert sum(3 in got[i] for i in range(30, 90)) <= 3
 
 
+def test_tokens_are_tested_to_their_end(spark):
+    rng = random.Random(5)
+    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.choice(pool) for _ in range(1500))
+    texts = ["xz1" * 400 + key, key + "xz1" * 400, "path/to/folder7/" * 200, "xz1" * 500, key]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secrets] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert got == {i: [(0, 3, len(t))] if i in (0, 1, 4) else [] for i, t in enumerate(texts)}
+
+
 # ---- 5
 
 
