@@ -32,7 +32,7 @@ def joined(text: str) -> str:
 
 def windows(normal: str, size: int) -> Iterator[str]:
     """Every run of `size` consecutive words (all words, if there are fewer)."""
-    found = normal.split()
+    found = normal.strip(" ").split(" ")  # at the space alone: \x85 and \xa0 are bytes of letters here
     for i in range(max(1, len(found) - size + 1)):
         yield f" {' '.join(found[i : i + size])} "
 

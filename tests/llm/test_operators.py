@@ -71,6 +71,18 @@ def test_contamination_is_what_the_rule_says(spark, odd):
     assert not any(r.n_hit for r in empty)
 
 
+def test_contamination_of_words_with_bytes_that_latin_1_calls_spaces(spark):
+    rng = random.Random(2)
+    few = "voilà à déjà Ångström хорошо Россия Рим холод 中国 上海 全部 你好 酠 chaud".split()
+    items = [(0, " ".join(rng.choice(few) for _ in range(30))), (1, "voilà"), (2, "ах Россия 酠 Å")]
+    docs = [f"{made_up(rng, 5)} {t} {made_up(rng, 5)}" for _, t in items]
+    got = {r.doc_id: r for r in decontamination.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in items:
+        assert str(i) in got[i]["items"] and got[i].contaminated
+        assert got[i].n_hit == len(words(t)) and got[i].n_words == len(words(t)) + 10
+        assert [docs[i][s.start : s.end] for s in got[i].spans] == [t]
+
+
 # ---- 2
 
 
