@@ -63,15 +63,18 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text, one row at least: memory stays bounded."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < batch.num_rows:
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        if batch.num_rows:
+            yield from parts(batch, np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)), most)
+
+
+def parts(batch: pa.RecordBatch, ends: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` in size, one row at least; ends: the running sum of the rows' sizes."""
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
@@ -24,7 +25,9 @@ CHUNK = re.compile(r" *[^ ]+| +")
 #: What an unknown character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks that a Python worker remembers before it starts afresh, and bytes of the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
+#: Pieces, about, that are turned back into text at once.
+MOST_IDS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -85,6 +88,35 @@ class DoubleArray:
                 yield i + 1, int(value[state])
 
 
+class Speller:
+    """Turns pieces back into text: markers are spaces, byte pieces are joined to characters, the marker put first goes."""
+
+    def __init__(self, bytes_of: list[bytes]):
+        self.flat = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.sizes = np.array([len(b) for b in bytes_of], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def texts(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """The text of each list ids[edges[i] : edges[i + 1]]; bytes that are no characters become U+FFFD."""
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        data = self.flat[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1] if ends.size else 0)]
+        at = np.concatenate([[0], ends])[edges]
+        filled = np.flatnonzero(np.diff(at))
+        marked = at[filled[data[at[filled]] == 32]]
+        data = np.delete(data, marked)
+        at = at - np.searchsorted(marked, at)
+        raw = data.tobytes()
+        try:
+            raw.decode()
+            whole = not (data[at[at < data.size]] & 0xC0 == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.StringArray.from_buffers(at.size - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw))
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+
+
 class Unigram:
     def __init__(self, pieces: list[tuple[str, float, int]]):
         """pieces: string, log score and kind of each id."""
@@ -102,6 +134,7 @@ class Unigram:
             raise ValueError("the model has no byte pieces to fall back on")
         self.byte = np.array([byte[b] for b in range(256)], np.int32)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARKER, " ").encode() if k == NORMAL else b"" for p, _, k in pieces]
+        self.speller = Speller(self.bytes_of)
         self.forget()
 
     def forget(self) -> None:
@@ -233,9 +266,8 @@ class Unigram:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def decode(self, ids: list[int]) -> str:
-        """The text: markers are spaces, byte pieces are joined to characters, the marker put first goes."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        """The text of one list of pieces."""
+        return self.speller.texts(np.array(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -268,14 +300,23 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
 
 def decode(rows: DataFrame, model: str, pieces: str = "pieces", to: str = "decoded") -> DataFrame:
-    """Adds the text that the pieces stand for; null and empty lists give an empty text. A column `to` is replaced."""
+    """Adds the text that the pieces stand for; null and empty lists give an empty text. A column `to` is replaced.
+
+    Null ids count as the unknown piece, which has no text. Lists are worked on in slices of MOST_IDS ids.
+    """
     rows = rows.drop(to)
-    sent = rows.sparkSession.sparkContext.broadcast(load(model))
+    sent = rows.sparkSession.sparkContext.broadcast(load(model).speller)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram = sent.value
         for batch in batches:
-            texts = [unigram.decode(p.values.to_pylist() if p.is_valid else []) for p in batch.column(batch.schema.get_field_index(pieces))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
+            column = batch.column(batch.schema.get_field_index(pieces))
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            for part in common.parts(batch, np.cumsum(sizes), MOST_IDS):
+                lists = part.column(part.schema.get_field_index(pieces))
+                ids = lists.flatten()  # without what lies under null lists
+                if ids.null_count:
+                    ids = pc.fill_null(ids, 0)
+                edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                yield pa.RecordBatch.from_arrays([*part.columns, sent.value.texts(ids.to_numpy(zero_copy_only=False), edges)], [*part.schema.names, to])
 
     return rows.mapInArrow(decoded, common.plus(rows, f"{to} string"))
