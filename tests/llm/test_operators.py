@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -194,24 +195,65 @@ def test_tokens_are_tested_to_their_end(spark):
 def test_license_notices(spark, odd):
     rng = random.Random(6)
     texts = odd + [made_up(rng, 60) for _ in range(200)]
+    first, want = len(texts), []
     for f, many in licenses.TEMPLATES.items():
-        texts.append(f"{made_up(rng, 30)}\n{many[0]}\n{made_up(rng, 20)}")
-    texts += ["I like the public library and its general version of things under the sea", "license"]
+        for t in many:
+            assert any(n in t.lower() for n in licenses.NOTICE), t
+            texts.append(f"{made_up(rng, 30)}\n{t}\n{made_up(rng, 20)}")
+            want.append(f)
+            if len(t) > 80:  # wrapped, and right after other text
+                texts.append(f"{made_up(rng, 9)}\n" + "\n".join(textwrap.wrap(t, 60, break_on_hyphens=False)) + f"\n\n{made_up(rng, 20)}")
+                want.append(f)
+    clean = len(texts)
+    texts += ["I like the public library and its general version of things under the sea", "license", "My license\nis under the version\nof the general work, copyright me", "warranty\n" * 3000, *licenses.OTHER]
     got = {r.doc_id: r for r in licenses.summary(frame(spark, texts)).collect()}
-    first = len(odd) + 200
-    for i, f in enumerate(licenses.TEMPLATES):
-        assert got[first + i].licences == f and got[first + i].n_paragraphs == 3
-    assert all(r.n_notices == 0 for i, r in got.items() if i < first or i >= first + len(licenses.TEMPLATES))
+    assert [(got[first + i].licences, got[first + i].n_notices) for i in range(len(want))] == [(f, 1) for f in want]
+    assert [i for i, r in got.items() if r.n_notices and (i < first or i >= clean)] == []
+    assert all(r.n_lines == sum(bool(x.strip()) for x in (texts[i] or "").split("\n")) for i, r in got.items())
     assert licenses.summary(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_copies_of_a_line_take_no_places_of_the_unknown_class(spark):
+def test_licenses_in_corpora_of_few_or_only_notices(spark):
+    for texts in (["Released under the MIT License.", "This is copyright nobody"], ["Licensed under CC BY 4.0."], ["plain words"], ["Licensed under the Apache License, Version 2.0."] * 40, [None, ""]):
+        got = {r.doc_id: r.licences for r in licenses.summary(frame(spark, texts).withColumn("family", F.lit(1)).withColumn("key", F.lit(2))).collect()}
+        assert got == {i: "mit" if "MIT" in (t or "") else "cc-by" if "CC" in (t or "") else "apache-2.0" if "Apache" in (t or "") else "" for i, t in enumerate(texts)}
+    twice = spark.createDataFrame([(1, "Released under the MIT License."), (1, "words\nReleased under the MIT License."), (None, "Released under the MIT License.")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_lines, r.n_notices, r.licences) for r in licenses.summary(twice).collect()} == {(1, 3, 2, "mit"), (None, 1, 1, "mit")}
+
+
+def plain_words(text):
+    return [w for raw in re.split("[^a-z0-9.-]+", text.lower()) if (w := raw.strip(".-"))]
+
+
+def test_license_margins_and_confirmation_in_plain_python(spark):
+    from pyspark.ml.feature import HashingTF
+
+    rng = random.Random(16)
+    notices = [t for many in licenses.TEMPLATES.values() for t in many]
+    rows = [f"{made_up(rng, rng.randint(0, 9))} {rng.choice(notices)[: rng.randint(10, 200)]} {made_up(rng, rng.randint(0, 9))}" for _ in range(200)] + [made_up(rng, 12) for _ in range(100)]
+    lines = spark.createDataFrame([(t,) for t in rows], "paragraph string")
+    model, cut = licenses.fit(lines)
+    weights, bias, hashed = model.coefficientMatrix.toArray(), model.interceptVector.toArray(), HashingTF(numFeatures=licenses.FEATURES, inputCol="t")
+    for r in licenses.confidence(model, lines).withColumn("yes", licenses.confirmed(F.col("family"))).collect():
+        w = plain_words(r.paragraph)
+        pairs = [f"{a} {b}" for a, b in itertools.pairwise(w)]
+        logits = bias + weights[:, sorted({hashed.indexOf(t) for t in [*w, *pairs]})].sum(axis=1)
+        best = int(np.argmax(logits[:-1]))
+        assert r.family == licenses.FAMILIES[best] and r.margin == pytest.approx(logits[best] - logits[-1])
+        shares = [len(set(pairs) & p) / len(p) for t in licenses.TEMPLATES[r.family] for u in [plain_words(t)] for p in [{f"{a} {b}" for a, b in itertools.pairwise(u)}]]
+        assert r.yes == (max(shares) >= licenses.CONFIRMED)
+    assert cut >= 0
+
+
+def test_copies_of_a_line_take_no_places_of_the_unknown_class(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_UNKNOWN", 100)
     rng = random.Random(7)
     lines = spark.createDataFrame([(made_up(rng, 8),) for _ in range(300)], "paragraph string")
     least = lines.orderBy(F.xxhash64("paragraph")).first().paragraph
     many = lines.union(spark.range(5000).select(F.lit(least).alias("paragraph")))
-    unknown = licenses.examples(many).where(F.col("label") == len(licenses.FAMILIES) - 1)
-    assert unknown.count() == unknown.distinct().count() == 300
+    got = {r.paragraph for r in licenses.unknown_lines(many).collect()}
+    want = {r.paragraph for r in lines.orderBy(F.xxhash64("paragraph")).limit(100).collect()}
+    assert got == want and licenses.unknown_lines(many).count() == 100
 
 
 # ---- 6
