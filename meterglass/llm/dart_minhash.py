@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,13 @@ from . import common
 #: Bands of coordinates; at similarity 0.8 all bands differ for one pair in 20,000.
 BANDS, BAND_ROWS = 25, 5
 SHINGLE = 5
-#: Times that the members of a bucket which are no copy of its centre elect a centre of their own, before all the rest
-#: are compared with each other.
-ROUNDS = 4
-#: Members of a bucket, about, that one key of the join that pairs them has on either side.
-BLOCK = 500
+#: How a bucket's centre is chosen in each round of comparing members with one centre: the member not yet linked that
+#: shares the most bands, or any member, picked by hash. All that is left is compared in blocks after that.
+ROUNDS = ("most", "most", "any", "any")
+#: Members of a bucket, about, on either side of a block.
+BLOCK = 256
+#: Slots that shingles are counted in to put the rare ones first; columns of shingles that are multiplied at once.
+SLOTS, COLUMNS = 1 << 17, 1 << 12
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP, _STEPS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -101,7 +104,7 @@ def signatures(element: np.ndarray, row: np.ndarray, rows: int, k: int, weight:
         out[todo] = np.inf
         while e.size:
             dart += 1
-            u = common.mix(e + np.uint64(dart) * _STEP)
+            u = common.mix(e + np.uint64(dart * int(_STEP) & (1 << 64) - 1))
             rank = rank - np.log(((u >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53)
             near = rank <= reach[r]
             e, r, lim, rank, u = e[near], r[near], lim[near], rank[near], u[near]
@@ -123,7 +126,15 @@ def bands(signature: np.ndarray, n: int = BANDS, size: int = BAND_ROWS) -> np.nd
     return h.view(np.int64)
 
 
-def summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
+def counted(element: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements of each row, their rows, and how often each is there."""
+    order = np.lexsort((element, row))
+    element, row = element[order], row[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, row.size), bool), (element[1:] != element[:-1]) | (row[1:] != row[:-1])]))
+    return element[new], row[new], np.diff(np.append(new, row.size))
+
+
+def summaries(docs: DataFrame, key: str, text: str, weighted: bool = False) -> DataFrame:
     """(id, k1, k2, bands) of each document with text and id: 128 bits that stand for its words, and its bands."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +147,10 @@ def summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
                 raw = hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes()).digest()
                 keys[0][i], keys[1][i] = np.frombuffer(raw, np.int64)
             element, row = shingles(h, at)
-            found = bands(signatures(element, row, len(batch), BANDS * BAND_ROWS))
+            weight = None
+            if weighted:
+                element, row, weight = counted(element, row)
+            found = bands(signatures(element, row, len(batch), BANDS * BAND_ROWS, weight))
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[n > 0].reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, keys), lists], ["id", "k1", "k2", "bands"])
@@ -145,13 +159,21 @@ def summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(made, "id long, k1 long, k2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, s): the sorted distinct shingles of a text as 32-bit integers."""
+def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
+    """(id, s): the sorted distinct shingles of a text as 32-bit integers.
+
+    Two texts of n shingles each share a false one with a chance of about n * n / 2 ** 32. With weights, the second and
+    further occurrences of a shingle are elements of their own, so that the Jaccard similarity is that of the counts.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             h, at = word_hashes(*common.utf8(batch.column(1)))
             element, row = shingles(h, at)
+            if weighted:
+                element, row, n = counted(element, row)
+                again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                element, row = common.mix(np.repeat(element, n) + again.astype(np.uint64) * _STEPS), np.repeat(row, n)
             cuts = np.searchsorted(row, np.arange(len(batch) + 1))
             sets = [np.unique((element[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "s"])
@@ -180,58 +202,149 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(decided, "a long, b long")
 
 
+def crowded(buckets: DataFrame, least: int = 2) -> DataFrame:
+    """Members (h, id) of buckets with at least so many; a hot bucket's members may lie in several partitions."""
+    # counted and written apart from the join, so that Spark can split the join's large partitions
+    sizes = common.cut(buckets.groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {least}"))
+    return common.cut(buckets.join(sizes, "h"))
+
+
 def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
     """Links (a, b) that hold each bucket's similar documents together; none if no bucket has two members.
 
-    Comparing all members with each other would grow with the square of a bucket. Instead the member that shares the
-    most bands with others, such as the original of many copies, becomes the centre, and all are compared with it;
-    those unlike it elect a centre among themselves, and so on. What the links found so far don't connect is then
-    compared pair by pair, so that in the end all pairs of a bucket are compared or connected.
+    Comparing all members with each other would grow with the square of a bucket. Instead one of them, such as the
+    original of many copies, becomes the centre, and all are compared with it; members that no centre is like are
+    compared with other centres, as ROUNDS says. Members of a bucket that the links so far don't connect are then
+    compared in blocks, so that in the end all pairs of a bucket are compared or connected.
     """
-    members, found, tried = buckets, None, None
-    for _ in range(ROUNDS):
-        sizes = buckets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-        buckets = common.cut(buckets.join(sizes, "h").select("h", "id", "n"))
-        if buckets.isEmpty():
+    members, left, found = buckets, buckets, None
+    for way in ROUNDS:
+        left = crowded(left.select("h", "id")) if way == "most" else left
+        if left.isEmpty():
             break
-        shared = buckets.groupBy("id").agg(F.sum("n").alias("shared"))
-        centre = buckets.select("h", "id").join(shared, "id").groupBy("h").agg(F.max(F.struct("shared", (-F.col("id")).alias("c"))).alias("m"))
-        with_centre = buckets.join(centre.select("h", (-F.col("m.c")).alias("b")), "h").where("id <> b").select("h", F.col("id").alias("a"), "b")
+        if way == "most":
+            shared = left.groupBy("id").agg(F.sum("n").alias("shared"))
+            centre = left.select("h", "id").join(shared, "id").groupBy("h").agg(F.max(F.struct("shared", (-F.col("id")).alias("c"))).alias("m")).select("h", (-F.col("m.c")).alias("b"))
+        else:
+            centre = members.groupBy("h").agg(F.max(F.struct(F.xxhash64("h", "id"), "id")).alias("m")).select("h", F.col("m.id").alias("b"))
+        # written apart from the join, so that Spark can split the join's large partitions
+        with_centre = left.join(common.cut(centre), "h").where("id <> b").select("h", F.col("id").alias("a"), "b")
         pairs = common.cut(with_centre.select("a", "b").distinct())
-        tried = pairs if tried is None else tried.union(pairs)
         yes = common.cut(similar(pairs, sets, least))
         found = yes if found is None else found.union(yes)
-        buckets = with_centre.join(yes, ["a", "b"], "left_anti").select("h", F.col("a").alias("id"))
+        left = common.cut(with_centre.join(yes, ["a", "b"], "left_anti").select("h", F.col("a").alias("id")))
     if found is None:
         return None
     label = components(found)
-    rest = apart(members, label, sets, least)
-    if not rest.isEmpty():
-        ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = similar(rest.join(ordered, ["a", "b"], "left_anti"), sets, least)
-        return label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found)
-    return label.select(F.col("id").alias("a"), F.col("label").alias("b"))
+    more = between(members, label, sets, least)
+    out = label.select(F.col("id").alias("a"), F.col("label").alias("b"))
+    return out if more is None else out.union(more)
 
 
-def apart(members: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a < b, of members (h, id) of a bucket with unlike labels; not those whose sizes rule `least` out.
+def likely(sets: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """(id): documents with one of their rarest shingles in a document of another label.
 
-    Members of a bucket's most frequent label are not paired with each other, so only the others meet all.
+    With shingles in one order, the first of which are at most (1 - least) of a set and one more, similar sets share
+    one of these. Rare ones come first, by counts in slots: what documents have from a frequent passage isn't looked at.
     """
-    sizes = sets.select("id", F.octet_length("s").alias("size"))
-    # two members alone have been compared when one was the centre
-    large = members.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").select("h")
-    rows = common.cut(members.join(large, "h").join(label, "id", "left").join(sizes, "id").select("h", "id", F.coalesce("label", "id").alias("label"), "size"))
-    counts = rows.groupBy("h", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("h").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
-    main = main.select("h", F.col("m.label").alias("main"), *(F.ceil(c / BLOCK).cast("int").alias(k) for c, k in ((F.col("n") - F.col("m.n"), "x"), (F.col("n"), "y"))))
-    rows = common.cut(rows.join(main, "h"))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for s in batch.column(1):
+                total += np.bincount(np.frombuffer(s.as_buffer(), np.uint32) % SLOTS, minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    counts = sets.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    table = np.zeros(SLOTS, np.int64)
+    table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, n = [], []
+            for s in batch.column(1):
+                s = np.frombuffer(s.as_buffer(), np.uint32)
+                first = int((1 - least) * s.size + 1e-6) + 1
+                out.append(s[np.lexsort((s, sent.value[s % SLOTS]))[:first]].astype(np.int64))
+                n.append(len(out[-1]))
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), flat], ["id", "t"])
+
+    tokens = common.cut(sets.mapInArrow(rarest, "id long, t long").join(label, "id", "left").select("id", "t", F.coalesce("label", "id").alias("label")))
+    mixed = common.cut(tokens.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t"))
+    return tokens.join(mixed, "t", "left_semi").select("id").distinct()
+
+
+def between(members: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """Links (a, b) between labels, from all pairs of members (h, id) of a bucket with unlike labels.
+
+    Members of a bucket's most frequent label need not meet each other: the others meet all, in blocks, and a block
+    gives no more links than it has labels. Pairs of two-member buckets were compared when one was the centre.
+    """
+
+    def unlike(rows: DataFrame) -> DataFrame:
+        """Members of buckets with two labels and more; main: the most frequent label; x, y: parts of others and of all."""
+        counts = rows.groupBy("h", "label").agg(F.count("*").alias("n"))
+        main = counts.groupBy("h").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
+        parts = (F.ceil(c / BLOCK).cast("int").alias(k) for c, k in ((F.col("n") - F.col("m.n"), "x"), (F.col("n"), "y")))
+        return common.cut(rows.join(common.cut(main.select("h", F.col("m.label").alias("main"), *parts)), "h"))
+
+    rows = crowded(members.select("h", "id"), 3).select("h", "id")
+    rows = unlike(rows.join(label, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label")))
+    if rows.isEmpty():
+        return None
+    held = common.cut(sets.join(rows.select("id").distinct(), "id", "left_semi"))
+    rows = unlike(rows.join(common.cut(likely(held, label, least)), "id", "left_semi").select("h", "id", "label"))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("label <> main").select("h", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), block("x").alias("i"), every("y").alias("j"))
-    right = rows.select("h", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), (F.col("label") == F.col("main")).alias("of_main"), block("y").alias("j"), every("x").alias("i"))
-    pairs = left.join(right, ["h", "i", "j"]).where("la <> lb and (of_main or a < b)").where(F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-6)
-    return common.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    others = rows.where("label <> main").select("h", "id", "label", F.lit(False).alias("all"), block("x").alias("i"), every("y").alias("j"))
+    all_ = rows.select("h", "id", "label", F.lit(True).alias("all"), block("y").alias("j"), every("x").alias("i"))
+    blocks = others.unionByName(all_).join(held, "id")
+
+    def joined(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = block[~block["all"]], block[block["all"]]
+        names, of = np.unique(block["label"].to_numpy(), return_inverse=True)
+        x, y = of[~block["all"].to_numpy()], of[block["all"].to_numpy()]
+        near = similar_sets(left["s"], right["s"], least) & (x[:, None] != y)
+        a, b = np.nonzero(near)
+        low = np.arange(names.size)
+        while True:  # the least label that links lead to
+            new = low.copy()
+            np.minimum.at(new, x[a], low[y[b]])
+            np.minimum.at(new, y[b], new[x[a]])
+            if (new == low).all():
+                break
+            low = new
+        at = np.flatnonzero(low != np.arange(names.size))
+        return pd.DataFrame({"a": names[at], "b": names[low[at]]})
+
+    return common.cut(blocks.groupBy("h", "i", "j").applyInPandas(joined, "a long, b long").distinct())
+
+
+def similar_sets(left: pd.Series, right: pd.Series, least: float) -> np.ndarray:
+    """Which sets of the one side and of the other have a Jaccard similarity of at least `least`."""
+    sides = [[np.frombuffer(s, np.uint32) for s in side] for side in (left, right)]
+    sizes = [np.array([s.size for s in side], np.float32) for side in sides]
+    flat = [np.concatenate([np.zeros(0, np.uint32), *side]) for side in sides]
+    both = np.intersect1d(*flat)  # elements of one side alone are in no intersection
+    total = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    at = []
+    for side, f in zip(sides, flat, strict=True):
+        column = np.minimum(np.searchsorted(both, f), max(0, both.size - 1))
+        here = both[column] == f if both.size else np.zeros(f.size, bool)
+        at.append((np.repeat(np.arange(len(side)), [s.size for s in side])[here], column[here]))
+    for first in range(0, both.size, COLUMNS):
+        parts = []
+        for side, (row, column) in zip(sides, at, strict=True):
+            part = np.zeros((len(side), min(COLUMNS, both.size - first)), np.float32)
+            inside = (column >= first) & (column < first + COLUMNS)
+            part[row[inside], column[inside] - first] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    union = sizes[0][:, None] + sizes[1] - total
+    return (union > 0) & (total >= least * union - 1e-3)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,22 +364,21 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, weighted: bool = False) -> DataFrame:
     """(key, class_id): a class holds the documents that links of similarity `least` or more connect; its id is its least key.
 
-    Similarity: Jaccard, of the sets of five-word shingles (all words, if a text has fewer). Texts with the same words
-    are copies of each other; texts without words are copies only of equal texts. Null and empty texts are classes of
+    Similarity: Jaccard, of the sets of five-word shingles (all words, if a text has fewer), or, if weighted, of how often
+    a text has each. The key is an integer (others that Spark can't cast raise). Texts with the same words are copies of each other; texts without words are copies only of equal texts. Null and empty texts are classes of
     their own. Rows without a key get a null class. Rows that share a key count as one document; each row is returned.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    known = common.cut(summaries(docs, key, text))
+    known = common.cut(summaries(docs, key, text, weighted))
     first = common.cut(known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     buckets = first.select(F.explode("bands").alias("h"), F.col("rep").alias("id")).distinct()
-    sizes = buckets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = common.cut(buckets.join(sizes.select("h"), "h"))
+    buckets = crowded(buckets).select("h", "id")
     of = known.select("id", "k1", "k2").join(first.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
     involved = buckets.select("id").distinct()
-    sets = common.cut(shingle_sets(rows.join(involved, "id", "left_semi")).dropDuplicates(["id"]))
+    sets = common.cut(shingle_sets(rows.join(involved, "id", "left_semi"), weighted).dropDuplicates(["id"]))
     found = links(buckets, sets, least)
     if found is not None:
         label = components(found)
