@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and strings that look random, by DataFrame functions alone.
 
 Tokens long enough are told their likely encoding; a battery of tests (chi-squared uniformity over the encoding's
-alphabet, runs above and below its middle, serial correlation) gives each a combined p-value under the hypothesis that
-it is random. Within each class of lengths, a step-up procedure over all tokens of the corpus decides which of them
-are structured, at a false-discovery level that is laxer where the tests have little power; the rest are secrets.
+alphabet, runs above and below its middle, serial correlation) gives each a number: how surely it isn't random. The same
+battery goes over strings put together from ordinary words of every document, which tells how often text looks as random
+as a token does. Within each class of lengths, a step-up procedure over all tokens of the corpus reports those that text
+hardly ever looks like, so that the share of plain strings among what is reported stays below the class's level.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "random")
@@ -23,15 +24,19 @@ TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: Strings of which a text with a match has at least one, in lower case for the first: a quick look before the pattern.
 WORDS = {ASSIGN: ("password", "passwd", "secret", "token", "apikey", "api_key"), ACCESS: ("AKIA",)}
 LEAST_ASSIGNED = 6
-#: Least lengths of the classes, and the false-discovery level of each.
-LENGTHS = ((20, 0.2), (28, 0.1), (40, 0.05), (64, 0.01), (128, 0.001))
-#: Steps of the histogram of -ln p; p-values are rounded up to the next step.
+#: Least lengths of the classes, and the false-discovery level of each: laxer where the tests have little power.
+LENGTHS = ((20, 0.2), (28, 0.1), (40, 0.05), (64, 0.02), (128, 0.01))
+#: Steps of the histogram of -ln p under randomness; the last holds all beyond.
 STEPS, MOST_BINS = 8, 400
+#: Elements of an array that are walked at once where each needs what came before it.
+PART = 64
+#: How words are put together to stand for plain strings; the first two give strings of letters alone.
+JOINED = ("", "initcap", "-", "_", "/")
 #: Longer tokens are tested in blocks of this length, the last with what is left over; the whole token is the span.
 TESTED = 512
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
-    ("^[0-9a-f]+$", _DIGITS + "abcdef"), ("^[0-9A-F]+$", _DIGITS + "ABCDEF"), ("^[A-Z2-7]+$", _LOWER.upper() + "234567"), ("^[0-9a-z]+$", _DIGITS + _LOWER),
+    ("^[0-9]+$", _DIGITS), ("^[0-9a-f]+$", _DIGITS + "abcdef"), ("^[0-9A-F]+$", _DIGITS + "ABCDEF"), ("^[a-z]+$", _LOWER), ("^[A-Z]+$", _LOWER.upper()), ("^[A-Za-z]+$", _LOWER.upper() + _LOWER), ("^[A-Z2-7]+$", _LOWER.upper() + "234567"), ("^[0-9a-z]+$", _DIGITS + _LOWER),
     ("^[0-9A-Z]+$", _DIGITS + _LOWER.upper()), ("^[0-9A-Za-z]+$", _DIGITS + _LOWER.upper() + _LOWER), ("^[0-9A-Za-z_-]+$", _LOWER.upper() + _LOWER + _DIGITS + "-_"),
 )
 BASE64 = _LOWER.upper() + _LOWER + _DIGITS + "+/-_"
@@ -39,29 +44,42 @@ SPANS = "array<struct<start:int,end:int,found:string>>"
 MASK = "[SECRET]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def before(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each value, what all values before it merge to; in parts, so that long arrays take little more than linear time."""
+
+    def all_of(array: Column) -> Column:
+        return F.aggregate(array, zero, merge)
+
+    def inside(part: Column, start: Column) -> Column:
+        return F.transform(part, lambda _, i: merge(start, all_of(F.slice(part, F.lit(1), i))))
+
+    last = F.greatest(F.ceil(F.size(values) / PART).cast("int") - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * PART + 1, F.lit(PART)))
+    joined = lambda p, totals: F.flatten(F.transform(p, lambda part, k: inside(part, all_of(F.slice(totals, F.lit(1), k)))))
+    return let(parts, lambda p: let(F.transform(p, all_of), lambda totals: joined(p, totals)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost matches that don't overlap, with the code points at which they start and end."""
-    walk = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    none = F.array().cast(SPANS)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    walk = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("n"), m.alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def spans(rows: Column) -> Column:
+        starts = before(F.transform(rows, lambda x: x["gap"] + x["n"]), F.lit(0), lambda a, b: a + b)
+        out = F.zip_with(rows, starts, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["m"].alias("found")))
+        return F.slice(out, F.lit(1), F.size(rows) - 1)  # what follows the last match is no match
 
-    spans = F.aggregate(walk, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
     if pattern in WORDS:
         body = F.lower(text) if pattern == ASSIGN else text
         there = reduce(lambda a, b: a | b, [body.contains(w) for w in WORDS[pattern]])
     else:
         there = text.rlike(pattern)
-    return F.when(there, spans).otherwise(none)
-
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+    return F.when(there, let(walk, spans)).otherwise(F.array().cast(SPANS))
 
 
 def tail(z: Column) -> Column:
@@ -78,14 +96,14 @@ def tail(z: Column) -> Column:
 
 
 def bin_of(token: Column) -> Column:
-    """Step of -ln p at which the battery puts a token; null for tokens that are plainly words or numbers.
+    """Step of -ln p at which the battery puts a token.
 
     The hypothesis is that some block of the token is random, so its p-value is the largest of its blocks' ones.
     """
     n = F.length(token)
     last = F.greatest(F.floor(n / TESTED).cast("int"), F.lit(1)) - 1
     blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(token, k * TESTED + 1, F.when(k == last, n).otherwise(F.lit(TESTED))))
-    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), F.array_min(F.transform(blocks, block_bin)))
+    return F.array_min(F.transform(blocks, block_bin))
 
 
 def block_bin(s: Column) -> Column:
@@ -132,54 +150,85 @@ def block_bin(s: Column) -> Column:
     return let(let(chosen, valued), tested)
 
 
-def length_class(token: Column) -> Column:
+def group_of(token: Column) -> Column:
+    """Number of the tokens that are judged together: a class of lengths, with letters alone or with other signs."""
     out = F.lit(0)
     for i, (least, _) in enumerate(LENGTHS):
         out = F.when(F.length(token) >= least, F.lit(i)).otherwise(out)
-    return out
+    return 2 * out + F.when(token.rlike("[^A-Za-z]"), 1).otherwise(0)
+
+
+def judged(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.struct(group_of(t).alias("group"), bin_of(t).alias("bin")))
+
 
+def plain_strings(text: Column) -> Column:
+    """One string of each length class's least length, put together from words at a place that the text's hash picks."""
+    words = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: (w != "") & (F.length(w) < LENGTHS[0][0]))
 
-def tokens(text: Column) -> Column:
-    """Tokens of the text that the battery can judge, with length class and bin."""
-    found = F.transform(matches(text, TOKEN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), length_class(x["found"]).alias("class"), bin_of(x["found"]).alias("bin")))
-    return F.filter(found, lambda x: x["bin"].isNotNull())
+    def joined(words: Column, least: int, k: int) -> Column:
+        at = F.pmod(F.xxhash64(text, F.lit(k)), F.size(words)).cast("int") + 1
+        some = F.slice(F.concat(words, words), at, F.least(F.size(words), F.lit(least)))
+        way = F.pmod(F.xxhash64(text, F.lit(k), F.lit(1)), F.lit(len(JOINED)))
+        out = F.array_join(some, "")
+        for i, by in enumerate(JOINED[1:], 1):
+            out = F.when(way == i, F.array_join(F.transform(some, F.initcap), "") if by == "initcap" else F.array_join(some, by)).otherwise(out)
+        return F.substring(out, 1, least)
 
+    def made(words: Column) -> Column:
+        return F.filter(F.array(*(F.when(F.length(s) == least, s) for k, (least, _) in enumerate(LENGTHS) for s in [joined(words, least, k)])), lambda s: s.isNotNull())
 
-def structured_from(docs: DataFrame, text: str = "text") -> list[int]:
-    """For each length class the least bin that the step-up procedure rejects; beyond all bins if it rejects none.
+    return F.when(F.size(words) > 0, let(words, made)).otherwise(F.array().cast("array<string>"))
 
-    Counts over all tokens of all documents; to the driver comes one row a class.
+
+def random_up_to(docs: DataFrame, text: str = "text") -> list[int]:
+    """For each group the largest bin that the step-up procedure reports as random; -1 if it reports none.
+
+    p-value of a bin: the share of plain strings of the group, from all documents, that look as random or more. Counts
+    cover all tokens of all documents; to the driver comes one row a group.
     """
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = F.transform(matches(body, TOKEN), lambda x: x["found"])
+    both = F.concat(F.transform(judged(found), lambda x: x.withField("token", F.lit(1))), F.transform(judged(plain_strings(body)), lambda x: x.withField("token", F.lit(0))))
     # the outer form, as Spark would work the tokens out again to filter rows before the other
-    each = docs.select(F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("t")).select("t.class", "t.bin").where("bin is not null")
-    counts = each.groupBy("class", "bin").agg(F.count("*").alias("n"))
-    # at most len(LENGTHS) * (MOST_BINS + 1) rows from here on
-    whole = counts.groupBy("class").agg(F.sum("n").alias("m"), F.collect_list(F.struct("bin", "n")).alias("bins"))
-    level = F.element_at(F.array(*(F.lit(q) for _, q in LENGTHS)), F.col("class") + 1)
-    above = lambda b: F.aggregate("bins", F.lit(0).cast("long"), lambda acc, y: acc + F.when(y["bin"] >= b, y["n"]).otherwise(F.lit(0).cast("long")))
-    rejected = F.filter(F.transform("bins", lambda x: x["bin"]), lambda b: F.exp(-b.cast("double") / STEPS) <= level * above(b) / F.col("m"))
-    rows = whole.select("class", F.array_min(rejected).alias("least")).collect()
-    least = {r["class"]: r["least"] for r in rows if r["least"] is not None}
-    return [least.get(i, MOST_BINS + 1) for i in range(len(LENGTHS))]
+    each = docs.select(F.explode_outer(both).alias("t")).select("t.*").where("bin is not null")
+    counts = each.groupBy("group", "bin").agg(F.sum("token").alias("n"), F.sum(1 - F.col("token")).alias("plain"))
+    # at most 2 * len(LENGTHS) * (MOST_BINS + 1) rows from here on
+    up = Window.partitionBy("group").orderBy("bin")
+    whole = Window.partitionBy("group")
+    p = (1 + F.sum("plain").over(up)) / (1 + F.sum("plain").over(whole))
+    level = F.element_at(F.array(*(F.lit(q) for _, q in LENGTHS)), F.floor(F.col("group") / 2).cast("int") + 1)
+    share = F.sum("n").over(up) / F.greatest(F.sum("n").over(whole), F.lit(1))
+    rows = counts.withColumn("yes", p <= level * share).where("yes and n > 0").groupBy("group").agg(F.max("bin").alias("most")).collect()
+    most = {r["group"]: r["most"] for r in rows}
+    return [most.get(i, -1) for i in range(2 * len(LENGTHS))]
+
+
+def secrets_in(body: Column, most: list[int]) -> Column:
+    """Spans (start, kind, end) in a text, sorted; most: the largest bin of each group that counts as random."""
+    spans = lambda found, kind: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    assigned = F.filter(matches(body, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= LEAST_ASSIGNED)
+    limits = F.array(*map(F.lit, most))
+    random = F.filter(matches(body, TOKEN), lambda x: bin_of(x["found"]) <= F.element_at(limits, group_of(x["found"]) + 1))
+    found = F.array_sort(F.concat(spans(assigned, 0), spans(matches(body, ACCESS), 1), spans(matches(body, HEX), 2), spans(random, 3)))
+
+    def listed_once(all_: Column) -> Column:
+        """Without random tokens inside a span of another kind: none of those before reaches beyond them."""
+        reach = before(F.transform(all_, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(-1)), F.lit(-1), lambda a, b: F.greatest(a, b))
+        kept = F.zip_with(all_, reach, lambda x, r: F.when((x["kind"] < 3) | (r < x["end"]), x))
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    return let(found, lambda all_: F.when(F.size(all_) > 0, listed_once(all_)).otherwise(all_))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds secrets: array of (start, kind, end), sorted; kind is a place in KINDS. A column of this name is replaced.
 
     Null text counts as empty. Spans are code points, the end exclusive. Random tokens inside a span of another kind
-    are not listed again.
+    are not listed again. An empty table stays empty. In a corpus with little plain text there is no telling what text
+    looks like, and few tokens or none are called random.
     """
-    docs = docs.drop("secrets")
-    least = structured_from(docs, text)
-    body = F.coalesce(F.col(text), F.lit(""))
-    spans = lambda found, kind: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-    assigned = F.filter(matches(body, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= LEAST_ASSIGNED)
-    base = F.array_sort(F.concat(spans(assigned, 0), spans(matches(body, ACCESS), 1), spans(matches(body, HEX), 2)))
-    most = F.array(*map(F.lit, least))
-    random = F.filter(tokens(body), lambda x: x["bin"] < F.element_at(most, x["class"] + 1))
-    out = docs.withColumns({"_base": base, "_random": spans(random, 3)})
-    added = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
-    return out.withColumn("secrets", F.array_sort(F.concat("_base", added))).drop("_base", "_random")
+    return docs.withColumn("secrets", secrets_in(F.coalesce(F.col(text), F.lit("")), random_up_to(docs, text)))
 
 
 def listed(spans: Column) -> Column:
@@ -189,13 +238,13 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The same documents, with each secret's span (overlapping ones as one) replaced by MASK."""
+    """The same documents, with each secret's span (overlapping ones as one) replaced by MASK; no column is added."""
     body = F.col(text)
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.concat(F.substring(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(gap))).otherwise(acc["out"]).alias("out"))
+    def blank(spans: Column) -> Column:
+        at = before(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        gaps = F.zip_with(spans, at, lambda x, a: F.when(x["start"] >= a, F.concat(F.substring(body, a + 1, x["start"] - a), F.lit(MASK))))
+        return F.concat(F.array_join(gaps, ""), F.substring(body, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(body)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    blank = F.aggregate("secrets", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
-    return scan(docs, text).withColumn(text, F.when(F.size("secrets") > 0, blank).otherwise(body)).drop("secrets")
+    spans = secrets_in(F.coalesce(body, F.lit("")), random_up_to(docs, text))
+    return docs.withColumn(text, let(spans, lambda s: F.when(F.size(s) > 0, blank(s)).otherwise(body)))
