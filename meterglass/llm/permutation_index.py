@@ -3,7 +3,8 @@
 A vector is represented by its nearest pivots, in order. Each shard of the rows posts its vectors in one inverted file
 a pivot, with the pivot's place in the vector's order. A query adds up, over the files of its own nearest pivots, how
 little the places differ (the footrule distance, turned round); the best share of a shard by that is ranked again by
-the exact cosine. Shards and groups of queries meet in blocks, and each query keeps its best over all shards.
+the exact cosine. Shards and groups of queries meet in blocks, and each query keeps its best over all shards. Each
+vector is in NEAREST of the PIVOTS files, and a query opens as many: it meets NEAREST ** 2 / PIVOTS postings a vector.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Pivots: the distinct vectors of least hash. How many of them represent a vector.
-PIVOTS, NEAREST = 512, 192
-#: Rows of a shard and queries of a group, about; the share of a shard that is ranked again.
-SHARD, QUERIES, SHARE = 8_192, 32_768, 12
+PIVOTS, NEAREST = 1_024, 64
+#: Rows of a shard and queries of a group, about; one row in so many of a shard is ranked again.
+SHARD, QUERIES, SHARE = 32_768, 32_768, 16
 
 
 def usable(vector: str) -> Column:
@@ -42,9 +45,11 @@ def search(queries: pd.DataFrame, rows: pd.DataFrame, pivots: np.ndarray, k: int
     """The k nearest of one shard's rows for each query: (query_id, vec_id, score)."""
     if queries.empty or rows.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    rows = rows.sort_values("id")
     x, q = matrix(rows["v"]), matrix(queries["v"])
     ids, query_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
     norm = np.sqrt((x * x).sum(axis=1))
+    later = np.arange(len(rows))
     order = places(x, pivots, NEAREST)
     depth = order.shape[1]
     # inverted files: entries sorted by pivot, (row, place) each
@@ -54,11 +59,12 @@ def search(queries: pd.DataFrame, rows: pd.DataFrame, pivots: np.ndarray, k: int
     take = max(4 * k, -(-len(rows) // SHARE))
     out = []
     for query_id, vector, mine in zip(query_ids, q, places(q, pivots, NEAREST), strict=True):
-        near = np.zeros(len(rows), np.int32)
+        near = np.zeros(len(rows), np.int64)
         for at, pivot in enumerate(mine):
             a, b = edge[pivot], edge[pivot + 1]
             near[row[a:b]] += depth - np.abs(place[a:b] - at)
-        best = np.argpartition(-near, take - 1)[:take] if take < len(rows) else np.arange(len(rows))
+        # no two are equal: of equally near ones those with smaller ids come first
+        best = np.argpartition(later - near * len(rows), take - 1)[:take] if take < len(rows) else later
         best = best[ids[best] != query_id]
         score = (x[best] * vector).sum(axis=1) / (norm[best] * np.sqrt((vector * vector).sum()))
         top = np.lexsort((ids[best], -score))[:k]
@@ -77,10 +83,11 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_
     spark = vectors.sparkSession
     # one row a key: partial aggregation first, so many copies of one vector are no hot spot
     rows = vectors.where(F.col(key).isNotNull() & usable(vector)).groupBy(F.col(key)).agg(F.min(vector).alias("v"))
+    rows = common.cut(rows)
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     rows = rows.where(F.size("v") == (size["d"] if size else 0)).withColumn("asks", queries).select(F.col(key).alias("id"), "v", "asks")
     nth = F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("id"))
-    posted = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("id", "v")
+    posted = common.cut(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("id", "v"))
     sample = posted.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h", "v").limit(PIVOTS).collect()  # of bounded size
     pivots = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), size["d"] if size else 1)
     pivots /= np.maximum(np.sqrt((pivots * pivots).sum(axis=1, keepdims=True)), 1e-300)
