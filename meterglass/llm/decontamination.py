@@ -1,17 +1,22 @@
 """Benchmark decontamination: which words of a document lie inside passages of benchmark items.
 
 All windows of all items go into one Aho-Corasick automaton over normalised text. Each document is scanned once;
-match ends are mapped back to word numbers and from there to code points of the original text.
+match ends are mapped back to word numbers and from there to code points of the original text. A benchmark too large for
+one automaton is dealt to several; documents are then scanned once for each, one after the other, so that neither the
+driver nor a task ever holds more than one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +24,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
-#: Characters of window text in one automaton. A larger benchmark is dealt to several automata of this size.
+#: Characters of window text in one automaton, about. A larger benchmark is dealt to several automata of this size.
 MOST_PATTERN_CHARS = 6_000_000
+#: The automaton that a Python worker built last, by name.
+_BUILT: dict[str, "Automaton"] = {}
 ADDED = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
@@ -83,16 +90,17 @@ def code_points(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in runs]
 
 
-def benchmark_shards(benchmark: DataFrame, size: int) -> list[list[tuple[str | None, str]]]:
-    """Distinct items, normalised, dealt so that each automaton stays under MOST_PATTERN_CHARS.
+def shard(items: DataFrame, n: int, k: int) -> list[tuple[str | None, str]]:
+    """The k-th of n shards of items (id, t), normalised: of bounded size, as n is chosen by size."""
+    rows = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k).toLocalIterator()
+    return [(r.id, normal) for r in rows if (normal := joined(r.t))]
 
-    Items come to the driver one bounded shard at a time; the estimate of the window text decides how many there are.
-    """
-    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("t")).where("t is not null").distinct()
-    chars = items.agg(F.sum(F.octet_length("t").cast("long")).alias("n")).first()["n"] or 0
-    n = max(1, -(-chars * size // MOST_PATTERN_CHARS))
-    part = F.pmod(F.xxhash64("id", "t"), F.lit(n))
-    return [[(r.id, normal) for r in items.where(part == k).toLocalIterator() if (normal := joined(r.t))] for k in range(n)]
+
+def built(sent: Broadcast, name: str, size: int) -> Automaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(sent.value, size)
+    return _BUILT[name]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, text: str = "text") -> DataFrame:
@@ -105,32 +113,74 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
-    sent = [spark.sparkContext.broadcast(shard) for shard in benchmark_shards(benchmark, size)]
-    schema = common.plus(docs, ADDED)
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("t")).where("t is not null").distinct()
+    chars = items.agg(F.sum(F.octet_length("t").cast("long")).alias("n")).first()["n"] or 0
+    n = max(1, -(-chars * size // MOST_PATTERN_CHARS))
     types = to_arrow_schema(T.StructType.fromDDL(ADDED))
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value, size) for b in sent]
-        for batch in common.slices(batches, text):
-            rows: list[tuple] = []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                original = value.as_py() or ""
-                normal = joined(original)
-                n = max(0, normal.count(" ") - 1)
-                runs, items = [], set()
-                for m in machines:
-                    r, i = m.hits(normal)
-                    runs += r
-                    items |= i
-                runs = merged(runs)
-                rows.append((n, sum(b - a for a, b in runs), len(items), sorted(items), code_points(original, runs) if runs else []))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)] if rows else [pa.array([], t) for t in types.types]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *types.names])
-
-    out = docs.mapInArrow(scanned, schema)
+    def described(original: str, normal: str, runs: list[tuple[int, int]], found: Iterable[str]) -> tuple:
+        words = max(0, normal.count(" ") - 1)
+        return words, sum(b - a for a, b in runs), len(set(found)), sorted(set(found)), code_points(original, runs) if runs else []
+
+    def columns(rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)]
+
+    if n == 1:
+        sent, name = spark.sparkContext.broadcast(shard(items, 1, 0)), uuid.uuid4().hex
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = built(sent, name, size)
+            for batch in common.slices(batches, text):
+                rows = []
+                for value in batch.column(batch.schema.get_field_index(text)):
+                    original = value.as_py() or ""
+                    normal = joined(original)
+                    rows.append(described(original, normal, *machine.hits(normal)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns(rows)], [*batch.schema.names, *types.names])
+
+        out = docs.mapInArrow(scanned, common.plus(docs, ADDED))
+    else:
+        keys = [F.xxhash64(text), F.xxhash64(text, F.lit(1))]  # what is found depends on the text alone
+        texts = docs.select(keys[0].alias("h1"), keys[1].alias("h2"), F.col(text).alias("text"))
+        parts = [hits_of(texts, shard(items, n, k), size) for k in range(n)]
+        found = reduce(DataFrame.union, parts).groupBy("h1", "h2").agg(F.flatten(F.collect_set("runs")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
+        pairs = docs.select(F.struct("*").alias("d"), keys[0].alias("h1"), keys[1].alias("h2")).join(found, ["h1", "h2"], "left").select("d", "runs", "items")
+
+        def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                whole = pa.RecordBatch.from_struct_array(batch.column(0))
+                rows = []
+                for value, runs, ids in zip(whole.column(whole.schema.get_field_index(text)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    original = value.as_py() or ""
+                    rows.append(described(original, joined(original), merged([(r["first"], r["last"]) for r in runs or []]), ids or []))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([*whole.columns, *columns(rows)], [*whole.schema.names, *types.names])
+
+        out = pairs.mapInArrow(finished, common.plus(docs, ADDED))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
+def hits_of(texts: DataFrame, items: list[tuple[str | None, str]], size: int) -> DataFrame:
+    """(h1, h2, runs, items) of the texts (h1, h2, text) that one shard of items hits; written, so that the shard can go."""
+    sent, name = texts.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    schema = "h1 long, h2 long, runs array<struct<first:int,last:int>>, items array<string>"
+    types = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = built(sent, name, size)
+        for batch in common.slices(batches, "text"):
+            out = []
+            for row in batch.to_pylist():
+                runs, ids = machine.hits(joined(row["text"] or ""))
+                if runs:
+                    out.append({"h1": row["h1"], "h2": row["h2"], "runs": [{"first": a, "last": b} for a, b in runs], "items": sorted(ids)})
+            yield pa.RecordBatch.from_pylist(out, types)
+
+    found = common.cut(texts.mapInArrow(scanned, schema))
+    sent.destroy()
+    return found
+
+
 def items_digest(items: str = "items") -> Column:
     """SHA-256 of the sorted item ids, joined with commas."""
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)

@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -41,7 +43,9 @@ def odd():
 # ---- 1
 
 
-def test_contamination_is_what_the_rule_says(spark, odd):
+@pytest.mark.parametrize("chars", [6_000_000, 2_000])  # one automaton, and several
+def test_contamination_is_what_the_rule_says(spark, odd, monkeypatch, chars):
+    monkeypatch.setattr(decontamination, "MOST_PATTERN_CHARS", chars)
     rng = random.Random(1)
     items = [(i, made_up(rng, n)) for i, n in enumerate((40, 13, 14, 5, 1, 60))] + [(7, None), (8, "..."), (None, made_up(rng, 20)), (0, made_up(rng, 30))]
     docs = list(odd)
@@ -50,7 +54,8 @@ def test_contamination_is_what_the_rule_says(spark, odd):
         a = rng.randint(0, max(0, len(item) - 14))
         docs.append(f"{made_up(rng, rng.randint(0, 400))}, {' - '.join(item[a : a + rng.randint(10, 25)]).upper()}! {made_up(rng, 30)}")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contamination(frame(spark, docs), benchmark).collect()
+    got = decontamination.contamination(frame(spark, docs).selectExpr("*", "1 as h1", "2 as spans", "3 as d"), benchmark).collect()
+    assert len(got) == len(docs) and {(r.h1, r.d) for r in got} == {(1, 3)}
     grams = []
     for i, t in items:
         w = words(t)
@@ -169,24 +174,92 @@ def test_secret_spans(spark, odd):
     assert secrets.scan(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_random_tokens_by_the_same_procedure_in_numpy(spark):
+def battery(token):
+    """Bin of a token, in plain Python."""
+    parts = max(1, len(token) // secrets.TESTED)
+    cuts = [token[k * secrets.TESTED : (k + 1) * secrets.TESTED if k < parts - 1 else None] for k in range(parts)]
+    bins = []
+    for s in cuts:
+        alphabet = next((letters for pattern, letters in secrets.ENCODINGS if re.search(pattern, s)), secrets.BASE64)
+        v, n, a = np.array([alphabet.index(c) for c in s], float), len(s), len(alphabet)
+        upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+        chi = (max(a / n * sum(k * k for k in Counter(s).values()) - n, 0) / (a - 1)) ** (1 / 3)
+        p = [upper((chi - 1 + 2 / 9 / (a - 1)) / math.sqrt(2 / 9 / (a - 1)))]
+        high = v >= a / 2
+        h, runs = high.sum(), 1 + (high[1:] != high[:-1]).sum()
+        mean = 2 * h * (n - h) / n + 1
+        p.append(2 * upper(abs(6.0 if h in (0, n) else (runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)))))
+        x = v - v.mean()
+        p.append(2 * upper(abs(6.0 if not x.any() else (x[1:] @ x[:-1] / (x @ x) + 1 / n) * math.sqrt(n))))
+        half = -sum(math.log(min(max(q, 1e-30), 1)) for q in p)
+        bins.append(min(int((half - math.log(1 + half + half * half / 2)) * secrets.STEPS), secrets.MOST_BINS))
+    return min(bins)
+
+
+def group(token):
+    return 2 * sum(len(token) >= n for n, _ in secrets.LENGTHS[1:]) + bool(re.search("[^A-Za-z]", token))
+
+
+POOL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.fixture(scope="module")
+def plain_texts():
+    rng = random.Random(14)
+    some = COMMON + "people water under there would because another different through little house world again study letter mother answer found still learn plant cover food between state never started city earth thought".split()
+    return [" ".join(rng.choice(some) for _ in range(60)) for _ in range(600)]
+
+
+def test_random_tokens_by_the_same_procedure_in_plain_python(spark, plain_texts):
     rng = random.Random(4)
-    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(rng.choice(pool) for _ in range(40)) + "7q" for _ in range(30)]
-    plain = [f"path/to/folder/number/{i}/and/file/name/again/and/again" for i in range(60)]
-    df = frame(spark, [f"x {t} y" for t in keys + plain])
+    keys = ["".join(rng.choice(POOL) for _ in range(n)) for n in (24, 42, 70, 200) for _ in range(20)]
+    letters = ["".join(rng.choice(POOL[:52]) for _ in range(n)) for n in (42, 90) for _ in range(15)]
+    plain = [f"path/to/folder/number/{i}/and/file/name/again/and/again" for i in range(60)] + ["Internationalisierungsbeauftragter", "donaudampfschifffahrtsgesellschaftskapitaen", "20240131000000000001", "the-quick-brown-fox-jumps-over-the-lazy-dog-again"]
+    texts = [f"x {t} y" for t in keys + letters + plain] + plain_texts
+    df = frame(spark, texts)
+    found = [m for t in texts for m in re.findall(secrets.TOKEN, t)]
+    other = [s for r in df.select(secrets.plain_strings(F.col("text")).alias("p")).collect() for s in r.p or []]
+    assert len(other) > 4 * len(plain_texts) and {len(s) for s in other} == {n for n, _ in secrets.LENGTHS}
+    bins = {r.t: r.b for r in spark.createDataFrame([(t,) for t in {*found, *other}], "t string").select("t", secrets.bin_of(F.col("t")).alias("b")).collect()}
+    off = [t for t, b in bins.items() if b != battery(t)]
+    assert len(off) <= 0.002 * len(bins) and all(abs(bins[t] - battery(t)) == 1 for t in off)
+    most = [-1] * 10
+    for g in range(10):
+        mine, theirs = sorted(bins[t] for t in found if group(t) == g), sorted(bins[t] for t in other if group(t) == g)
+        for k, b in enumerate(mine, 1):
+            k = sum(x <= b for x in mine)
+            if (1 + sum(x <= b for x in theirs)) / (1 + len(theirs)) <= secrets.LENGTHS[g // 2][1] * k / len(mine):
+                most[g] = b
+    assert secrets.random_up_to(df) == most
     got = {r.doc_id: {s.kind for s in r.secrets} for r in secrets.scan(df).collect()}
-    assert sum(3 in got[i] for i in range(30)) >= 24
-    assert sum(3 in got[i] for i in range(30, 90)) <= 3
+    for i, t in enumerate(texts):
+        assert (3 in got[i]) == any(bins[m] <= most[group(m)] and not any(a <= t.index(m) and b >= t.index(m) + len(m) for a, _, b in base_spans(t)) for m in re.findall(secrets.TOKEN, t))
+    first = len(keys) + len(letters)
+    assert sum(3 in got[i] for i in range(20, first)) >= 0.9 * (first - 20)  # all but the shortest
+    assert not any(3 in got[i] for i in range(first, len(texts)))
 
 
-def test_tokens_are_tested_to_their_end(spark):
+def test_tokens_are_tested_to_their_end(spark, plain_texts):
     rng = random.Random(5)
-    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    key = "".join(rng.choice(pool) for _ in range(1500))
+    key = "".join(rng.choice(POOL) for _ in range(1500))
     texts = ["xz1" * 400 + key, key + "xz1" * 400, "path/to/folder7/" * 200, "xz1" * 500, key]
-    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secrets] for r in secrets.scan(frame(spark, texts)).collect()}
-    assert got == {i: [(0, 3, len(t))] if i in (0, 1, 4) else [] for i, t in enumerate(texts)}
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secrets] for r in secrets.scan(frame(spark, texts + plain_texts)).collect()}
+    assert {i: got[i] for i in range(5)} == {i: [(0, 3, len(t))] if i in (0, 1, 4) else [] for i, t in enumerate(texts)}
+    assert not any(got[i] for i in range(5, len(got)))
+
+
+def test_many_secrets_in_one_text_and_clashing_columns(spark):
+    rng = random.Random(15)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(30)) for _ in range(20_000)) + " password=hunter22é"
+    docs = frame(spark, [text, "token: abcdef", None]).selectExpr("*", "1 as _base", "2 as _random", "'x' as secrets")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert [(s.start, s.kind, s.end) for s in got[0].secrets] == base_spans(text) and len(got[0].secrets) == 20_001
+    assert (got[1]["_base"], got[1]["_random"]) == (1, 2)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    assert [(r.text, r.secrets) for r in clean.where("doc_id > 0").orderBy("doc_id").collect()] == [(secrets.MASK, "x"), (None, "x")]
 
 
 # ---- 5
@@ -517,11 +590,53 @@ def test_links_connect_all_that_a_bucket_connects(spark, monkeypatch):
     rows = spark.createDataFrame(buckets, "h long, id long")
     held = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint32).tobytes())) for i, s in sets.items()], "id long, s binary")
     for block in (500, 3):
-        monkeypatch.setattr(dart_minhash, "BLOCK", block, raising=False)
+        monkeypatch.setattr(dart_minhash, "BLOCK", block)
         got = {r.id: r.label for r in dart_minhash.components(dart_minhash.links(rows, held, 0.8)).collect()}
         assert {i: got.get(i, i) for i in sets} == want
 
 
+def word_sets(text, weighted):
+    w = words(text)
+    grams = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    return {(g, k) for g, n in grams.items() for k in range(n)} if weighted else set(grams)
+
+
+def test_pairs_inside_a_template_are_all_found(spark, monkeypatch):
+    rng = random.Random(17)
+    base, texts = made_up(rng, 120).split(), []
+    for _ in range(60):
+        one = base[:20] + made_up(rng, 12).split() + base[32:]
+        other = one[:70] + made_up(rng, 7).split() + one[77:]
+        texts += [" ".join(one), " ".join(other)]
+    want = classes_by_force(texts)
+    assert Counter(Counter(want).values()) == {2: 60}
+    for block in (256, 16):
+        monkeypatch.setattr(dart_minhash, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(frame(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_weighted_classes_go_by_counts(spark):
+    rng = random.Random(18)
+    line, other = made_up(rng, 30), made_up(rng, 30)
+    texts = [line + " " + other, " ".join([line] * 9) + " " + other, " ".join([line] * 10) + " " + other, " ".join([line] * 20) + " " + other, other, made_up(rng, 50)]
+    for weighted in (False, True):
+        sets = [word_sets(t, weighted) for t in texts]
+        label = classes_in_buckets([(0, i) for i in range(len(texts))], dict(enumerate(sets)))
+        got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(frame(spark, texts), weighted=weighted).collect()}
+        assert got == label
+        assert (got[3] == got[1]) != weighted and got[2] == got[1]
+
+
+def test_similar_sets_of_both_sides(monkeypatch):
+    monkeypatch.setattr(dart_minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(19)
+    sides = [[rng.choice(60, rng.integers(0, 40), replace=False).astype(np.uint32) for _ in range(n)] for n in (30, 20)]
+    got = dart_minhash.similar_sets(*([bytes(s.tobytes()) for s in side] for side in sides), 0.4)
+    want = [[len(set(a) & set(b)) >= 0.4 * len(set(a) | set(b)) > 0 for b in sides[1]] for a in sides[0]]
+    assert got.tolist() == want and np.any(got)
+
+
 def test_signatures_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(12)
     pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
