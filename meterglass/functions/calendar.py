@@ -14,6 +14,8 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exprs as X
+
 HOUR = 3_600_000
 FIRST, LAST, MOST_DAYS = date(1970, 1, 1), date(2101, 1, 1), 3660
 
@@ -113,5 +115,11 @@ def local_text(ms: Column, zone: str) -> Column:
     return F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone if zone in available_timezones() else "UTC"), "yyyy-MM-dd HH:mm:ss")
 
 
+def rezoned_text(stamp: Column, zone: str) -> Column:
+    """A time with offset as YYYY-MM-DD HH:mm:ss in the zone; anything else stays as it is."""
+    ms = F.when(stamp.rlike(X.RFC3339), X.instant_ms(stamp))
+    return F.coalesce(local_text(ms, zone), stamp)
+
+
 def default_unit(days: int) -> str:
     return "hour" if days <= 1 else "day" if days <= 31 else "week" if days <= 92 else "month"

@@ -19,7 +19,7 @@ REGION_PREFIX = r"^(us-gov|us|eu|apac|jp|au|global)\."
 VENDOR_PREFIX = r"^(anthropic|openai|google)\."
 REVISION = r"-v[0-9]+:[0-9]+$"
 EFFORT_SUFFIX = "-(xhigh|high|medium|low|minimal|max|thinking|fast)$"
-CLOUD_NAMESPACES = ("anthropic", "openai", "google", "amazon", "meta", "mistral")
+CLOUD_NAMESPACES = ("anthropic", "openai", "google", "mistral", "cohere", "meta")
 
 
 def total(*names: str) -> Column:
@@ -97,25 +97,37 @@ def host_id(machine: Column) -> Column:
     return F.substring(F.sha2(F.trim(machine), 256), 1, 16)
 
 
+def number(text: Column) -> Column:
+    """A finite double in text; null for anything else."""
+    value = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def whole_number(text: Column) -> Column:
+    """An integer in text; fractions are cut off, null beyond the range."""
+    d = number(text)
+    return F.coalesce(F.trim(text).try_cast("bigint"), F.when(F.abs(d) < 9.2e18, d.try_cast("bigint")))
+
+
+def counter(text: Column) -> Column:
+    """A count of tokens in text: never negative, 0 for what isn't a number."""
+    return F.greatest(F.coalesce(whole_number(text), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+
+
 def lossy_double(v: Column) -> Column:
     """A number or numeric string of a VARIANT as a finite double; null for anything else."""
-    kind = F.schema_of_variant(v)
-    numeric = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    value = F.when(numeric, F.try_variant_get(v, "$", "double")).when(kind == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("double"))
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    # truth values, objects and lists become text that is no number
+    return number(F.try_variant_get(v, "$", "string"))
 
 
 def lossy_bigint(v: Column) -> Column:
     """The same as an integer: fractions are cut off; null beyond the range."""
-    kind = F.schema_of_variant(v)
-    whole = F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-    d = lossy_double(v)
-    return F.coalesce(whole, F.when(F.abs(d) < 9.2e18, d.try_cast("bigint")))
+    return whole_number(F.try_variant_get(v, "$", "string"))
 
 
 def lossy_count(v: Column) -> Column:
     """A count of tokens: never negative, 0 for what isn't a number."""
-    return F.greatest(F.coalesce(lossy_bigint(v), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+    return counter(F.try_variant_get(v, "$", "string"))
 
 
 def text_or_number(v: Column) -> Column:
@@ -123,6 +135,10 @@ def text_or_number(v: Column) -> Column:
     return F.when(kind.rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(v, "$", "string"))
 
 
+def text_only(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
@@ -144,11 +160,23 @@ def split_namespace(x: Column, fallback: str) -> Column:
     return F.when(blank, F.struct(F.lit(fallback).alias("provider"), F.lit("unknown").alias("model"))).when(ns != "", F.struct(ns.alias("provider"), rest.alias("model"))).otherwise(F.struct(F.lit(fallback).alias("provider"), x.alias("model")))
 
 
-def is_local_model(provider_: Column, base_url: Column, model_: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", provider_, base_url))
-    cloud = model_.rlike(r"^(global\.)?(" + "|".join(CLOUD_NAMESPACES) + r")\.")
-    named = model_.rlike(r"^[^:/\s]+:[^:/\s]+$") | model_.rlike("^custom:.*ollama.*:")
-    return F.coalesce(~cloud & (text.contains("ollama") | text.contains(":11434") | named), F.lit(False))
+def billed_model(provider_: Column, base_url: Column, model_: Column, fallback: str) -> Column:
+    """(provider, model) of a session that names who bills it.
+
+    A cloud namespace before the model decides; then signs of a local model (the word in provider or address, its port,
+    a custom space of that name, or a tag after a colon) give `ollama`; else the provider stands, or the fallback.
+    """
+    name = F.coalesce(F.nullif(F.trim(model_), F.lit("")), F.lit("unknown"))
+    who, url = F.trim(F.coalesce(provider_, F.lit(""))), F.lower(F.coalesce(base_url, F.lit("")))
+    cloud = r"^(?:global\.)?(" + "|".join(CLOUD_NAMESPACES) + r")\.(.*\S.*)$"
+    custom = r"^(?i:custom):([^:]*):(.*\S.*)$"
+    space = F.when(F.lower(F.regexp_extract(name, custom, 1)).contains("ollama"), F.regexp_extract(name, custom, 2))
+    local = F.lower(who).contains("ollama") | url.contains("ollama") | url.contains(":11434") | space.isNotNull() | name.rlike(r"^.*\S.*:[^:]*[^:\s][^:]*$")
+    pair = lambda p, m: F.struct(p.alias("provider"), m.alias("model"))
+    return (
+        F.when(name.rlike(cloud), pair(F.regexp_extract(name, cloud, 1), F.trim(F.regexp_extract(name, cloud, 2))))
+        .when(local, pair(F.lit("ollama"), F.coalesce(space, name))).otherwise(pair(F.coalesce(F.nullif(who, F.lit("")), F.lit(fallback)), name))
+    )
 
 
 def is_placeholder(model_: Column) -> Column:

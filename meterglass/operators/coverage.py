@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ("host_id", "source")
@@ -27,6 +27,50 @@ def extend(intervals: DataFrame, new: DataFrame) -> DataFrame:
     return intervals.unionByName(new).groupBy(*PAIR, "origin").agg(F.min("interval_start").alias("interval_start"), F.max("interval_end").alias("interval_end"))
 
 
+class CutoffBeforeRecord(ValueError):
+    """A cutoff that lies before a record that was seen."""
+
+
+def extend_to_cutoff(intervals: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Intervals after rounds (host_id, source, earliest, cutoff) that say up to when they are complete.
+
+    A pair's live interval keeps its first start, or starts at the earliest record, or at the cutoff where none was
+    seen; its end never goes back. Intervals of other origins stay.
+    """
+    if rounds.where("earliest > cutoff").first():
+        raise CutoffBeforeRecord("a round's cutoff lies before its earliest record")
+    have = intervals.where("origin = 'live'").groupBy(*PAIR).agg(F.min("interval_start").alias("s"), F.max("interval_end").alias("e"))
+    new = rounds.groupBy(*PAIR).agg(F.min(F.coalesce("earliest", "cutoff")).alias("first"), F.max("cutoff").alias("cutoff"))
+    both = have.join(new, list(PAIR), "full_outer")
+    live = both.select(*PAIR, F.lit("live").alias("origin"), F.coalesce("s", "first").alias("interval_start"), F.greatest("e", "cutoff").alias("interval_end"))
+    return intervals.where("origin <> 'live'").select(live.columns).unionByName(live)
+
+
+def with_holes(usage_files: DataFrame, now_ms: int, window_start: int) -> DataFrame:
+    """(host_id, source, interval_start, interval_end, unreadable) of a round over files (host_id, source, readable).
+
+    A pair with an unreadable file has a hole: nothing of the window counts as scanned for it. Others are scanned.
+    """
+    each = usage_files.groupBy(*PAIR).agg(F.count_if(~F.col("readable")).alias("unreadable"))
+    end = F.when(F.col("unreadable") == 0, F.lit(now_ms)).otherwise(F.lit(window_start)).cast("bigint")
+    return each.select(*PAIR, F.lit(window_start).cast("bigint").alias("interval_start"), end.alias("interval_end"), "unreadable")
+
+
+def explained(buckets: DataFrame, intervals: DataFrame, now_ms: int) -> DataFrame:
+    """(label, coverage, in_progress, pairs, unknown) of buckets that aren't full: what can be said of each.
+
+    pairs: host/source texts, partly covered ones first; these are left out while the bucket goes on. unknown: nothing
+    explains the bucket, and it is over.
+    """
+    progress = (F.col("bucket_start") <= now_ms) & (now_ms < F.col("bucket_end"))
+    said = notes(buckets, intervals, now_ms).select("label", F.concat("partial", "missing").alias("pairs"))
+    none = F.array().cast("array<string>")
+    rows = status(buckets, intervals).where("coverage <> 'full'").join(said, "label", "left")
+    # a bucket whose only shortfalls are those that its going on explains has a note in its own right
+    known = F.col("pairs").isNotNull()
+    return rows.select("label", "coverage", progress.alias("in_progress"), F.coalesce("pairs", none).alias("pairs"), (~known & ~progress).alias("unknown"))
+
+
 def replace_origin(intervals: DataFrame, new: DataFrame) -> DataFrame:
     """new in place of all intervals of its (pair, origin)."""
     keys = [*PAIR, "origin"]
@@ -79,6 +123,9 @@ def masked(series: DataFrame, *measures: str) -> DataFrame:
     return series.withColumns({m: F.when(seen, F.coalesce(F.col(m), F.lit(0))) for m in measures})
 
 
-def selected(intervals: DataFrame, host: Column | None = None) -> DataFrame:
+def selected(intervals: DataFrame, host_id: str | None = None, source: str | None = None) -> DataFrame:
     """Intervals of the pairs that a report asks for; only host and source choose among them."""
-    return intervals if host is None else intervals.where(host)
+    for column, value in (("host_id", host_id), ("source", source)):
+        if value is not None:
+            intervals = intervals.where(F.col(column) == value)
+    return intervals

@@ -83,15 +83,25 @@ def priced(usage: DataFrame, matches: DataFrame) -> DataFrame:
     return df.withColumns({"layer": layer, "amount": amount}).drop(*PRICES)
 
 
-def cost_columns(counted: Column) -> list[Column]:
-    """Money by layer, and counts and billable tokens by layer of the rows that count."""
-    out = [F.round(F.coalesce(F.sum(F.when((F.col("layer") == x) & counted, F.col("amount"))), F.lit(0.0)), 6).alias(f"{x}_sum") for x in ("actual", "estimated")]
+def cost_columns(counted: Column, paid: Column | None = None, digits: int | None = 6) -> list[Column]:
+    """Money by layer of the rows that are paid (None: those that count), and counts and billable tokens of those that count."""
+    paid = counted if paid is None else paid
+    money = lambda x: F.coalesce(F.sum(F.when((F.col("layer") == x) & paid, F.col("amount"))), F.lit(0.0))
+    out = [(money(x) if digits is None else F.round(money(x), digits)).alias(f"{x}_sum") for x in ("actual", "estimated")]
     for x in ("actual", "estimated", "unavailable"):
         here = (F.col("layer") == x) & counted
         out += [F.count_if(here).alias(f"{x}_count"), F.coalesce(F.sum(F.when(here, X.billable())), F.lit(0)).alias(f"{x}_tokens")]
     return out
 
 
+COSTS = ("actual_sum", "estimated_sum", *(f"{x}_{k}" for x in ("actual", "estimated", "unavailable") for k in ("count", "tokens")))
+
+
+def in_series(digits: int | None = 9) -> list[Column]:
+    """Cost columns of a bucket or group: all money there is, but only billable rows are counted."""
+    return cost_columns(X.is_billable(), in_summary(), digits)
+
+
 def in_summary() -> Column:
     return X.is_trusted() | X.is_billable()
 

@@ -46,6 +46,13 @@ def breakdown(usage: DataFrame, by_variant: bool = False) -> DataFrame:
     return usage.withColumn("variant", variant).groupBy(*keys, "variant").agg(*measures(), F.count_distinct("session_id").alias("sessions"), F.max("agent_raw").alias("agent_label"))
 
 
+def breakdown_costs(priced: DataFrame, by_variant: bool = False) -> DataFrame:
+    """The breakdown of priced records with costs by layer: prices are known per row, so nothing is joined afterwards."""
+    variant = F.col("variant") if by_variant else F.lit(None).cast("string")
+    rows = priced.withColumn("variant", variant).groupBy("source", "agent_key", "provider_id", "model_id", "variant")
+    return rows.agg(*measures(), F.count_distinct("session_id").alias("sessions"), F.max("agent_raw").alias("agent_label"), *P.in_series())
+
+
 def trend(usage: DataFrame, span: C.LocalRange, unit: str, *by: str, extra: list[Column] | None = None) -> DataFrame:
     """(bucket_start, by, measures) of the buckets with records: one aggregation by a key that each row has itself."""
     start = C.bucket_start(F.col("time_created_utc"), unit, span)
@@ -57,19 +64,36 @@ def dense(spine: DataFrame, series: DataFrame, *values: str) -> DataFrame:
     return spine.join(series, "bucket_start", "left").na.fill(0, list(values))
 
 
+#: Bits of grouping_id over source, agent, provider and model, from the high one down; a set bit is rolled up.
+LEVELS = {0b1111: "total", 0b0111: "source", 0b1011: "agent", 0b1101: "provider", 0b1100: "model"}
+
+
+def rolled_up(base: DataFrame, *sums: Column) -> DataFrame:
+    """(bucket_start, dimension, id, id2, sums): total and four dimensions of an aggregate by bucket and all of them."""
+    columns = {k: F.col(k) for k in ("bucket_start", "source", "agent_key", "provider_id", "model_id")}
+    sets = [[columns["bucket_start"], *(columns[c] for c in extra)] for extra in ((), *DIMENSIONS.values())]
+    rows = base.groupingSets(sets, *columns.values()).agg(*sums, F.grouping_id().alias("_g"))
+    level = F.element_at(F.create_map(*(F.lit(v) for pair in LEVELS.items() for v in pair)), F.col("_g").cast("int"))
+    rows = rows.withColumns({"dimension": level, "id": F.coalesce("source", "agent_key", "provider_id", F.lit(""))})
+    rows = rows.withColumn("id2", F.coalesce(F.when(F.col("dimension") == "model", F.col("model_id")), F.lit("")))
+    return rows.drop("_g", "source", "agent_key", "provider_id", "model_id")
+
+
 def trend_bundle(usage: DataFrame, span: C.LocalRange, unit: str) -> DataFrame:
     """(bucket_start, dimension, id, id2, tokens, messages): total and four dimensions from one scan and one aggregation."""
     start = C.bucket_start(F.col("time_created_utc"), unit, span)
-    keys = ["bucket_start", "source", "agent_key", "provider_id", "model_id"]
-    base = usage.withColumn("bucket_start", start).groupBy(*keys).agg(F.sum(X.all_tokens()).alias("tokens"), F.count_if(F.col("granularity") == "message").alias("messages"))
-    columns = {k: F.col(k) for k in keys}
-    sets = [[columns["bucket_start"], *(columns[c] for c in extra)] for extra in ((), *DIMENSIONS.values())]
-    rows = base.groupingSets(sets, *columns.values()).agg(F.sum("tokens").alias("tokens"), F.sum("messages").alias("messages"), F.grouping_id().alias("g"))
-    # bits of grouping_id: source, agent, provider, model from the high one down; a set bit is rolled up
-    name = {0b1111: "total", 0b0111: "source", 0b1011: "agent", 0b1101: "provider", 0b1100: "model"}
-    g = F.element_at(F.create_map(*(F.lit(v) for pair in name.items() for v in pair)), F.col("g").cast("int"))
-    first = F.coalesce("source", "agent_key", "provider_id", F.lit(""))
-    return rows.select("bucket_start", g.alias("dimension"), first.alias("id"), F.coalesce(F.when(g == "model", F.col("model_id")), F.lit("")).alias("id2"), "tokens", "messages")
+    base = usage.withColumn("bucket_start", start).groupBy("bucket_start", "source", "agent_key", "provider_id", "model_id").agg(F.sum(X.all_tokens()).alias("tokens"), F.count_if(F.col("granularity") == "message").alias("messages"))
+    return rolled_up(base, F.sum("tokens").alias("tokens"), F.sum("messages").alias("messages")).select("bucket_start", "dimension", "id", "id2", "tokens", "messages")
+
+
+def trend_costs(priced: DataFrame, span: C.LocalRange, unit: str) -> DataFrame:
+    """The bundle of priced records with all measures, costs by layer and, for agents, a label: one scan, one aggregation."""
+    start = C.bucket_start(F.col("time_created_utc"), unit, span)
+    base = priced.withColumn("bucket_start", start).groupBy("bucket_start", "source", "agent_key", "provider_id", "model_id").agg(*measures(), *P.in_series(None), F.max("agent_raw").alias("label"))
+    names = [*TOKENS, "messages", "session_records", *P.COSTS]
+    sums = [F.round(F.sum(c), 9).alias(c) if c.endswith("_sum") else F.sum(c).alias(c) for c in names]
+    rows = rolled_up(base, *sums, F.max("label").alias("label"))
+    return rows.withColumn("label", F.when(F.col("dimension") == "agent", F.col("label")))
 
 
 def top_groups(series: DataFrame, n: int = 6) -> DataFrame:
@@ -117,10 +141,11 @@ def observed_classes(observed: DataFrame) -> DataFrame:
     return rows.select("class", place.alias("place"), "provider_id", "model_id", "records")
 
 
-def provider_rank(observed: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(place, provider_id, records): observed providers by use, then those that only the catalog has."""
+def provider_rank(observed: DataFrame, *others: DataFrame) -> DataFrame:
+    """(place, provider_id, records): observed providers by use, then those that only others (catalog, saved prices) have."""
     seen = observed.groupBy("provider_id").agg(F.sum("records").alias("records"))
-    rows = seen.unionByName(catalog.select("provider_id", F.lit(0).cast("bigint").alias("records"))).groupBy("provider_id").agg(F.sum("records").alias("records"))
+    unused = [o.select("provider_id", F.lit(0).cast("bigint").alias("records")) for o in others]
+    rows = reduce(DataFrame.unionByName, unused, seen).groupBy("provider_id").agg(F.sum("records").alias("records"))
     place = F.row_number().over(Window.orderBy(F.desc("records"), "provider_id"))  # as many rows as providers
     return rows.select(place.alias("place"), "provider_id", "records")
 
@@ -134,6 +159,21 @@ def drill(usage: DataFrame, level: str) -> DataFrame:
     return rows.withColumn("share", F.when(whole > 0, F.round(F.col("tokens") / whole, 6)).otherwise(0.0))
 
 
+def variants(usage: DataFrame) -> DataFrame:
+    """Models of each agent with their variants nested, heaviest first: (id, tokens, records); no variant has the id ''."""
+    keys = ["source", "agent_key", "provider_id", "model_id"]
+    each = usage.groupBy(*keys, F.coalesce("variant", F.lit("")).alias("id")).agg(F.sum(X.all_tokens()).alias("tokens"), F.count("*").alias("records"))
+    nested = F.array_sort(F.collect_list(F.struct((-F.col("tokens")).alias("w"), "id", "tokens", "records")))
+    rows = each.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.sum("records").alias("records"), nested.alias("variants"))
+    return rows.withColumn("variants", F.transform("variants", lambda v: v.dropFields("w")))
+
+
+def detail_costs(page: DataFrame, matches: DataFrame) -> DataFrame:
+    """A page of records with what each cost: actual, or estimated, or neither and unavailable."""
+    rows = P.priced(page, matches)
+    return rows.select(*page.columns, *(F.when(F.col("layer") == x, F.col("amount")).alias(x) for x in ("actual", "estimated")), (F.col("layer") == "unavailable").alias("unavailable"))
+
+
 def detail(usage: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page of records, newest first. The order is total, so pages neither overlap nor miss rows."""
     if limit <= 0 or offset < 0:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..functions import exprs as X
 from ..operators import coverage as K
+from ..operators import hosts as H
 from ..operators import merge as M
 from ..operators import pricing as P
 from ..operators import reports as R
@@ -130,11 +132,46 @@ def wire_meta(spark, sf):
     return wire.meta(I.usage(spark, sf), since=0).select("host_id", "source", "eligible_count", "cutoff")
 
 
-@query("SELECT source, granularity, count(*) AS n FROM usage_record WHERE source IN ('opencode', 'hermes', 'codex') GROUP BY 1, 2")
+@query("SELECT source, granularity, count(*) AS n FROM usage_record GROUP BY 1, 2")
 def union_sources(spark, sf):
     u = I.usage(spark, sf)
-    parts = [u.where(F.col("source") == s) for s in ("opencode", "hermes", "codex")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source", "granularity").agg(F.count("*").alias("n"))
+    parts = [u.where(F.col("source") == s) for s in H.SUPPORTED]
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "granularity").agg(F.count("*").alias("n"))
+
+
+SESSION_MODEL = "CASE WHEN id % 5 = 0 THEN 'anthropic' WHEN id % 5 = 1 THEN 'openai' WHEN id % 5 IN (2, 3) OR id % 7 = 0 THEN 'ollama' WHEN id % 2 = 0 THEN 'custom' ELSE 'hermes' END AS provider_id, CASE id % 5 WHEN 0 THEN 'claude-x' WHEN 1 THEN 'gpt-5.4' WHEN 2 THEN 'qwen3:8b' WHEN 3 THEN 'llama3' ELSE 'unknown' END AS model_id"
+
+
+@query(
+    f"WITH s AS (SELECT user_id AS id, epoch_us(max(ts)) AS last_us, count(*) AS n, sum(floor(value))::bigint - 1500 AS tok FROM events GROUP BY 1) SELECT cast(id AS varchar) AS message_id, CASE WHEN id % 3 <> 0 THEN last_us // 1000 END AS time_completed_utc, tok AS tok_input, n * 3 AS tok_output, n AS tok_reasoning, n * 2 AS tok_cache_read, n AS tok_cache_write, {SESSION_MODEL}, 'session' AS granularity, 'unavailable' AS cost_source FROM s WHERE tok >= 0",
+    usage=False,
+)
+def session_records(spark, sf):
+    from ..sources import sessions as S
+
+    rows = S.normalised(S.with_activity(*S.from_events(I.table(spark, sf, "events")))).where("skip_reason is null")
+    return rows.select("message_id", "time_completed_utc", "tok_input", "tok_output", "tok_reasoning", "tok_cache_read", "tok_cache_write", "provider_id", "model_id", "granularity", "cost_source")
+
+
+# a line of a transcript for each event; three after each other are copies of one answer
+LINE = """'{"type":"' || CASE WHEN event_id % 11 = 10 THEN 'user' ELSE 'assistant' END || '","timestamp":' || cast({MS} AS {S}) || ',"sessionId":"s' || cast(user_id AS {S}) || '","requestId":"r' || cast(floor(event_id / 3) AS {S}) ||
+ '","isSidechain":' || CASE WHEN event_id % 4 = 0 THEN 'true' ELSE 'false' END || ',"message":{"id":"a' || cast(floor(event_id / 3) AS {S}) || '","model":"m","usage":{"input_tokens":' || cast(event_id % 100 AS {S}) || ',"output_tokens":' || cast(event_id % 13 AS {S}) || ',"cache_read_input_tokens":5,' ||
+ CASE WHEN event_id % 2 = 0 THEN '"cache_creation":{"ephemeral_5m_input_tokens":2,"ephemeral_1h_input_tokens":3}' ELSE '"cache_creation_input_tokens":7' END || CASE WHEN event_id % 5 = 0 THEN ',"speed":"fast"' ELSE '' END || '}}}'"""
+
+
+@query(
+    "WITH l AS (SELECT event_id // 3 AS answer, 'f' || cast(event_id % 7 AS varchar) AS path, event_id AS line, epoch_us(ts) // 1000 AS time_created_utc, user_id, event_id % 4 = 0 AS side, event_id % 100 AS tok_input, event_id % 13 AS tok_output, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 7 END AS tok_cache_write, event_id % 5 = 0 AS fast FROM events WHERE event_id % 11 <> 10), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY side, tok_input + tok_output + 5 + tok_cache_write DESC, fast DESC, path, line) AS n FROM l) "
+    "SELECT 'a' || cast(answer AS varchar) || '#r' || cast(answer AS varchar) AS message_id, 's' || cast(user_id AS varchar) AS session_id, line, time_created_utc, CASE WHEN side THEN 'sidechain' ELSE 'main' END AS agent_key, tok_input, tok_output, tok_cache_write FROM r WHERE n = 1",
+    usage=False,
+)
+def norm_transcripts(spark, sf):
+    from ..sources import lines as L
+    from ..sources import transcripts as S
+
+    value = F.expr(LINE.replace("{MS}", "unix_millis(cast(ts as timestamp))").replace("{S}", "string"))
+    rows = I.table(spark, sf, "events").select(F.expr("'f' || cast(event_id % 7 as string)").alias("path"), F.col("event_id").alias("line"), value.alias("value"))
+    return S.records(L.parsed(rows)).select("message_id", "session_id", "line", "time_created_utc", "agent_key", "tok_input", "tok_output", "tok_cache_write")
 
 
 @query(
@@ -269,6 +306,15 @@ def breakdown_variant(spark, sf):
     return R.breakdown(R.filtered(I.usage(spark, sf)), by_variant=True)
 
 
+# money of all rows that have any, to nine places, as prices of single tokens have no more; billable rows alone are counted
+SERIES_MONEY = ", ".join(f"round(coalesce(sum(amount) FILTER (layer = '{x}' AND (trusted OR billable > 0)), 0), 9) AS {x}_sum" for x in ("actual", "estimated")) + ", " + ", ".join(f"count(*) FILTER (layer = '{x}' AND billable > 0) AS {x}_count, coalesce(sum(billable) FILTER (layer = '{x}' AND billable > 0), 0)::bigint AS {x}_tokens" for x in ("actual", "estimated", "unavailable"))
+
+
+@query(PRICED + f"SELECT source, agent_key, provider_id, model_id, variant, {BREAK}, {SERIES_MONEY} FROM priced WHERE NOT is_incomplete AND {range_sql(MARCH)} GROUP BY 1, 2, 3, 4, 5")
+def breakdown_costs(spark, sf):
+    return R.breakdown_costs(priced(spark, sf), by_variant=True)
+
+
 @query("SELECT agent_key, max(agent_raw) AS agent_label FROM usage_record GROUP BY 1")
 def agent_label(spark, sf):
     return I.usage(spark, sf).groupBy("agent_key").agg(F.max("agent_raw").alias("agent_label"))
@@ -360,6 +406,14 @@ def trend_bundle(spark, sf):
     return R.trend_bundle(R.filtered(I.usage(spark, sf), MARCH), MARCH, "day")
 
 
+@query(
+    PRICED + f", b AS {spine_sql(MARCH, 'day')}, r AS (SELECT bucket_start, p.* FROM b JOIN priced p ON time_created_utc >= bucket_start AND time_created_utc < bucket_end WHERE NOT is_incomplete) "
+    + " UNION ALL ".join(f"SELECT bucket_start, '{d}' AS dimension, {a} AS id, {b} AS id2, {SUMS}, {COUNTS}, {SERIES_MONEY}, {'max(agent_raw)' if d == 'agent' else 'NULL::varchar'} AS label FROM r GROUP BY bucket_start, {a if a != chr(39) * 2 else 'bucket_start'}, {b if b != chr(39) * 2 else 'bucket_start'}" for d, a, b in (("total", "''", "''"), ("source", "source", "''"), ("agent", "agent_key", "''"), ("provider", "provider_id", "''"), ("model", "provider_id", "model_id")))
+)
+def trend_costs(spark, sf):
+    return R.trend_costs(priced(spark, sf), MARCH, "day")
+
+
 @query(BUNDLE + ", w AS (SELECT model_id, sum(tokens) AS w FROM r GROUP BY 1 HAVING sum(tokens) > 0 ORDER BY 2 DESC, 1 LIMIT 3) SELECT bucket_start, CASE WHEN model_id IN (SELECT model_id FROM w) THEN model_id ELSE 'other' END AS id, sum(tokens)::bigint AS tokens FROM r GROUP BY 1, 2")
 def trend_topn_other(spark, sf):
     u = R.filtered(I.usage(spark, sf), MARCH)
@@ -405,6 +459,13 @@ def labels(spark, sf):
     return I.usage(spark, sf).select("message_id", C.local_text(t, ZONE).alias("local"), C.label(t, C.local_date(t, ZONE), "week", MARCH).alias("week"))
 
 
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(timezone('America/New_York', date_trunc('second', ts) AT TIME ZONE 'UTC' - INTERVAL 2 HOUR), '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE 'never' END AS shown FROM events", usage=False)
+def rezoned(spark, sf):
+    plain = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    stamp = F.expr(f"case event_id % 3 when 0 then {plain} || '+02:00' when 1 then {plain} else 'never' end")
+    return I.table(spark, sf, "events").select("event_id", C.rezoned_text(stamp, ZONE).alias("shown"))
+
+
 PRESET_SQL = " UNION ALL ".join(f"SELECT '{p}' AS preset, sum({TOK})::bigint AS tokens, count(*) AS records FROM usage_record WHERE NOT is_incomplete AND time_created_utc >= {start_sql(f"DATE '{d}'")} AND time_created_utc < {start_sql("DATE '2024-03-20'")}" for p, d in (("today", "2024-03-19"), ("last_7", "2024-03-13"), ("last_30", "2024-02-19"), ("quarter", "2024-01-01"), ("year", "2024-01-01")))
 
 
@@ -431,6 +492,26 @@ def coverage_extend(spark, sf):
     return K.extend(I.intervals(u), K.observed_span(u).withColumn("origin", F.lit("live")))
 
 
+@query("SELECT host_id, source, origin, min(interval_start) AS interval_start, greatest(max(interval_end), 1712000000000) AS interval_end FROM coverage WHERE source <> 'codex' GROUP BY 1, 2, 3 UNION ALL SELECT host_id, source, 'live', min(time_created_utc), greatest(max(time_created_utc), 1712000000000) FROM usage_record WHERE source = 'codex' GROUP BY 1, 2")
+def coverage_cutoff(spark, sf):
+    u = I.usage(spark, sf)
+    rounds = u.groupBy("host_id", "source").agg(F.min("time_created_utc").alias("earliest"), F.greatest(F.max("time_created_utc"), F.lit(1712000000000)).alias("cutoff"))
+    later = rounds.withColumns({"earliest": F.when(F.col("source") == "codex", F.col("earliest")), "cutoff": F.when(F.col("source") == "codex", F.col("cutoff")).otherwise(F.lit(1712000000000))})
+    return K.extend_to_cutoff(I.intervals(u).where("source <> 'codex'"), later)
+
+
+@query(STATUS + f", n AS (SELECT label, coalesce(string_agg(host_id || '/' || source, ',' ORDER BY host_id || '/' || source) FILTER (meets AND NOT ({NOW} >= bucket_start AND {NOW} < bucket_end)), '') AS partial, coalesce(string_agg(host_id || '/' || source, ',' ORDER BY host_id || '/' || source) FILTER (NOT meets), '') AS missing FROM pp WHERE NOT covers GROUP BY ALL) SELECT label, coverage, bucket_start <= {NOW} AND {NOW} < bucket_end AS in_progress, concat_ws(',', nullif(partial, ''), nullif(missing, '')) AS pairs, false AS unknown FROM st JOIN n USING (label) WHERE coverage <> 'full'")
+def coverage_explained(spark, sf):
+    rows = K.explained(march_spine(spark), I.intervals(I.usage(spark, sf)), NOW)
+    return rows.withColumn("pairs", F.array_join("pairs", ","))
+
+
+@query(f"SELECT host_id, source, 0::bigint AS interval_start, CASE WHEN bool_or(message_id LIKE '%77') THEN 0 ELSE {NOW} END::bigint AS interval_end, count(*) FILTER (message_id LIKE '%77') AS unreadable FROM usage_record GROUP BY 1, 2")
+def coverage_holes(spark, sf):
+    files = I.usage(spark, sf).select("host_id", "source", (~F.col("message_id").like("%77")).alias("readable"))
+    return K.with_holes(files, NOW, 0)
+
+
 @query("SELECT host_id, source, min(time_created_utc) AS interval_start, max(time_created_utc) + 1 AS interval_end FROM usage_record GROUP BY 1, 2")
 def observed_span(spark, sf):
     return K.observed_span(I.usage(spark, sf))
@@ -498,6 +579,12 @@ def drill_model(spark, sf):
     return R.drill(R.filtered(I.usage(spark, sf)), "model")
 
 
+@query(f", v AS (SELECT source, agent_key, provider_id, model_id, coalesce(variant, '') AS id, sum({TOK})::bigint AS t, count(*) AS n FROM usage_record WHERE NOT is_incomplete GROUP BY ALL) SELECT source, agent_key, provider_id, model_id, sum(t)::bigint AS tokens, sum(n)::bigint AS records, string_agg(id || ':' || t || ':' || n, ',' ORDER BY t DESC, id) AS variants FROM v GROUP BY 1, 2, 3, 4")
+def drill_variants(spark, sf):
+    rows = R.variants(R.filtered(I.usage(spark, sf)))
+    return rows.withColumn("variants", F.array_join(F.transform("variants", lambda v: F.concat_ws(":", v["id"], v["tokens"].cast("string"), v["records"].cast("string"))), ","))
+
+
 @query(f", g AS (SELECT source, sum({TOK}) AS t FROM usage_record WHERE NOT is_incomplete GROUP BY 1) SELECT source, round(t / (sum(t) OVER ())::double, 6) AS share FROM g")
 def drill_share(spark, sf):
     return R.drill(R.filtered(I.usage(spark, sf)), "source").select("source", "share")
@@ -508,6 +595,44 @@ def detail_page(spark, sf):
     return R.detail(I.usage(spark, sf).select("host_id", "source", "message_id", "time_created_utc"), 500, 100)
 
 
+@query(PRICED + "SELECT message_id, host_id, CASE WHEN layer = 'actual' THEN round(amount, 9) END AS actual, CASE WHEN layer = 'estimated' THEN round(amount, 9) END AS estimated, layer = 'unavailable' AS unavailable FROM priced ORDER BY time_created_utc DESC, message_id, host_id, source LIMIT 200")
+def detail_costs(spark, sf):
+    page = R.detail(I.usage(spark, sf), 200)
+    rows = R.detail_costs(page, P.match(page, I.catalog(spark)))  # prices for the models of the page alone
+    return rows.select("message_id", "host_id", F.round("actual", 9).alias("actual"), F.round("estimated", 9).alias("estimated"), "unavailable")
+
+
+# ---- hosts and their sources
+
+HOSTS = "SELECT host_id, CASE host_id WHEN 'host-0' THEN 'opencode, codex' WHEN 'host-1' THEN ' hermes,,opencode ' ELSE 'claude-code' END AS enabled_sources FROM (SELECT DISTINCT host_id FROM {usage} UNION ALL SELECT 'host-9') h"
+
+
+def hosts(spark, sf):
+    return spark.sql(HOSTS.format(usage="{u}"), u=I.usage(spark, sf))
+
+
+@query(f", h AS ({HOSTS.format(usage='usage_record')}), e AS (SELECT host_id, trim(unnest(string_split(enabled_sources, ','))) AS source FROM h) SELECT host_id, source, count(*) AS records FROM usage_record SEMI JOIN e USING (host_id, source) GROUP BY 1, 2")
+def enabled_sources(spark, sf):
+    return H.enabled(I.usage(spark, sf), H.checked(hosts(spark, sf))).groupBy("host_id", "source").agg(F.count("*").alias("records"))
+
+
+SLOTS = "SELECT host_id, source, CASE WHEN max(source_time_updated) % 3 = 0 THEN 'error' WHEN max(source_time_updated) % 3 = 1 THEN 'running' ELSE 'idle' END AS state, max(time_completed_utc) AS last_success, count(*) AS n FROM {usage} GROUP BY 1, 2"
+
+
+@query(f", h AS ({HOSTS.format(usage='usage_record')}), s AS ({SLOTS.format(usage='usage_record')}), g AS (SELECT host_id, max(last_success) AS last_success, count(*) AS slots, CASE WHEN bool_or(state = 'error') THEN 'error' WHEN bool_or(state = 'running') THEN 'running' ELSE 'idle' END AS state FROM s GROUP BY 1) SELECT h.host_id, coalesce(g.last_success, 5) AS last_success, coalesce(slots, 0) AS slots, coalesce(g.state, 'unknown') AS state FROM h LEFT JOIN g USING (host_id)")
+def host_status(spark, sf):
+    statuses = spark.sql(SLOTS.format(usage="{u}"), u=I.usage(spark, sf))
+    rows = H.with_status(hosts(spark, sf).withColumn("last_success", F.lit(5).cast("bigint")), statuses)
+    return rows.select("host_id", "last_success", F.size("statuses").cast("bigint").alias("slots"), "state")
+
+
+@query(f", s AS ({SLOTS.format(usage='usage_record')}), d AS (SELECT host_id, source, CASE WHEN state = 'idle' THEN NULL ELSE last_success + greatest(60000, n * 10) END AS next_due, state <> 'idle' AND coalesce(last_success + greatest(60000, n * 10) <= {NOW}, true) AS due FROM s) SELECT * FROM d")
+def schedule(spark, sf):
+    slots = spark.sql(SLOTS.format(usage="{u}"), u=I.usage(spark, sf))
+    runs = slots.select("host_id", "source", F.when(F.col("state") == "idle", "manual").otherwise("timer").alias("trigger"), F.lit(60000).alias("min_interval_ms"), F.lit(10).alias("multiplier"), F.col("last_success").alias("last_completed"), F.col("n").alias("last_duration_ms"))
+    return H.next_due(runs, NOW).select("host_id", "source", "next_due", "due")
+
+
 # ---- incremental
 
 
@@ -548,6 +673,19 @@ def cumulative_delta(spark, sf):
     return M.deltas(conversation_totals(spark, sf), ["conv_id"], "turn", "total").select("conv_id", "turn", "total", "delta", "regressed")
 
 
+@query(
+    f"WITH c AS ({CONV}), l AS (SELECT *, coalesce(lag(total) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS before FROM c) SELECT 'c' || cast(conv_id AS varchar) || '.jsonl#' || cast(turn AS varchar) AS message_id, 'c' || cast(conv_id AS varchar) AS session_id, greatest(total - before, 0)::bigint AS tok_input, before > total AS regressed, total <= before AS is_incomplete, 'codex' AS provider_id FROM l",
+    usage=False,
+)
+def norm_rollouts(spark, sf):
+    from ..sources import lines as L
+    from ..sources import rollouts as S
+
+    value = F.expr("""'{"timestamp":"2026-07-01T00:00:00Z","type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":' || cast(total as string) || '}}}}'""")
+    rows = conversation_totals(spark, sf).select(F.expr("'c' || cast(conv_id as string) || '.jsonl'").alias("path"), F.col("turn").alias("line"), value.alias("value"))
+    return S.records(L.parsed(rows)).select("message_id", "session_id", "tok_input", "regressed", "is_incomplete", "provider_id")
+
+
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'system' OR turn % 5 = 0 THEN role || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS model FROM conversations", usage=False)
 def carry_forward(spark, sf):
     rows = I.table(spark, sf, "conversations").withColumn("model", F.expr("case when role = 'system' or turn % 5 = 0 then role || turn end"))

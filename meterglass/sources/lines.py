@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 def read(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, line, value): lines count from 1 and blank ones count too.
 
-    Within a task rows come in file order, and tasks of a file are told by the block they start at. Write the result
-    before going on: the number is only sure in the scan itself.
+    Rows of a file's block come in file order, so they are numbered block by block, each on its own, and moved on by the
+    lines of the blocks before: a large file is not one task.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(paths))
     rows = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-    line = F.row_number().over(Window.partitionBy("path").orderBy("block", "nth"))
-    return rows.select("path", line.alias("line"), "value")
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as blocks
+    counts = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("nth"))
+    return rows.withColumn("within", within).join(counts, ["path", "block"]).select("path", (F.col("before") + F.col("within")).alias("line"), "value")
 
 
 def documents(spark: SparkSession, *paths: str, pattern: str = "*.json", most: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -23,6 +23,18 @@ def shadowed(files: DataFrame) -> DataFrame:
     return rows.withColumn("shadowed", (F.col("origin") != "live") & F.coalesce("has_live", F.lit(False))).drop("has_live", "name")
 
 
+def gains() -> dict[str, Column]:
+    """What a line adds to each counter, and whether one fell: from totals t_, those before it p_, and stated gains l_.
+
+    Where the total has grown, stated gains count if they are not all zero, else differences, never below zero.
+    """
+    zero = F.lit(0).cast("bigint")
+    grown = sum((F.col(f"t_{k}") for k in COUNTERS), F.lit(0)) > sum((F.col(f"p_{k}") for k in COUNTERS), F.lit(0))
+    stated = sum((F.col(f"l_{k}") for k in COUNTERS), F.lit(0)) > 0
+    out = {f"tok_{k}": F.when(grown & stated, F.col(f"l_{k}")).when(grown, F.greatest(F.col(f"t_{k}") - F.col(f"p_{k}"), zero)).otherwise(zero) for k in COUNTERS}
+    return out | {"regressed": F.greatest(*((F.col(f"p_{k}") > F.col(f"t_{k}")).cast("int") for k in COUNTERS)) == 1}
+
+
 def records(lines: DataFrame) -> DataFrame:
     """Records of (path, line, value, v) lines: one for each token count event, with what it adds to the counters.
 
@@ -44,17 +56,13 @@ def records(lines: DataFrame) -> DataFrame:
     valid = rows.where("total_state = 'valid'")
     valid = valid.withColumns({f"t_{k}": X.lossy_count(at(f"payload.info.total_token_usage.{c}")) for k, c in COUNTERS.items()} | {f"l_{k}": X.lossy_count(at(f"payload.info.last_token_usage.{c}")) for k, c in COUNTERS.items()})
     valid = valid.withColumns({f"p_{k}": F.coalesce(F.lag(f"t_{k}").over(w), F.lit(0).cast("bigint")) for k in COUNTERS})
-    grown = sum((F.col(f"t_{k}") for k in COUNTERS), F.lit(0)) > sum((F.col(f"p_{k}") for k in COUNTERS), F.lit(0))
-    stated = sum((F.col(f"l_{k}") for k in COUNTERS), F.lit(0)) > 0
-    valid = valid.withColumn("regressed", F.greatest(*((F.col(f"p_{k}") > F.col(f"t_{k}")).cast("int") for k in COUNTERS)) == 1)
-    zero = F.lit(0).cast("bigint")
-    gains = {f"tok_{k}": F.when(grown & stated, F.col(f"l_{k}")).when(grown, F.greatest(F.col(f"t_{k}") - F.col(f"p_{k}"), zero)).otherwise(zero) for k in COUNTERS}
+    valid = valid.withColumns(gains())
     model = X.split_namespace(F.col("full_model"), "codex")
     file = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
     uuid = F.regexp_extract(file, r"([0-9a-fA-F-]{36})$", 1)
-    out = valid.withColumns(gains).withColumns({"time_created_utc": X.instant_ms(X.text_or_number(at("timestamp"))), "model": model, "ordinal": X.text_or_number(at("ordinal"))})
+    out = valid.withColumns({"time_created_utc": X.instant_ms(X.text_or_number(at("timestamp"))), "model": model, "ordinal": X.text_or_number(at("ordinal"))})
     out = out.where("time_created_utc is not null")
     return out.select(
         "path", "line", F.concat_ws("#", "path", F.coalesce("ordinal", F.col("line").cast("string"))).alias("message_id"), F.coalesce("session_id", F.when(uuid != "", uuid).otherwise(file)).alias("session_id"), "time_created_utc", "project_dir",
-        F.when(F.col("model.provider") == "codex", F.coalesce("meta_provider", F.lit("codex"))).otherwise(F.col("model.provider")).alias("provider_id"), F.coalesce("model.model", F.lit("unknown")).alias("model_id"), *gains, "regressed", (F.col("tok_input") + F.col("tok_output") + F.col("tok_cache_read") + F.col("tok_cache_write") == 0).alias("is_incomplete"),
+        F.when(F.col("model.provider") == "codex", F.coalesce("meta_provider", F.lit("codex"))).otherwise(F.col("model.provider")).alias("provider_id"), F.coalesce("model.model", F.lit("unknown")).alias("model_id"), *(f"tok_{k}" for k in COUNTERS), "regressed", (F.col("tok_input") + F.col("tok_output") + F.col("tok_cache_read") + F.col("tok_cache_write") == 0).alias("is_incomplete"),
     )

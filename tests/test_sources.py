@@ -1,14 +1,19 @@
 """Adapters, merging and streaming on small hand-made inputs."""
 
 import json
+import random
+from datetime import date
 from itertools import permutations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meterglass.operators import coverage, merge, pricing
+from meterglass.functions import exprs
+from meterglass.functions.calendar import LocalRange
+from meterglass.operators import coverage, hosts, merge, pricing, reports
 from meterglass.schema import USAGE, SchemaMismatch, checked
-from meterglass.sources import applog, lines, messages, prices, rollouts, transcripts, wire
+from meterglass.sources import applog, lines, messages, prices, rollouts, sessions, transcripts, wire
 from meterglass.streaming import ingest
 
 
@@ -77,14 +82,112 @@ def test_legacy_documents(spark):
     assert got["m2"].skip_reason == "time_missing"
 
 
-def test_wire_round_trip(spark):
-    rows = usage(spark, usage_row(), usage_row(message_id="n", source="other", cost=0.5, cost_source="actual"))
-    body = [r.value for r in wire.lines(rows).collect()]
-    head = json.dumps({"protocol_version": 1, "machine_id_hash": "abc", "sources": [{"source": "s"}]})
-    batch = spark.createDataFrame([(i + 1, v) for i, v in enumerate([head, *body])], "line int, value string")
-    assert [tuple(r) for r in wire.decode(batch, "abc", "s").collect()] == [tuple(r) for r in rows.where("source = 's'").collect()]
-    with pytest.raises(wire.RejectedBatch):
-        wire.decode(batch, "other", "s")
+def test_wire_round_trip(spark, tmp_path):
+    rows = usage(spark, usage_row(), usage_row(message_id="n", source="other", cost=0.5, cost_source="actual"), usage_row(message_id="o", source_time_updated=8))
+    wire.write(wire.batch(rows, "abc", "box", "1", 3, {"s": "/d", "other": "/e", "none": "/f"}, {"s": 4}), str(tmp_path / "batch"))
+    batch = wire.read(spark, str(tmp_path / "batch"))
+    records, report = wire.verified(batch, "abc", "s", 9)
+    assert sorted(map(tuple, records.collect()), key=str) == sorted(map(tuple, rows.where("source = 's'").collect()), key=str)
+    assert report == {"machine_id_hash": "abc", "hostname": "box", "collector_version": "1", "source": "s", "data_dir": "/d", "eligible_count": 2, "skipped_count": 4, "since": 3, "cutoff": 9}
+    assert wire.verified(batch, "abc", "none", 0)[1]["eligible_count"] == 0
+    for host, source in (("def", "s"), ("abc", "absent")):
+        with pytest.raises(wire.RejectedBatch):
+            wire.decode(batch, host, source)
+    short = batch.where("value not like '%\"messageId\":\"o\"%'")
+    late = batch.union(spark.createDataFrame([(99, wire.lines(usage(spark, usage_row(message_id="p", source_time_updated=99))).first().value)], "line long, value string"))
+    twice = batch.where("value not like '%\"messageId\":\"o\"%'").union(batch.where("value like '%\"messageId\":\"m\"%'"))
+    for bad, why in ((short, "announced"), (late.where("value not like '%\"messageId\":\"o\"%'"), "cutoff"), (twice, "twice")):
+        with pytest.raises(wire.RejectedBatch, match=why):
+            wire.verified(bad, "abc", "s", 0)
+    broken = batch.union(spark.createDataFrame([(7, "{nonsense")], "line long, value string"))
+    with pytest.raises(Exception, match="malformed record in line 7"):
+        wire.decode(broken, "abc", "s").collect()
+
+
+def test_large_files_are_numbered_block_by_block(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(str(i) for i in range(1, 30_001)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert lines.read(spark, str(tmp_path)).where("line <> cast(value as bigint)").count() == 0
+        assert lines.read(spark, str(tmp_path)).count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_documents_at_their_depth_and_first_by_path(spark, tmp_path):
+    for name in ("s1/a.json", "s1/b.json", "s2/c.json", "d.json", "s1/deep/e.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    files = lines.documents(spark, str(tmp_path))
+    assert sorted(r.path[-6:] for r in messages.in_depth(files, str(tmp_path)).collect()) == ["a.json", "b.json", "c.json"]
+    assert [r.path.rsplit("/", 1)[1] for r in lines.documents(spark, str(tmp_path), most=2).orderBy("path").collect()] == ["d.json", "a.json"]
+
+
+def message(n, data, updated=None):
+    return (f"m{n}", "s", n, updated or n, json.dumps(data) if isinstance(data, dict) else data)
+
+
+def test_messages_and_backups(spark, tmp_path):
+    full = {"role": "assistant", "tokens": {"input": 3, "cache": {"read": "4", "write": True}}, "agent": "Build Bot", "model": {"providerID": "p", "modelID": "m", "variant": "high"}, "cost": 0.25, "time": {"completed": 9}, "path": {"cwd": "/w"}}
+    rows = [message(1, full), message(2, {"role": "assistant", "tokens": {}}), message(3, {"role": "user"}), message(4, "[1]"), message(5, '{"role": "assistant", "tokens": {"input": 1}'), message(6, {"role": "assistant", "tokens": None}), message(7, {"role": "assistant", "tokens": {"output": 1}, "agent": 5, "providerID": {"x": 1}, "modelID": 7, "cost": "-1"})]
+    df = spark.createDataFrame(rows, "id string, session_id string, time_created long, time_updated long, data string")
+    why = {r.id: r.skip_reason for r in messages.normalised(df).collect()}
+    assert why == {"m1": None, "m2": None, "m3": "not_assistant", "m4": "not_json", "m5": "not_json", "m6": why["m6"], "m7": None} and why["m6"] in ("tokens_missing", "tokens_invalid")
+    got = {r.message_id: r for r in checked(messages.records(df, "h")).collect()}
+    r = got["m1"]
+    assert (r.tok_input, r.tok_cache_read, r.tok_cache_write, r.agent_raw, r.agent_key, r.provider_id, r.model_id, r.variant, r.cost, r.cost_source, r.project_dir, r.origin_priority) == (3, 4, 0, "Build Bot", "build-bot", "p", "m", "high", 0.25, "actual", "/w", 3)
+    assert got["m2"].is_incomplete and (got["m7"].agent_raw, got["m7"].provider_id, got["m7"].model_id, got["m7"].cost) == ("unknown", "unknown", "7", None)
+    paths = [str(tmp_path / n) for n in "ab"]
+    for p in paths:
+        df.write.parquet(p)
+    assert messages.backups(spark, paths, "h", enabled=False).count() == 0
+    back = messages.backups(spark, paths, "h", enabled=True)
+    assert back.count() == 6 and {r.origin for r in back.collect()} == {"bak"}
+    live = messages.records(df, "h").withColumn("arrival_seq", F.lit(0).cast("bigint"))
+    both = live.unionByName(back.withColumn("source_time_updated", F.lit(99).cast("bigint")).withColumn("arrival_seq", F.lit(1).cast("bigint")))
+    assert {r.origin for r in merge.winners(both, "host_id", "source", "message_id").collect()} == {"live"}
+
+
+def test_lists_of_enabled_sources(spark):
+    texts = {"opencode": None, " codex , hermes,": None, "": "no source is enabled", " , ": "no source is enabled", "opencode,nope": "unknown source nope", "codex,codex": "a source is named twice"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.why for r in df.select("t", hosts.sources_violation(hosts.decoded(F.col("t"))).alias("why")).collect()}
+    assert got == texts
+    assert df.where("t like ' codex%'").select(hosts.encoded(hosts.decoded(F.col("t")))).first()[0] == "codex,hermes"
+    with pytest.raises(hosts.InvalidSources):
+        hosts.checked(spark.createDataFrame([("h", "nope")], "host_id string, enabled_sources string"))
+
+
+def test_who_bills_a_session(spark):
+    cases = {
+        ("custom", None, "global.anthropic.claude-x"): ("anthropic", "claude-x"), ("custom", None, "openai.gpt-5.4"): ("openai", "gpt-5.4"), ("custom", None, "amazon.nova"): ("custom", "amazon.nova"), (None, None, "anthropic. "): ("hermes", "anthropic."),
+        ("custom", "http://x:11434/v1", "plain"): ("ollama", "plain"), ("My-Ollama", None, "plain"): ("ollama", "plain"), (None, None, "custom:box-ollama:llama3"): ("ollama", "llama3"), (None, None, "qwen3:8b"): ("ollama", "qwen3:8b"), ("p", None, " "): ("p", "unknown"), (" ", "", None): ("hermes", "unknown"),
+    }
+    df = spark.createDataFrame([(i, *k) for i, k in enumerate(cases)], "i int, p string, u string, m string")
+    got = {r.i: (r.x.provider, r.x.model) for r in df.select("i", exprs.billed_model(F.col("p"), F.col("u"), F.col("m"), "hermes").alias("x")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_sessions_that_are_skipped(spark):
+    rows = [("a", 1.5, 3.0, 4.0, 1, None), (" ", 1.0, None, 1.0, 1, None), ("b", -1.0, None, 1.0, 1, None), ("c", 1.0, -2.0, 1.0, 1, None), ("d", 1.0, None, 1.0, -1, None), ("e", 1.0, None, 1.0, 1, "Cli  Tool")]
+    df = spark.createDataFrame(rows, "id string, started_at double, ended_at double, active_at double, output_tokens long, source string")
+    got = {r.id: r for r in sessions.normalised(df).collect()}
+    assert {k: r.skip_reason for k, r in got.items()} == {"a": None, " ": "id_missing", "b": "time_invalid", "c": "time_invalid", "d": "tokens_negative", "e": None}
+    assert (got["a"].time_created_utc, got["a"].time_completed_utc, got["a"].source_time_updated, got["a"].agent_key, got["e"].agent_key, got["e"].tok_output) == (1500, 3000, 4000, "unknown", "cli-tool", 1)
+
+
+def test_cutoffs_extend_coverage(spark):
+    ddl = "host_id string, source string, origin string, interval_start long, interval_end long"
+    have = spark.createDataFrame([("h", "s", "live", 5, 9), ("h", "s", "bak", 1, 2)], ddl)
+    rounds = spark.createDataFrame([("h", "s", 1, 8), ("h", "t", None, 7), ("h", "u", 3, 7)], "host_id string, source string, earliest long, cutoff long")
+    got = sorted(tuple(r) for r in coverage.extend_to_cutoff(have, rounds).collect())
+    assert got == [("h", "s", "bak", 1, 2), ("h", "s", "live", 5, 9), ("h", "t", "live", 7, 7), ("h", "u", "live", 3, 7)]
+    with pytest.raises(coverage.CutoffBeforeRecord):
+        coverage.extend_to_cutoff(have, spark.createDataFrame([("h", "s", 9, 8)], rounds.schema))
+    new = spark.createDataFrame([("h", "s", "bak", 3, 4)], ddl)
+    assert sorted(tuple(r) for r in coverage.replace_origin(have, new).collect()) == [("h", "s", "bak", 3, 4), ("h", "s", "live", 5, 9)]
+    assert coverage.selected(have, host_id="h", source="t").count() == 0 and coverage.selected(have).count() == 2
 
 
 def test_log_entries(spark):
@@ -121,11 +224,19 @@ def test_winner_is_the_sequential_fold_in_any_order(spark):
         assert merge.changed(arrivals, "k").where("changed").orderBy(F.desc("arrival_seq")).first().i == held
 
 
+def at_month(m, **changed):
+    return usage_row(time_created_utc=1_700_000_000_000 + m * 30 * 86_400_000, **changed)
+
+
+def seq(df, n):
+    return df.withColumn("arrival_seq", F.lit(n).cast("bigint"))
+
+
 def test_rounds(spark, tmp_path):
     folder = str(tmp_path / "archive")
-    seq = lambda df, n: df.withColumn("arrival_seq", F.lit(n).cast("bigint"))
     ingest.publish(seq(usage(spark, usage_row(), usage_row(message_id="old")), 0), folder, 0)
-    ingest.publish(seq(usage(spark, usage_row(tok_input=9, source_time_updated=6), usage_row(message_id="old", origin="bak", origin_priority=2, source_time_updated=99)), 1), folder, 1)
+    m = ingest.publish(seq(usage(spark, usage_row(tok_input=9, source_time_updated=6), usage_row(message_id="old", origin="bak", origin_priority=2, source_time_updated=99)), 1), folder, 1)
+    assert (m["changed"], m["rejected"]) == (1, 0)
     got = {r.message_id: (r.tok_input, r.origin) for r in ingest.archive(spark, folder).collect()}
     assert got == {"m": (9, "live"), "old": (1, "live")}
     ingest.publish(seq(usage(spark, usage_row(tok_input=1, source_time_updated=7)), 1), folder, 1)  # told again: nothing happens
@@ -133,20 +244,84 @@ def test_rounds(spark, tmp_path):
     with pytest.raises(merge.RejectedRound):
         ingest.publish(seq(usage(spark, usage_row(tok_output=-1)), 2), folder, 2)
     assert ingest.archive(spark, folder).count() == 2
-    _, bad = merge.validated(usage(spark, usage_row(message_id=" "), usage_row()), strict=False)
-    assert bad.count() == 1
+    m = ingest.publish(seq(usage(spark, usage_row(tok_output=-1), usage_row(message_id="new")), 2), folder, 2, strict=False)
+    assert m["rejected"] == 1 and ingest.archive(spark, folder).count() == 3
+    assert spark.read.parquet(f"{folder}/quarantine/round=2").first().violation == "tok_output is negative or missing"
+    assert [tuple(r) for r in ingest.cursors(spark, folder).collect()] == [("h", "s", 6)]
     with pytest.raises(SchemaMismatch):
         checked(spark.range(1))
 
 
+def test_a_round_rewrites_its_months_only(spark, tmp_path):
+    folder = str(tmp_path / "archive")
+    first = ingest.publish(seq(usage(spark, *(at_month(m, message_id=f"m{m}", source=s) for m in range(6) for s in ("s", "a/b"))), 0), folder, 0)
+    assert len(first["parts"]) == 12
+    second = ingest.publish(seq(usage(spark, at_month(5, message_id="m5", tok_input=50, source_time_updated=6), at_month(5, message_id="new")), 1), folder, 1)
+    assert second["rewritten"] == 1 and len([p for p in second["parts"] if p in first["parts"]]) == 11
+    # a record that moved to the next month is there once
+    third = ingest.publish(seq(usage(spark, at_month(3, message_id="m2", tok_input=20, source_time_updated=7)), 2), folder, 2)
+    assert third["rewritten"] == 1 and len(third["parts"]) == 11
+    got = sorted((r.source, r.message_id, r.tok_input) for r in ingest.archive(spark, folder).collect())
+    want = [(s, f"m{m}", {("s", 5): 50, ("s", 2): 20}.get((s, m), 1)) for m in range(6) for s in ("a/b", "s")] + [("s", "new", 1)]
+    assert got == sorted(want)
+    assert {tuple(r) for r in ingest.cursors(spark, folder).collect()} == {("h", "s", 7), ("h", "a/b", 5)}
+
+
 def test_stream_into_the_archive(spark, tmp_path):
-    source, folder = str(tmp_path / "in"), str(tmp_path / "archive")
-    for n, late in enumerate((usage_row(), usage_row(tok_input=7, source_time_updated=9))):
+    source, folder, told = str(tmp_path / "in"), str(tmp_path / "archive"), []
+    pairs = spark.createDataFrame([("h", "s"), ("h", "idle")], "host_id string, source string")
+    for n, late in enumerate((usage_row(), usage_row(tok_input=7, source_time_updated=9), usage_row(message_id=" "), usage_row(tok_input=1))):
         usage(spark, late).withColumn("arrival_seq", F.lit(n).cast("bigint")).write.mode("append").parquet(source)
         schema = spark.read.parquet(source).schema
-        query = ingest.stream(spark.readStream.schema(schema).parquet(source), folder, str(tmp_path / "check"))
+        query = ingest.stream(spark.readStream.schema(schema).parquet(source), folder, str(tmp_path / "check"), pairs=pairs, now=lambda n=n: 100 + n, told=told.append)
         query.awaitTermination(120)
     assert [r.tok_input for r in ingest.archive(spark, folder).collect()] == [7]
+    # bad and late rows change nothing, and nobody is told of them
+    assert [(m["round"], m["changed"], m["rejected"]) for m in told] == [(0, 1, 0), (1, 1, 0)]
+    assert sorted((r.source, r.interval_start, r.interval_end) for r in ingest.covered(spark, folder).collect()) == [("idle", 0, 103), ("s", 0, 103)]
+
+
+def test_gains_across_micro_batches_are_those_of_the_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, keys = random.Random(3), list(rollouts.COUNTERS)
+    rows = []
+    for path in "abc":
+        total = [0] * 5
+        for line in range(1, 13):
+            total = [max(0, t + rng.choice((0, 0, 3, 7, -2))) for t in total]
+            rows.append((path, line, *total, *(rng.choice((0, 0, 2)) if line % 3 else 0 for _ in keys)))
+    schema = "path string, line long, " + ", ".join(f"{p}_{k} long" for p in "tl" for k in keys)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for low, high in ((0, 5), (5, 9), (9, 99)):
+        spark.createDataFrame([r for r in rows if low < r[1] <= high], schema).write.mode("append").parquet(source)
+        query = ingest.stream_gains(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    w = Window.partitionBy("path").orderBy("line")
+    batch = spark.createDataFrame(rows, schema)
+    batch = batch.withColumns({f"p_{k}": F.coalesce(F.lag(f"t_{k}").over(w), F.lit(0).cast("bigint")) for k in keys}).withColumns(rollouts.gains())
+    columns = ["path", "line", *(f"tok_{k}" for k in keys), "regressed"]
+    assert sorted(map(tuple, spark.read.parquet(out).select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+
+
+def test_running_trend_is_that_of_the_batch(spark, tmp_path):
+    span = LocalRange(date(2023, 11, 1), date(2024, 5, 1), "Asia/Kathmandu")  # no whole hours off
+    rows = usage(spark, *(at_month(m, message_id=f"m{m}-{k}", tok_input=m + k) for m in range(5) for k in range(3)))
+    rows.write.parquet(str(tmp_path / "in"))
+    running = ingest.running_trend(spark.readStream.schema(USAGE).parquet(str(tmp_path / "in")), span, "day")
+    query = running.writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, reports.trend(reports.filtered(rows, span), span, "day").collect()))
+
+
+def test_made_up_exports(spark):
+    from meterglass.sources import fixture
+
+    rows = fixture.messages(spark, 400)
+    got = messages.records(rows, "h")
+    assert got.count() == fixture.expected(400)["eligible"] and messages.skips(messages.normalised(rows)).agg(F.sum("n")).first()[0] == fixture.expected(400)["skipped"]
+    assert rows.groupBy("time_updated").count().agg(F.max("count")).first()[0] == fixture.SAME == fixture.expected(400)["same_time"]
+    daily = {str(r.day): (r.tok_input, r.records, r.incomplete) for r in reports.daily(got, "UTC").collect()}
+    assert daily == {d: (x["tok_input"], x["records"], x["incomplete"]) for d, x in fixture.expected(400)["daily"].items()}
 
 
 def test_coverage_none_differs_from_idle(spark):
