@@ -26,8 +26,8 @@ GRAM = 40
 #: Cuts in a shard, about, and at most of one anchor.
 SHARD_CUTS = 3_000
 BASE = 0x5851F42D4C957F2D
-#: Bits of a place within a slice of text; longer slices than this are refused.
-PLACE_BITS = 30
+#: Bits of a place within a slice of text; longer slices than this are refused. Where a row's own bits begin above it.
+PLACE_BITS, OWN_BIT = 30, 48
 #: Anchors with more cuts have a shard of their own: sums of small numbers alone stay near their mean.
 OWN_CUTS = 100
 #: Bits of a text position that are sorted together with what they are sorted by; longer texts are sorted by places.
@@ -42,6 +42,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     """
     none = np.zeros(0, np.int64)
     n, width = data.size - GRAM + 1, least - GRAM + 1
+    if data.size >= 1 << PLACE_BITS:
+        raise ValueError(f"a text has {data.size} bytes")
     starts = np.flatnonzero(np.arange(data.size) + least <= np.repeat(offsets[1:], np.diff(offsets)))
     if not starts.size:
         return (none,) * 5
@@ -196,17 +198,18 @@ def runs(start: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + least) for p in np.split(start, gap)]
 
 
-def row_hash(key: str, text: str) -> Column:
-    """64 bits that stand for a row; rows with equal bits are taken for copies of each other."""
-    return F.xxhash64(key, text)
+def row_hash(key: str, text: str) -> tuple[Column, Column]:
+    """64 and 15 bits that stand for a row; rows with equal bits are taken for copies of each other."""
+    return F.xxhash64(key, text), F.xxhash64(text, F.lit(1), key).bitwiseAND(0x7FFF)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:
-    """(h, spans): for each row_hash with any, the maximal runs of bytes (start, end) that repeated strings cover.
+    """(h, g, spans): for each row_hash with any, the maximal runs of bytes (start, end) that repeated strings cover.
 
     Rows that are wholly equal count as so many places. Nothing crosses a text's end; null is empty.
     """
-    rows = docs.select(row_hash(key, text).alias("h"), F.col(text).alias("text")).where(f"octet_length(text) >= {least}")
+    h, g = row_hash(key, text)
+    rows = docs.select(h.alias("h"), F.col(text).alias("text"), g.alias("g")).where(f"octet_length(text) >= {least}")
 
     def found(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -217,7 +220,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
                 yield pa.RecordBatch.from_arrays([a], ["a"])
                 continue
             row = np.searchsorted(offsets, place, side="right") - 1
-            packed = (place - offsets[row]) << 16 | (place - first) << 8 | (last - place + least - GRAM)
+            own = batch.column(2).to_numpy()[row] << OWN_BIT
+            packed = own | (place - offsets[row]) << 16 | (place - first) << 8 | (last - place + least - GRAM)
             yield pa.RecordBatch.from_arrays([a, pa.array(cut.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(packed)], ["a", "c", "h", "at"])
 
     # two scans, the first for the anchors alone: cheaper than keeping all places of anchors met once
@@ -230,7 +234,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     # an anchor with one cut, met several times: all of it is repeated; cuts that differ are compared below
     same = equal.where("m = 1").select("a", "c", F.col("one.at").alias("at"))
     same = same.select("a", "c", (-F.shiftright("at", 8).bitwiseAND(255)).cast("int").alias("low"), (F.col("at").bitwiseAND(255) + GRAM).cast("int").alias("high"))
-    places = equal.where("m > 1").groupBy("one.h").agg(F.collect_list(F.struct("a", "c", "n", "m", F.col("one.at").alias("at"))).alias("places"))
+    own = F.shiftright("one.at", OWN_BIT).alias("g")
+    places = equal.where("m > 1").groupBy("one.h", own).agg(F.collect_list(F.struct("a", "c", "n", "m", F.col("one.at").alias("at"))).alias("places"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -238,12 +243,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
             raw, lists = data.tobytes(), batch.column(2)
             flat = lists.flatten()
             at = flat.field("at").to_numpy()
-            begin = offsets[:-1][np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())] + (at >> 16)
+            begin = offsets[:-1][np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())] + (at >> 16 & (1 << OWN_BIT - 16) - 1)
             before, after = at >> 8 & 255, (at & 255) + GRAM
             cuts = [raw[s:e] for s, e in zip((begin - before).tolist(), (begin + after).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in "acnm"), pa.array(before.astype(np.int32)), pa.array(cuts, pa.binary())], ["a", "c", "n", "m", "before", "cut"])
 
-    texts = rows.join(places, "h").select("h", "text", "places")
+    texts = rows.join(places, ["h", "g"]).select("h", "text", "places")
     distinct = texts.mapInArrow(cut_out, "a long, c long, n long, m long, before int, cut binary")
     shards = max(1, equal.where(f"m > 1 and m <= {OWN_CUTS}").count() // SHARD_CUTS)
     parts = F.ceil(F.col("m") / SHARD_CUTS).cast("int")
@@ -274,9 +279,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
         return pd.DataFrame(out, columns=["a", "c", "low", "high"])
 
     compared = dealt.groupBy("shard").applyInPandas(judged, "a long, c long, low int, high int")
-    start = F.shiftright("at", 16).cast("int")
-    placed = flagged.join(same.unionByName(compared), ["a", "c"]).select("h", F.struct((start + F.col("low")).alias("start"), (start + F.col("high")).alias("end")).alias("span"))
-    return placed.groupBy("h").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    start = F.shiftright("at", 16).bitwiseAND((1 << OWN_BIT - 16) - 1).cast("int")
+    placed = flagged.join(same.unionByName(compared), ["a", "c"]).select("h", F.shiftright("at", OWN_BIT).alias("g"), F.struct((start + F.col("low")).alias("start"), (start + F.col("high")).alias("end")).alias("span"))
+    return placed.groupBy("h", "g").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -296,8 +301,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     overlapping occurrences count, and strings are judged on the input. Null counts as empty; shorter texts stay whole.
     Rows that are equal in key and text are copies of each other: both go. Null keys are allowed.
     """
-    rows = docs.select(F.col(key).alias("id"), row_hash(key, text).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.join(repeated(docs, key, text, least), "h", "left")
+    h, g = row_hash(key, text)
+    rows = docs.select(F.col(key).alias("id"), h.alias("h"), g.alias("g"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.join(repeated(docs, key, text, least), ["h", "g"], "left")
     rows = rows.select("id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
