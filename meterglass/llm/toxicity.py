@@ -28,16 +28,26 @@ LEAST_Z = 6.0
 PENALTY = 1e-3
 
 
-def grams(data: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the n-gram that starts at each position, and whether it lies inside one text."""
-    low = data | ((data >= 65) & (data <= 90)).astype(np.uint8) << 5
-    low = np.where((low == 10) | (low == 13) | (low == 9), np.uint8(32), low).astype(np.uint32)
-    n = low.size - order + 1
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, A-Z as a-z and line breaks and tabs as spaces, and the offsets of the texts in them."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    b = [np.concatenate([data, np.zeros(3, np.uint8)])[at + k].astype(np.uint32) for k in range(4)]
+    tail = [x & 0x3F for x in b]
+    two, three = (b[0] & 0x1F) << 6 | tail[1], (b[0] & 0xF) << 12 | tail[1] << 6 | tail[2]
+    four = (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]
+    out = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)))
+    out = np.where((out >= 65) & (out <= 90), out + 32, out)
+    return np.where((out == 9) | (out == 10) | (out == 13), np.uint32(32), out).astype(np.uint32), np.searchsorted(at, offsets)
+
+
+def grams(points: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the n-gram of code points that starts at each place, and whether it lies inside one text."""
+    n = points.size - order + 1
     if n <= 0:
         return np.zeros(0, np.uint32), np.zeros(0, bool)
     h = np.full(n, 2166136261 + order, np.uint32)
     for k in range(order):
-        h ^= low[k : k + n]
+        h ^= points[k : k + n]
         h *= np.uint32(16777619)
         h ^= h >> np.uint32(15)
     inside = np.ones(n, bool)
@@ -60,25 +70,28 @@ class Model:
         if self.bucket.size and data.size:
             number = np.zeros(BUCKETS, np.int32)
             number[self.bucket] = np.arange(1, self.bucket.size + 1)
+            data, offsets = code_points(data, offsets)
+            found = []
             for order in ORDERS:
                 h, inside = grams(data, offsets[1:], order)
                 f = number[h]
                 at = np.flatnonzero((f > 0) & inside)
-                row = np.searchsorted(offsets, at, side="right") - 1
-                pair = np.unique(row * (self.bucket.size + 1) + f[at])
-                row, f = np.divmod(pair, self.bucket.size + 1)
-                np.add.at(total, row, self.weight[f - 1])
+                found.append((np.searchsorted(offsets, at, side="right") - 1) * (self.bucket.size + 1) + f[at])
+            row, f = np.divmod(np.unique(np.concatenate(found)), self.bucket.size + 1)
+            total += np.bincount(row, self.weight[f - 1], minlength=rows)
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, usable: Column | None) -> DataFrame:
-    """(text, y) of labelled rows: one label a key (the larger, if they differ), MOST_TRAINING_ROWS at most."""
+    """(text, y) of labelled keys: one label a key (the larger, if they differ) and one text (the least), MOST_TRAINING_ROWS at most."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if usable is not None:
         known = known.where(usable)
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64(key), key).limit(MOST_TRAINING_ROWS)
-    return docs.select(key, F.col(text).alias("text")).where(F.col(text).isNotNull()).join(known, key).select("text", "y")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    known = known.select(F.col(key).alias("_key"), "y")
+    return texts.join(known, "_key").groupBy("_key").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", usable: Column | None = None) -> Model:
@@ -94,16 +107,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         has = np.zeros((2, BUCKETS), np.int64)
         total = np.zeros(2, np.int64)
         for batch in common.slices(batches, "text"):
-            data, offsets = common.utf8(batch.column(0))
+            data, offsets = code_points(*common.utf8(batch.column(0)))
             y = batch.column(1).to_numpy()
             total += np.bincount(y, minlength=2)
+            found = []
             for order in ORDERS:
                 h, inside = grams(data, offsets[1:], order)
                 row = np.repeat(np.arange(len(y)), np.diff(offsets))[: h.size]
-                pair = np.unique((row * BUCKETS + h)[inside])
-                row, h = np.divmod(pair, BUCKETS)
-                for c in (0, 1):
-                    has[c] += np.bincount(h[y[row] == c], minlength=BUCKETS)
+                found.append(np.unique((row * BUCKETS + h)[inside]))
+            row, h = np.divmod(np.unique(np.concatenate(found)), BUCKETS)
+            for c in (0, 1):
+                has[c] += np.bincount(h[y[row] == c], minlength=BUCKETS)
         at = np.flatnonzero(has.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(has[0, at], total[0])), pa.array(np.append(has[1, at], total[1]))], ["bucket", "clean", "toxic"])
 
@@ -129,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         number = np.full(BUCKETS, -1, np.int32)
         number[bucket] = np.arange(bucket.size)
         for batch in common.slices(batches, "text"):
-            data, offsets = common.utf8(batch.column(0))
+            data, offsets = code_points(*common.utf8(batch.column(0)))
             found = []
             for order in ORDERS:
                 h, inside = grams(data, offsets[1:], order)

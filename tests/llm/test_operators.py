@@ -136,6 +136,45 @@ def test_toxicity_on_held_out_rows(spark, odd):
         assert len({r.score for r in none}) == 1 and none[0].predicted == 0
 
 
+def test_toxicity_by_the_book(spark):
+    """Counts, log-count ratios, kept n-grams and scores in plain Python; the weights are where the loss is least."""
+    rng = random.Random(22)
+    texts = [f"{made_up(rng, 15)} {'Ekelhafter Müll, pfuí ' if i % 3 == 0 else ''}{made_up(rng, 15)}" for i in range(150)] + ["\n\t é", "", "日本語 🙂 Müll"]
+    docs = frame(spark, texts).union(frame(spark, texts[:1])).selectExpr("*", "1 as score", "2 as y", "3 as _key")  # a row twice
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def grams(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\r" else c for c in text)
+        return {bucket(low[i : i + n]) for n in toxicity.ORDERS for i in range(len(low) - n + 1)}
+
+    def bucket(gram):
+        h = 2166136261 + len(gram)
+        for c in gram:
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+            h ^= h >> 15
+        return h & (toxicity.BUCKETS - 1)
+
+    sets, y = [grams(t) for t in texts[:150]], np.array([i % 3 == 0 for i in range(150)], float)
+    n1, n0 = y.sum(), 150 - y.sum()
+    c1, c0 = (Counter(b for s, v in zip(sets, y, strict=True) if v == k for b in s) for k in (1, 0))
+    ratio = {}
+    for b in c1 | c0:
+        share = (c1[b] + c0[b]) / 150
+        if abs((c1[b] / n1 - c0[b] / n0) / math.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)) >= toxicity.LEAST_Z:
+            ratio[b] = math.log(((c1[b] + 1) / (n1 + 2)) / ((c0[b] + 1) / (n0 + 2)))
+    assert sorted(ratio) == model.bucket.tolist()
+    weight = dict(zip(model.bucket.tolist(), model.weight, strict=True))
+    p = np.array([1 / (1 + math.exp(-model.bias - sum(weight.get(b, 0) for b in s))) for s in sets])
+    assert abs((p - y).mean()) < 1e-2  # after a fixed number of steps
+    for b, r in ratio.items():  # derivative of loss and penalty, in the scaled presence of an n-gram
+        assert abs(((p - y) * [b in s for s in sets]).mean() * r + toxicity.PENALTY * weight[b] / r) < 1e-2
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-model.bias - sum(weight.get(b, 0) for b in grams(t)))))
+    assert (got[0].y, got[0]["_key"]) == (2, 3)
+
+
 # ---- 4
 
 
@@ -498,6 +537,39 @@ def test_anchors_with_many_cuts_meet_across_shards(spark, monkeypatch):
         assert len(got[d].kept) == len(b) - len(gone)
 
 
+@pytest.mark.parametrize("n", [6_000, 9_000])
+def test_one_string_in_thousands_of_texts(spark, n):
+    rng = random.Random(20)
+    core = made_up(rng, 12)[:40]
+    texts = [f"{made_up(rng, 40)[:170]}{core}{made_up(rng, 40)[:170]}" for _ in range(n - 6)]
+    texts += [texts[k][60:] for k in range(3)] + ["x" * 150_000, texts[5] + "é" * 60_000, None]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(frame(spark, texts)).collect()}
+    want = removed_by_force(texts)
+    assert [len(got[d].kept) for d in range(n)] == [len((t or "").encode()) - len(want[d]) for d, t in enumerate(texts)]
+
+
+def removed_by_force(texts):
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        out.append([i for i, g in enumerate(gone) if g])
+    return out
+
+
+def test_equal_rows_and_repeated_keys_are_copies(spark):
+    text = made_up(random.Random(21), 60)
+    rows = [(1, text), (1, text), (1, "y" * 201), (None, "q" + text[:210]), (2, None), (2, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as h", "2 as spans", "3 as g")
+    got = sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in suffix_dedup.dedup(df).collect())
+    want = removed_by_force([t for _, t in rows])
+    assert got == sorted((d or 0, len((t or "").encode()), len((t or "").encode()) - len(want[i])) for i, (d, t) in enumerate(rows))
+
+
 def test_suffix_array_and_common_prefixes():
     text = np.frombuffer(b"banana bandana banana" * 3, np.uint8)
     order = suffix_dedup.suffix_array(text)
