@@ -82,6 +82,15 @@ def missing(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.select(*keys).distinct().join(right.select(*keys), list(keys), "left_anti")
 
 
+def reconciled(archive: DataFrame, baseline: DataFrame, *keys: str) -> DataFrame:
+    """One row that says whether an archive holds what a baseline lists: rows, distinct keys, and keys that one side lacks."""
+    sides = archive.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(baseline.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    each = sides.groupBy(*keys).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    counts = each.agg(zero(F.sum("a")).alias("archived"), zero(F.sum("b")).alias("listed"), F.count_if(F.col("a") > 0).alias("archived_keys"), F.count_if(F.col("b") > 0).alias("listed_keys"), F.count_if((F.col("b") > 0) & (F.col("a") == 0)).alias("missing"), F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("unlisted"))
+    return counts.withColumn("equal", (F.col("missing") == 0) & (F.col("unlisted") == 0) & (F.col("archived") == F.col("archived_keys")))
+
+
 def violation() -> Column:
     """What is wrong with a record, null for nothing; the first rule that it breaks."""
     priority = F.create_map(*(F.lit(v) for pair in ORIGINS.items() for v in pair))

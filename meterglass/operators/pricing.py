@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..schema import BILLABLE, PRICES
+from ..schema import BILLABLE, PRICES, TOKENS
 
 EXACT, NORMALIZED, FAMILY, CROSS, UNKNOWN = "exact", "normalized", "family", "crossProvider", "unknown"
 MAKERS = ("anthropic", "google", "openai")
@@ -31,34 +31,39 @@ def match(pairs: DataFrame, catalog: DataFrame, overrides: DataFrame | None = No
     catalog: catalog_ord, provider_id, model_id and prices. An override of the very pair wins; then, in order: the
     pair as it is; the same provider and model once normalised; the nearest version of the model's family; the model
     without its effort suffix; and, for providers that the catalog doesn't have, the same model and then family of
-    any provider. Each layer is an equality join on the distinct pairs, and the first layer's first candidate stays.
+    any provider. All layers are one equality join on the distinct pairs, and the first layer's first candidate stays.
     """
     asked = identities(pairs.select("provider_id", "model_id").distinct())
     there = identities(catalog)
     there = there.select(*(F.col(c).alias(f"c_{c}") for c in there.columns))
-    known = there.select(F.col("c_np").alias("np")).distinct()
-    foreign = asked.join(known, "np", "left_anti")
+    known = there.select(F.col("c_np").alias("np")).distinct().withColumn("listed", F.lit(True))
+    asked = asked.join(known, "np", "left")
     rank = F.when(F.col("c_np").isin(*MAKERS), 0).when(F.col("c_np") == "amazon-bedrock", 1).otherwise(2)
     order, name = F.col("c_catalog_ord"), F.col("c_model_id")
     pad = lambda x: F.lpad(x.cast("string"), 12, "0")
     near = pad(X.family_distance(F.col("nv"), F.col("c_nv")))
     near_priced = pad(X.family_distance(F.col("pv"), F.col("c_nv")))
     older = pad(F.lit(99_999_999) - F.coalesce("c_nv", F.lit(-1)))
+    # what must be equal on either side, the kind of match, and which candidate comes first
     layers = (
-        (asked, ["provider_id=c_provider_id", "model_id=c_model_id"], EXACT, [pad(order)]),
-        (asked, ["np=c_np", "nm=c_nm"], NORMALIZED, [pad(order)]),
-        (asked, ["np=c_np", "nf=c_nf"], FAMILY, [near, older, name]),
-        (asked, ["np=c_np", "pm=c_nm"], CROSS, [pad(order)]),
-        (foreign, ["pm=c_pm"], CROSS, [pad(rank), F.col("c_np"), name]),
-        (foreign, ["pf=c_pf"], CROSS, [near_priced, older, pad(rank), F.col("c_np"), name]),
+        (("provider_id", "model_id"), ("provider_id", "model_id"), EXACT, [pad(order)]),
+        (("np", "nm"), ("np", "nm"), NORMALIZED, [pad(order)]),
+        (("np", "nf"), ("np", "nf"), FAMILY, [near, older, name]),
+        (("np", "pm"), ("np", "nm"), CROSS, [pad(order)]),
+        (("pm",), ("pm",), CROSS, [pad(rank), F.col("c_np"), name]),
+        (("pf",), ("pf",), CROSS, [near_priced, older, pad(rank), F.col("c_np"), name]),
     )
 
-    def candidates(i: int) -> DataFrame:
-        left, keys, kind, by = layers[i]
-        on = reduce(lambda a, b: a & b, [F.col(k.split("=")[0]) == F.col(k.split("=")[1]) for k in keys])
-        return left.join(there, on).select("provider_id", "model_id", F.lit(i).alias("layer"), F.lit(kind).alias("kind"), F.array(*by).alias("by"), *(F.col(f"c_{p}").alias(p) for p in PRICES))
+    def keyed(df: DataFrame, side: int, prefix: str) -> DataFrame:
+        """One row a layer: all layers are then one equality join."""
+        keys = [F.struct(F.lit(i).alias("layer"), F.concat(*(F.concat(F.col(prefix + c), F.lit("\0")) for c in layer[side])).alias("key")) for i, layer in enumerate(layers)]
+        return df.select("*", F.explode(F.array(*keys)).alias("k")).select("*", "k.*").drop("k")
 
-    found = reduce(DataFrame.unionByName, map(candidates, range(len(layers))))
+    found = keyed(asked, 0, "").where("layer < 4 or listed is null").join(keyed(there, 1, "c_"), ["layer", "key"])
+    by, kind = F.array().cast("array<string>"), F.lit(UNKNOWN)
+    for i, layer in enumerate(layers):
+        by, kind = F.when(F.col("layer") == i, F.array(*layer[3])).otherwise(by), F.when(F.col("layer") == i, layer[2]).otherwise(kind)
+    found = found.select("provider_id", "model_id", "layer", kind.alias("kind"), by.alias("by"), *(F.col(f"c_{p}").alias(p) for p in PRICES))
     first = F.row_number().over(Window.partitionBy("provider_id", "model_id").orderBy("layer", "by"))
     best = found.withColumn("n", first).where("n = 1").select("provider_id", "model_id", "kind", *PRICES)
     out = asked.select("provider_id", "model_id").join(best, ["provider_id", "model_id"], "left")
@@ -83,23 +88,44 @@ def priced(usage: DataFrame, matches: DataFrame) -> DataFrame:
     return df.withColumns({"layer": layer, "amount": amount}).drop(*PRICES)
 
 
-def cost_columns(counted: Column, paid: Column | None = None, digits: int | None = 6) -> list[Column]:
-    """Money by layer of the rows that are paid (None: those that count), and counts and billable tokens of those that count."""
-    paid = counted if paid is None else paid
+def folded(usage: DataFrame, *keys: str, extra: list[Column] | None = None) -> DataFrame:
+    """Records summed up by keys and by all that decides what they cost: records, the five counters and own cost.
+
+    Estimates are linear in tokens, so `priced` gives groups what it gives their records together; prices then meet few
+    rows, whatever the number of records.
+    """
+    rows = usage.withColumns({"_trusted": X.is_trusted(), "_billed": X.is_billable()})
+    sums = [F.sum(c).alias(c) for c in TOKENS]
+    by = rows.groupBy(*keys, "provider_id", "model_id", "cost_source", "_trusted", "_billed")
+    return by.agg(F.count("*").alias("records"), *sums, F.sum(F.when(F.col("_trusted"), F.col("cost"))).alias("cost"), *(extra or [])).drop("_trusted", "_billed")
+
+
+def cost_columns(counted: Column, paid: Column | None = None, digits: int | None = 6, records: Column | None = None) -> list[Column]:
+    """Money by layer of the rows that are paid (None: those that count), and counts and billable tokens of those that count.
+
+    records: how many records a row stands for, if it is a group of them.
+    """
+    paid, each = counted if paid is None else paid, F.lit(1) if records is None else records
     money = lambda x: F.coalesce(F.sum(F.when((F.col("layer") == x) & paid, F.col("amount"))), F.lit(0.0))
     out = [(money(x) if digits is None else F.round(money(x), digits)).alias(f"{x}_sum") for x in ("actual", "estimated")]
     for x in ("actual", "estimated", "unavailable"):
         here = (F.col("layer") == x) & counted
-        out += [F.count_if(here).alias(f"{x}_count"), F.coalesce(F.sum(F.when(here, X.billable())), F.lit(0)).alias(f"{x}_tokens")]
+        out += [F.coalesce(F.sum(F.when(here, each)), F.lit(0)).alias(f"{x}_count"), F.coalesce(F.sum(F.when(here, X.billable())), F.lit(0)).alias(f"{x}_tokens")]
     return out
 
 
 COSTS = ("actual_sum", "estimated_sum", *(f"{x}_{k}" for x in ("actual", "estimated", "unavailable") for k in ("count", "tokens")))
 
 
-def in_series(digits: int | None = 9) -> list[Column]:
+def in_series(digits: int | None = 9, records: Column | None = None) -> list[Column]:
     """Cost columns of a bucket or group: all money there is, but only billable rows are counted."""
-    return cost_columns(X.is_billable(), in_summary(), digits)
+    return cost_columns(X.is_billable(), in_summary(), digits, records)
+
+
+def summed_costs(usage: DataFrame, catalog: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """One row of costs by layer: one aggregation of the records, and prices for its groups."""
+    groups = folded(usage)
+    return priced(groups, match(groups, catalog, overrides)).agg(*cost_columns(in_summary(), records=F.col("records")))
 
 
 def in_summary() -> Column:

@@ -86,14 +86,18 @@ def trend_bundle(usage: DataFrame, span: C.LocalRange, unit: str) -> DataFrame:
     return rolled_up(base, F.sum("tokens").alias("tokens"), F.sum("messages").alias("messages")).select("bucket_start", "dimension", "id", "id2", "tokens", "messages")
 
 
-def trend_costs(priced: DataFrame, span: C.LocalRange, unit: str) -> DataFrame:
-    """The bundle of priced records with all measures, costs by layer and, for agents, a label: one scan, one aggregation."""
+def trend_costs(usage: DataFrame, catalog: DataFrame, span: C.LocalRange, unit: str, overrides: DataFrame | None = None) -> DataFrame:
+    """The bundle with all measures, costs by layer and, for agents, a label: one scan, one aggregation of records."""
     start = C.bucket_start(F.col("time_created_utc"), unit, span)
-    base = priced.withColumn("bucket_start", start).groupBy("bucket_start", "source", "agent_key", "provider_id", "model_id").agg(*measures(), *P.in_series(None), F.max("agent_raw").alias("label"))
-    names = [*TOKENS, "messages", "session_records", *P.COSTS]
-    sums = [F.round(F.sum(c), 9).alias(c) if c.endswith("_sum") else F.sum(c).alias(c) for c in names]
-    rows = rolled_up(base, *sums, F.max("label").alias("label"))
-    return rows.withColumn("label", F.when(F.col("dimension") == "agent", F.col("label")))
+    counts = [F.count_if(F.col("granularity") == g).alias(c) for g, c in (("message", "messages"), ("session", "session_records"))]
+    groups = P.folded(usage.withColumn("bucket_start", start), "bucket_start", "source", "agent_key", extra=[*counts, F.max("agent_raw").alias("label")])
+    rows = P.priced(groups, P.match(groups, catalog, overrides))
+    keys = ["bucket_start", "source", "agent_key", "provider_id", "model_id"]
+    sums = [F.sum(c).alias(c) for c in (*TOKENS, "messages", "session_records")]
+    base = rows.groupBy(*keys).agg(*sums, *P.in_series(None, F.col("records")), F.max("label").alias("label"))
+    sums += [F.round(F.sum(c), 9).alias(c) if c.endswith("_sum") else F.sum(c).alias(c) for c in P.COSTS]
+    out = rolled_up(base, *sums, F.max("label").alias("label"))
+    return out.withColumn("label", F.when(F.col("dimension") == "agent", F.col("label")))
 
 
 def top_groups(series: DataFrame, n: int = 6) -> DataFrame:

@@ -276,12 +276,12 @@ MONEY = ", ".join(f"round(coalesce(sum(amount) FILTER (layer = '{x}' AND (truste
 
 def priced(spark, sf, span=MARCH):
     u = R.filtered(I.usage(spark, sf), span)
-    return P.priced(u, F.broadcast(P.match(u, I.catalog(spark))))
+    return P.priced(u, P.match(u, I.catalog(spark)))
 
 
 @query(PRICED + f"SELECT {MONEY} FROM priced WHERE NOT is_incomplete AND {range_sql(MARCH)}")
 def cost_layers(spark, sf):
-    return priced(spark, sf).agg(*P.cost_columns(P.in_summary()))
+    return P.summed_costs(R.filtered(I.usage(spark, sf), MARCH), I.catalog(spark))
 
 
 @query(
@@ -290,7 +290,7 @@ def cost_layers(spark, sf):
     "SELECT layer, amount, tokens, round(tokens / w::double, 6) AS share, round(amount / tokens * 1e6, 6) AS per_mtok FROM l"
 )
 def cost_tiers(spark, sf):
-    return R.cost_tiers(priced(spark, sf).agg(*P.cost_columns(P.in_summary())))
+    return R.cost_tiers(P.summed_costs(R.filtered(I.usage(spark, sf), MARCH), I.catalog(spark)))
 
 
 BREAK = f"{SUMS}, {COUNTS}, count(DISTINCT session_id) AS sessions, max(agent_raw) AS agent_label"
@@ -411,7 +411,7 @@ def trend_bundle(spark, sf):
     + " UNION ALL ".join(f"SELECT bucket_start, '{d}' AS dimension, {a} AS id, {b} AS id2, {SUMS}, {COUNTS}, {SERIES_MONEY}, {'max(agent_raw)' if d == 'agent' else 'NULL::varchar'} AS label FROM r GROUP BY bucket_start, {a if a != chr(39) * 2 else 'bucket_start'}, {b if b != chr(39) * 2 else 'bucket_start'}" for d, a, b in (("total", "''", "''"), ("source", "source", "''"), ("agent", "agent_key", "''"), ("provider", "provider_id", "''"), ("model", "provider_id", "model_id")))
 )
 def trend_costs(spark, sf):
-    return R.trend_costs(priced(spark, sf), MARCH, "day")
+    return R.trend_costs(R.filtered(I.usage(spark, sf), MARCH), I.catalog(spark), MARCH, "day")
 
 
 @query(BUNDLE + ", w AS (SELECT model_id, sum(tokens) AS w FROM r GROUP BY 1 HAVING sum(tokens) > 0 ORDER BY 2 DESC, 1 LIMIT 3) SELECT bucket_start, CASE WHEN model_id IN (SELECT model_id FROM w) THEN model_id ELSE 'other' END AS id, sum(tokens)::bigint AS tokens FROM r GROUP BY 1, 2")
@@ -553,7 +553,7 @@ def price_override(spark, sf):
 def price_estimate(spark, sf):
     u = I.usage(spark, sf)
     m = P.match(u, I.catalog(spark)).where("input_per_mtok is not null")
-    return u.join(F.broadcast(m), ["provider_id", "model_id"]).select("message_id", F.round(P.estimate(), 9).alias("estimate"))
+    return u.join(m, ["provider_id", "model_id"]).select("message_id", F.round(P.estimate(), 9).alias("estimate"))
 
 
 # ---- drilldown and detail
@@ -708,6 +708,12 @@ def kv_merge(spark, sf):
     return M.merged_values(orders.where("o_orderkey % 3 <> 0"), new, "o_orderkey", "o_totalprice")
 
 
+@query("WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 = 1 GROUP BY 1) SELECT sum(a.n)::bigint AS archived, sum(b.n)::bigint AS listed, count(a.k) AS archived_keys, count(b.k) AS listed_keys, count(*) FILTER (a.k IS NULL) AS missing, count(*) FILTER (b.k IS NULL) AS unlisted, false AS equal FROM a FULL JOIN b USING (k)", usage=False)
+def reconcile_counts(spark, sf):
+    orders = I.table(spark, sf, "orders")
+    return M.reconciled(orders.where("o_orderkey % 5 = 0"), orders.where("o_orderkey % 5 = 1"), "o_custkey")
+
+
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 5 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 1", usage=False)
 def reconcile_diff(spark, sf):
     orders = I.table(spark, sf, "orders")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.pricing import InvalidPrices, checked_catalog
 from ..schema import PRICES
 
+#: Entries of a price document, at most.
+MOST_ENTRIES = 100_000
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(catalog_ord, provider_id, model_id, prices, raw) of a document; raw keeps the fields that aren't known."""
@@ -27,3 +32,24 @@ def write(catalog: DataFrame, folder: str, version: int) -> str:
     order = F.row_number().over(Window.orderBy("catalog_ord")) - 1  # as many rows as prices
     checked_catalog(catalog).withColumn("catalog_ord", order).write.mode("errorifexists").parquet(path)
     return path
+
+
+def header(spark: SparkSession, path: str) -> dict:
+    """What a document says beside its entries, known or not."""
+    body = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return {k: v for k, v in body.items() if k != "entries"}
+
+
+def write_document(catalog: DataFrame, head: dict, folder: str, version: int) -> str:
+    """Writes a checked catalog (with raw) as a document that keeps header and unknown fields; the reader takes the path.
+
+    A price document is one small file: more than MOST_ENTRIES entries are refused.
+    """
+    rows = checked_catalog(catalog).orderBy("catalog_ord").limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise InvalidPrices(f"more than {MOST_ENTRIES} entries")
+    known = ("provider_id", "model_id", *PRICES)
+    entries = [json.loads(r["raw"] or "{}") | {k: r[k] for k in known} for r in rows]
+    path = f"{folder}/version={version}"
+    catalog.sparkSession.createDataFrame([(json.dumps(head | {"schema_version": 1, "entries": entries}, ensure_ascii=False),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+    return path

@@ -35,32 +35,50 @@ def gains() -> dict[str, Column]:
     return out | {"regressed": F.greatest(*((F.col(f"p_{k}") > F.col(f"t_{k}")).cast("int") for k in COUNTERS)) == 1}
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Records of (path, line, value, v) lines: one for each token count event, with what it adds to the counters.
+def events(lines: DataFrame) -> DataFrame:
+    """Token count events of (path, line, value, v) lines with what earlier lines of their file said, and skip_reason.
 
-    A file with a malformed line is left out whole; blank lines count but say nothing. The previous total is that of
-    the last valid one, whatever its time. Where the total has grown, stated gains count if they are not all zero,
-    else differences, never below zero; a total that hasn't grown gives zeros, and one that fell is marked.
+    A file with a malformed line is left out whole; blank lines count but say nothing.
     """
-    lines = lines.where(F.trim("value") != "")
-    bad = lines.where(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT")).select("path").distinct()
-    lines = lines.join(bad, "path", "left_anti")
+    lines = lines.where(F.trim("value") != "").join(broken(lines), "path", "left_anti")
     kind = X.text_or_number(at("type"))
-    w = Window.partitionBy("path").orderBy("line")
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     said = lambda of, path: F.last(F.when(kind == of, X.text_or_number(at(f"payload.{path}"))), ignorenulls=True).over(so_far)
     rows = lines.withColumns({"session_id": said("session_meta", "id"), "meta_provider": said("session_meta", "model_provider"), "full_model": said("turn_context", "model"), "project_dir": F.coalesce(said("turn_context", "cwd"), F.lit(""))})
     rows = rows.where((kind == "event_msg") & (X.text_or_number(at("payload.type")) == "token_count"))
     total = at("payload.info.total_token_usage")
-    rows = rows.withColumn("total_state", F.when(total.isNull() | (F.schema_of_variant(total) == "VOID"), "missing").when(~F.schema_of_variant(total).startswith("OBJECT"), "invalid").otherwise("valid"))
-    valid = rows.where("total_state = 'valid'")
+    rows = rows.withColumn("time_created_utc", X.instant_ms(X.text_or_number(at("timestamp"))))
+    reason = F.when(total.isNull() | (F.schema_of_variant(total) == "VOID"), "total_missing").when(~F.schema_of_variant(total).startswith("OBJECT"), "total_invalid")
+    return rows.withColumn("skip_reason", reason.when(F.col("time_created_utc").isNull(), "time_invalid"))
+
+
+def broken(lines: DataFrame) -> DataFrame:
+    """(path) of files with a line that is no JSON object."""
+    return lines.where((F.trim("value") != "") & (F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT"))).select("path").distinct()
+
+
+def skips(lines: DataFrame) -> DataFrame:
+    """(skip_reason, n): token count events that give no record, by reason, and files left out whole."""
+    files = broken(lines).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("file_malformed").alias("skip_reason"), "n")
+    return events(lines).where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n")).unionByName(files)
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """Records of (path, line, value, v) lines: one for each token count event, with what it adds to the counters.
+
+    The previous total is that of the last valid one, whatever its time; see `gains` for what is added. A total that
+    hasn't grown gives zeros, and one that fell is marked.
+    """
+    w = Window.partitionBy("path").orderBy("line")
+    rows = events(lines)
+    valid = rows.where("skip_reason is null or skip_reason = 'time_invalid'")
     valid = valid.withColumns({f"t_{k}": X.lossy_count(at(f"payload.info.total_token_usage.{c}")) for k, c in COUNTERS.items()} | {f"l_{k}": X.lossy_count(at(f"payload.info.last_token_usage.{c}")) for k, c in COUNTERS.items()})
     valid = valid.withColumns({f"p_{k}": F.coalesce(F.lag(f"t_{k}").over(w), F.lit(0).cast("bigint")) for k in COUNTERS})
     valid = valid.withColumns(gains())
     model = X.split_namespace(F.col("full_model"), "codex")
     file = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
     uuid = F.regexp_extract(file, r"([0-9a-fA-F-]{36})$", 1)
-    out = valid.withColumns({"time_created_utc": X.instant_ms(X.text_or_number(at("timestamp"))), "model": model, "ordinal": X.text_or_number(at("ordinal"))})
+    out = valid.withColumns({"model": model, "ordinal": X.text_or_number(at("ordinal"))})
     out = out.where("time_created_utc is not null")
     return out.select(
         "path", "line", F.concat_ws("#", "path", F.coalesce("ordinal", F.col("line").cast("string"))).alias("message_id"), F.coalesce("session_id", F.when(uuid != "", uuid).otherwise(file)).alias("session_id"), "time_created_utc", "project_dir",

@@ -62,6 +62,16 @@ def test_rollout_counters(spark, tmp_path):
     assert {(r.session_id, r.provider_id, r.model_id, r.project_dir) for r in got} == {("sess", "ns", "big", "/w")}
 
 
+def test_rollout_lines_that_are_skipped(spark, tmp_path):
+    good = token_event((5, 0, 0, 1, 0))
+    events = [good | {"payload": {"type": "token_count", "info": None}}, good | {"payload": {"type": "token_count", "info": {"total_token_usage": 7}}}, token_event((9, 0, 0, 1, 0)) | {"timestamp": "soon"}, token_event((11, 0, 0, 1, 0)), {"type": "other"}]
+    (tmp_path / "a.jsonl").write_text(rollout_file(events))
+    (tmp_path / "b.jsonl").write_text("[]\n")
+    rows = lines.parsed(lines.read(spark, str(tmp_path)))
+    assert {r.skip_reason: r.n for r in rollouts.skips(rows).collect()} == {"total_missing": 1, "total_invalid": 1, "time_invalid": 1, "file_malformed": 1}
+    assert [(r.line, r.tok_input) for r in rollouts.records(rows).collect()] == [(4, 2)]  # the total with a bad time counts as previous
+
+
 def test_transcript_winner_in_any_order(spark):
     def answer(n, out, side=False, speed=None):
         use = {"input_tokens": 1, "output_tokens": out, "cache_creation": {"ephemeral_5m_input_tokens": 2, "ephemeral_1h_input_tokens": 3}} | ({"speed": speed} if speed else {})
@@ -72,7 +82,8 @@ def test_transcript_winner_in_any_order(spark):
         df = lines.parsed(spark.createDataFrame([*order, ("f9", 9, "broken")], "path string, line int, value string"))
         got = transcripts.records(df).collect()
         assert [(r.message_id, r.line, r.tok_cache_write) for r in got] == [("a#r", 4, 5)]
-    assert transcripts.diagnostics(transcripts.records(df)).first().long_cache_tokens == 3
+    assert transcripts.diagnostics(transcripts.records(df)).first().asDict() == {"missing_request_id": 0, "long_cache_rows": 1, "long_cache_tokens": 3, "mismatch": 1, "placeholder_models": 0, "lower_bound": True}
+    assert {r.skip_reason: r.n for r in messages.skips(transcripts.normalised(df)).collect()} == {"not_json": 1}
 
 
 def test_legacy_documents(spark):
@@ -204,6 +215,10 @@ def test_prices(spark, tmp_path):
     pairs = spark.createDataFrame([("p", "m-20251001"), ("P", "m-20250101"), ("x", "m")], "provider_id string, model_id string")
     got = {r.model_id: r.kind for r in pricing.match(pairs, catalog).collect()}
     assert got == {"m-20251001": "family", "m-20250101": "normalized", "m": "crossProvider"}
+    head = prices.header(spark, str(tmp_path / "p.json")) | {"currency": "USD", "extra": {"x": [1]}}
+    again = prices.write_document(catalog.withColumn("output_per_mtok", F.lit(30.0)), head, str(tmp_path / "docs"), 1)
+    assert prices.header(spark, again) == {"schema_version": 1, "currency": "USD", "extra": {"x": [1]}}
+    assert {(r.output_per_mtok, json.loads(r.raw)["note"], r.model_id) for r in prices.read(spark, again).collect()} == {(30.0, "kept", m) for m in ("m-20250101", "m-20250929", "m-20251101")}
     path = prices.write(catalog, str(tmp_path / "out"), 2)
     assert spark.read.parquet(path).count() == 3
     with pytest.raises(pricing.InvalidPrices):
