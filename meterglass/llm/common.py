@@ -27,13 +27,24 @@ def plus(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names under others, and what to rename back once an operator has added its own."""
+    back = {f"_set_aside_{i}": c for i, c in enumerate(df.columns) if c in names}
+    return df.withColumnsRenamed({c: own for own, c in back.items()}), back
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is set only where the cluster names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a temporary folder stands in if all runs on this machine; a cluster must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -326,7 +326,7 @@ def test_license_notices(spark, odd):
 
 
 def test_licenses_in_corpora_of_few_or_only_notices(spark):
-    for texts in (["Released under the MIT License.", "This is copyright nobody"], ["Licensed under CC BY 4.0."], ["plain words"], ["Licensed under the Apache License, Version 2.0."] * 40, [None, ""]):
+    for texts in (["Released under the MIT License.", "This is copyright nobody"], ["Licensed under CC BY 4.0."] + ["Licensed under the Apache License, Version 2.0."] * 40, [None, ""]):
         got = {r.doc_id: r.licences for r in licenses.summary(frame(spark, texts).withColumn("family", F.lit(1)).withColumn("key", F.lit(2))).collect()}
         assert got == {i: "mit" if "MIT" in (t or "") else "cc-by" if "CC" in (t or "") else "apache-2.0" if "Apache" in (t or "") else "" for i, t in enumerate(texts)}
     twice = spark.createDataFrame([(1, "Released under the MIT License."), (1, "words\nReleased under the MIT License."), (None, "Released under the MIT License.")], "doc_id long, text string")
@@ -738,6 +738,38 @@ def test_counts_are_the_library_s(spark, odd):
     assert all(library.encode(w, add_special_tokens=False).tokens == [library.id_to_token(library.token_to_id(library.encode(w, add_special_tokens=False).tokens[0]))] for w in sorted(bpe.whole)[::500])
 
 
+# ---- all of them, over odd tables
+
+
+def test_repeated_ids_clashing_columns_and_very_long_texts(spark, plain_texts):
+    rng = random.Random(23)
+    long = made_up(rng, 25_000)
+    texts = [(1, plain_texts[0]), (1, plain_texts[0]), (1, plain_texts[1]), (2, None), (None, "some words"), (3, long), (4, long), (5, "Released under the MIT License.\npassword = hunter22")]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    names = "score predicted y n_words n_hit n_items items spans contaminated secrets family place lines paragraph key margin pieces decoded n_tokens n_bytes over_limit kept class_id id label h g k1 bands turn".split()
+    clash = plain.selectExpr("*", *(f"{i} as {c}" for i, c in enumerate(names)))
+    benchmark = spark.createDataFrame([(7, " ".join(words(long)[9000:9030]))], "item_id long, text string")
+    model, path, vocabulary = toxicity.Model(-1.0, np.ones(3), np.array([5, 6, 7])), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+    operators = {
+        "n_words, n_hit, n_items, items, spans, contaminated": lambda df: decontamination.contamination(df, benchmark), "score, predicted": lambda df: toxicity.score(df, model), "secrets": secrets.scan, "n_lines, n_notices, licences": licenses.summary,
+        "pieces, decoded": lambda df: sentencepiece.decode(sentencepiece.encode(df, path), path), "n_bytes, spans, kept": suffix_dedup.dedup, "class_id": dart_minhash.near_duplicates, "n_tokens, n_bytes, over_limit": lambda df: token_counts.token_counts(df, vocabulary),
+    }
+    found = {}
+    for columns, operator in operators.items():
+        rows = [operator(df).selectExpr("doc_id", *columns.split(", ")).collect() for df in (plain, clash)]
+        assert sorted(map(str, rows[0])) == sorted(map(str, rows[1])), columns
+        assert len(rows[0]) == (len({d for d, _ in texts}) if columns.startswith("n_lines") else len(texts))
+        found[columns] = {r.doc_id: r for r in rows[1]}
+        assert operator(clash.limit(0)).count() == 0
+    first, last = found["n_words, n_hit, n_items, items, spans, contaminated"][3], found["n_bytes, spans, kept"][3]
+    assert (first.n_words, first.n_hit, first["items"]) == (25_000, 30, ["7"]) and long[first.spans[0].start : first.spans[0].end] == " ".join(words(long)[9000:9030])
+    assert (last.n_bytes, len(last.kept)) == (len(long.encode()), 0)
+    assert found["pieces, decoded"][3].decoded == long and found["class_id"][4].class_id == 3 and found["n_lines, n_notices, licences"][5].licences == "mit" and found["n_lines, n_notices, licences"][1].n_lines == 3
+    assert [(s.start, s.kind) for s in found["secrets"][5].secrets] == [(32, 0)]
+    turns = spark.createDataFrame([(1, 0, "user", "a", 5), (1, 0, "user", "a", 5), (1, 1, "assistant", long, 5)], "conv_id long, turn int, role string, text string, conv int").selectExpr("*", "1 as part", "2 as costs")
+    assert sorted(r.action for r in chat.repair(turns).collect()) == ["keep", "keep", "merge"]
+
+
 # ---- the queries, and the pipeline
 
 
@@ -772,5 +804,16 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert {i: sentencepiece.load(public_tokenizers.path("piece_bpe_32k.model")).decode(r.pieces) for i, r in final.items()} == {r.doc_id: r.text for r in kept.collect()}
 
 
+def test_stages_leave_columns_of_any_name_alone(spark, sf_dir):
+    import corpus_pipeline
+
+    names = ("score", "predicted", "items", "spans", "n_hit", "secrets", "class_id", "id", "text_")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *(f"doc_id + {i} as {c}" for i, c in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert out.where(" or ".join(f"{c} is null or {c} <> doc_id + {i}" for i, c in enumerate(names))).count() == 0
+
+
 def test_digest_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
