@@ -14,7 +14,8 @@ from meterglass.llm import common, dart_minhash, decontamination, secrets, sente
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, doesn't call toxic."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), usable=~toxicity.held_out())
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    rest, back = common.set_aside(docs, "score", "predicted")
+    return toxicity.score(rest, model).where("predicted = 0").drop("score", "predicted").withColumnsRenamed(back).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in passages of benchmark items."""
-    found = decontamination.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where("not contaminated").select(docs.columns)
+    added = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
+    rest, back = common.set_aside(docs, *added)
+    found = decontamination.contamination(rest, common.table(spark, sf_dir, "benchmark"))
+    return found.where("not contaminated").drop(*added).withColumnsRenamed(back).select(docs.columns)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
