@@ -162,23 +162,23 @@ def judged(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(group_of(t).alias("group"), bin_of(t).alias("bin")))
 
 
-def plain_strings(text: Column) -> Column:
-    """One string of each length class's least length, put together from words at a place that the text's hash picks."""
+def plain_string(text: Column) -> Column:
+    """A string of a length class's least length, put together from words of a text; null for texts without enough.
+
+    The text's hash picks the class, the word to begin with, and how the words are put together.
+    """
     words = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: (w != "") & (F.length(w) < LENGTHS[0][0]))
+    pick = lambda salt, n: F.pmod(F.xxhash64(text, F.lit(salt)), n).cast("int")
+    least = F.element_at(F.array(*(F.lit(n) for n, _ in LENGTHS)), pick(0, F.lit(len(LENGTHS))) + 1)
 
-    def joined(words: Column, least: int, k: int) -> Column:
-        at = F.pmod(F.xxhash64(text, F.lit(k)), F.size(words)).cast("int") + 1
-        some = F.slice(F.concat(words, words), at, F.least(F.size(words), F.lit(least)))
-        way = F.pmod(F.xxhash64(text, F.lit(k), F.lit(1)), F.lit(len(JOINED)))
-        out = F.array_join(some, "")
+    def joined(words: Column) -> Column:
+        some = F.slice(F.concat(words, words), pick(1, F.size(words)) + 1, F.least(F.size(words), least))
+        way, out = pick(2, F.lit(len(JOINED))), F.array_join(some, "")
         for i, by in enumerate(JOINED[1:], 1):
             out = F.when(way == i, F.array_join(F.transform(some, F.initcap), "") if by == "initcap" else F.array_join(some, by)).otherwise(out)
-        return F.substring(out, 1, least)
-
-    def made(words: Column) -> Column:
-        return F.filter(F.array(*(F.when(F.length(s) == least, s) for k, (least, _) in enumerate(LENGTHS) for s in [joined(words, least, k)])), lambda s: s.isNotNull())
+        return F.substring(out, F.lit(1), least)
 
-    return F.when(F.size(words) > 0, let(words, made)).otherwise(F.array().cast("array<string>"))
+    return let(F.when(F.size(words) > 0, let(words, joined)), lambda s: F.when(F.length(s) == least, s))
 
 
 def random_up_to(docs: DataFrame, text: str = "text") -> list[int]:
@@ -189,7 +189,8 @@ def random_up_to(docs: DataFrame, text: str = "text") -> list[int]:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     found = F.transform(matches(body, TOKEN), lambda x: x["found"])
-    both = F.concat(F.transform(judged(found), lambda x: x.withField("token", F.lit(1))), F.transform(judged(plain_strings(body)), lambda x: x.withField("token", F.lit(0))))
+    plain = F.filter(F.array(plain_string(body)), lambda s: s.isNotNull())
+    both = F.concat(F.transform(judged(found), lambda x: x.withField("token", F.lit(1))), F.transform(judged(plain), lambda x: x.withField("token", F.lit(0))))
     # the outer form, as Spark would work the tokens out again to filter rows before the other
     each = docs.select(F.explode_outer(both).alias("t")).select("t.*").where("bin is not null")
     counts = each.groupBy("group", "bin").agg(F.sum("token").alias("n"), F.sum(1 - F.col("token")).alias("plain"))

@@ -246,7 +246,7 @@ POOL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 def plain_texts():
     rng = random.Random(14)
     some = COMMON + "people water under there would because another different through little house world again study letter mother answer found still learn plant cover food between state never started city earth thought".split()
-    return [" ".join(rng.choice(some) for _ in range(60)) for _ in range(600)]
+    return [" ".join(rng.choice(some) for _ in range(60)) for _ in range(3000)]
 
 
 def test_random_tokens_by_the_same_procedure_in_plain_python(spark, plain_texts):
@@ -257,8 +257,8 @@ def test_random_tokens_by_the_same_procedure_in_plain_python(spark, plain_texts)
     texts = [f"x {t} y" for t in keys + letters + plain] + plain_texts
     df = frame(spark, texts)
     found = [m for t in texts for m in re.findall(secrets.TOKEN, t)]
-    other = [s for r in df.select(secrets.plain_strings(F.col("text")).alias("p")).collect() for s in r.p or []]
-    assert len(other) > 4 * len(plain_texts) and {len(s) for s in other} == {n for n, _ in secrets.LENGTHS}
+    other = [r.p for r in df.select(secrets.plain_string(F.col("text")).alias("p")).collect() if r.p is not None]
+    assert len(other) >= len(plain_texts) and {len(s) for s in other} == {n for n, _ in secrets.LENGTHS}
     bins = {r.t: r.b for r in spark.createDataFrame([(t,) for t in {*found, *other}], "t string").select("t", secrets.bin_of(F.col("t")).alias("b")).collect()}
     off = [t for t, b in bins.items() if b != battery(t)]
     assert len(off) <= 0.002 * len(bins) and all(abs(bins[t] - battery(t)) == 1 for t in off)
