@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,9 +22,6 @@ from . import common
 #: Bands of coordinates; at similarity 0.8 all bands differ for one pair in 20,000.
 BANDS, BAND_ROWS = 25, 5
 SHINGLE = 5
-#: How a bucket's centre is chosen in each round of comparing members with one centre: the member not yet linked that
-#: shares the most bands, or any member, picked by hash. All that is left is compared in blocks after that.
-ROUNDS = ("most", "most", "any", "any")
 #: Members of a bucket, about, on either side of a block.
 BLOCK = 256
 #: Slots that shingles are counted in to put the rare ones first; columns of shingles that are multiplied at once.
@@ -202,43 +199,34 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(decided, "a long, b long")
 
 
-def crowded(buckets: DataFrame, least: int = 2) -> DataFrame:
-    """Members (h, id) of buckets with at least so many; a hot bucket's members may lie in several partitions."""
-    # counted and written apart from the join, so that Spark can split the join's large partitions
-    sizes = common.cut(buckets.groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {least}"))
+def crowded(buckets: DataFrame) -> DataFrame:
+    """Members (h, id) of buckets with more than one, and n, how many there are."""
+    # counted and written apart from the join, so that Spark can split a hot bucket's part of it
+    sizes = common.cut(buckets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     return common.cut(buckets.join(sizes, "h"))
 
 
-def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """Links (a, b) that hold each bucket's similar documents together; none if no bucket has two members.
+def classes(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(id, label): what the links between similar members (h, id, n) of buckets connect; members without links are left out.
 
-    Comparing all members with each other would grow with the square of a bucket. Instead one of them, such as the
-    original of many copies, becomes the centre, and all are compared with it; members that no centre is like are
-    compared with other centres, as ROUNDS says. Members of a bucket that the links so far don't connect are then
-    compared in blocks, so that in the end all pairs of a bucket are compared or connected.
+    Comparing all members with each other would grow with the square of a bucket. Instead one of them, the one that
+    shares the most bands with others, such as the original of many copies, becomes the centre, and all are compared with
+    it; those unlike it are compared with any other one, picked by hash. Members of a bucket that these links don't
+    connect are then compared in blocks, so that in the end all pairs of a bucket are compared or connected.
     """
-    members, left, found = buckets, buckets, None
-    for way in ROUNDS:
-        left = crowded(left.select("h", "id")) if way == "most" else left
-        if left.isEmpty():
-            break
-        if way == "most":
-            shared = left.groupBy("id").agg(F.sum("n").alias("shared"))
-            centre = left.select("h", "id").join(shared, "id").groupBy("h").agg(F.max(F.struct("shared", (-F.col("id")).alias("c"))).alias("m")).select("h", (-F.col("m.c")).alias("b"))
-        else:
-            centre = members.groupBy("h").agg(F.max(F.struct(F.xxhash64("h", "id"), "id")).alias("m")).select("h", F.col("m.id").alias("b"))
-        # written apart from the join, so that Spark can split the join's large partitions
-        with_centre = left.join(common.cut(centre), "h").where("id <> b").select("h", F.col("id").alias("a"), "b")
-        pairs = common.cut(with_centre.select("a", "b").distinct())
-        yes = common.cut(similar(pairs, sets, least))
-        found = yes if found is None else found.union(yes)
-        left = common.cut(with_centre.join(yes, ["a", "b"], "left_anti").select("h", F.col("a").alias("id")))
-    if found is None:
-        return None
-    label = components(found)
-    more = between(members, label, sets, least)
-    out = label.select(F.col("id").alias("a"), F.col("label").alias("b"))
-    return out if more is None else out.union(more)
+    shared = buckets.groupBy("id").agg(F.sum("n").alias("shared"))
+    most = buckets.select("h", "id").join(shared, "id").groupBy("h").agg(F.max(F.struct("shared", (-F.col("id")).alias("c"))).alias("m")).select("h", (-F.col("m.c")).alias("b"))
+    any_ = buckets.where("n > 2").groupBy("h").agg(F.max(F.struct(F.xxhash64("h", "id"), "id")).alias("m")).select("h", F.col("m.id").alias("b"))
+    left, links = buckets.select("h", "id"), []
+    for centres in (most, any_):
+        # written apart from the join, so that Spark can split a hot bucket's part of it
+        paired = left.join(common.cut(centres), "h").where("id <> b").select("h", F.col("id").alias("a"), "b")
+        pairs = common.cut(paired.select("a", "b").distinct())
+        links.append(common.cut(similar(pairs, sets, least)))
+        left = paired.join(links[-1], ["a", "b"], "left_anti").select("h", F.col("a").alias("id"))
+    label = components(links[0].union(links[1]))
+    more = between(buckets.where("n > 2").select("h", "id"), label, sets, least)  # a pair alone has been compared
+    return label if more.isEmpty() else components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more))
 
 
 def likely(sets: DataFrame, label: DataFrame, least: float) -> DataFrame:
@@ -277,11 +265,11 @@ def likely(sets: DataFrame, label: DataFrame, least: float) -> DataFrame:
     return tokens.join(mixed, "t", "left_semi").select("id").distinct()
 
 
-def between(members: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+def between(members: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between labels, from all pairs of members (h, id) of a bucket with unlike labels.
 
     Members of a bucket's most frequent label need not meet each other: the others meet all, in blocks, and a block
-    gives no more links than it has labels. Pairs of two-member buckets were compared when one was the centre.
+    gives no more links than it has labels.
     """
 
     def unlike(rows: DataFrame) -> DataFrame:
@@ -291,10 +279,9 @@ def between(members: DataFrame, label: DataFrame, sets: DataFrame, least: float)
         parts = (F.ceil(c / BLOCK).cast("int").alias(k) for c, k in ((F.col("n") - F.col("m.n"), "x"), (F.col("n"), "y")))
         return common.cut(rows.join(common.cut(main.select("h", F.col("m.label").alias("main"), *parts)), "h"))
 
-    rows = crowded(members.select("h", "id"), 3).select("h", "id")
-    rows = unlike(rows.join(label, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label")))
+    rows = unlike(common.cut(members.join(label, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))))
     if rows.isEmpty():
-        return None
+        return members.sparkSession.createDataFrame([], "a long, b long")
     held = common.cut(sets.join(rows.select("id").distinct(), "id", "left_semi"))
     rows = unlike(rows.join(common.cut(likely(held, label, least)), "id", "left_semi").select("h", "id", "label"))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -349,7 +336,12 @@ def similar_sets(left: pd.Series, right: pd.Series, least: float) -> np.ndarray:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the least id that links (a, b) lead to, by alternating large and small stars."""
+
+    def fingerprint(edges: DataFrame) -> Row:
+        return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+
     edges = common.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = fingerprint(edges)
     while True:
         # large star: what is above u goes to the least neighbour of u
         both = edges.union(edges.select("v", "u"))
@@ -358,10 +350,10 @@ def components(links: DataFrame) -> DataFrame:
         # small star: what is below u, and u, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        new = common.cut(small)
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        edges = new
+        edges = common.cut(small)
+        before, seen = seen, fingerprint(edges)
+        if seen == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, weighted: bool = False) -> DataFrame:
@@ -374,15 +366,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     known = common.cut(summaries(docs, key, text, weighted))
     first = common.cut(known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    buckets = first.select(F.explode("bands").alias("h"), F.col("rep").alias("id")).distinct()
-    buckets = crowded(buckets).select("h", "id")
+    buckets = crowded(first.select(F.explode("bands").alias("h"), F.col("rep").alias("id")).distinct())
     of = known.select("id", "k1", "k2").join(first.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
     involved = buckets.select("id").distinct()
     sets = common.cut(shingle_sets(rows.join(involved, "id", "left_semi"), weighted).dropDuplicates(["id"]))
-    found = links(buckets, sets, least)
-    if found is not None:
-        label = components(found)
-        of = of.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("rep"))
+    label = classes(buckets, sets, least)
+    of = of.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("rep"))
     # a key with several texts has the least class of them
     of = of.groupBy("id").agg(F.min("rep").alias("class_id"))
     return rows.select("id").join(of, "id", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))

@@ -663,7 +663,7 @@ def test_links_connect_all_that_a_bucket_connects(spark, monkeypatch):
     held = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint32).tobytes())) for i, s in sets.items()], "id long, s binary")
     for block in (500, 3):
         monkeypatch.setattr(dart_minhash, "BLOCK", block)
-        got = {r.id: r.label for r in dart_minhash.components(dart_minhash.links(rows, held, 0.8)).collect()}
+        got = {r.id: r.label for r in dart_minhash.classes(dart_minhash.crowded(rows), held, 0.8).collect()}
         assert {i: got.get(i, i) for i in sets} == want
 
 
