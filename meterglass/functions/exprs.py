@@ -103,10 +103,14 @@ def number(text: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+def cut_off(d: Column) -> Column:
+    """A double as an integer without its fraction; null beyond the range and for no number."""
+    return F.when(F.abs(d) < 9.2e18, d.try_cast("bigint"))
+
+
 def whole_number(text: Column) -> Column:
     """An integer in text; fractions are cut off, null beyond the range."""
-    d = number(text)
-    return F.coalesce(F.trim(text).try_cast("bigint"), F.when(F.abs(d) < 9.2e18, d.try_cast("bigint")))
+    return F.coalesce(F.trim(text).try_cast("bigint"), cut_off(F.trim(text).try_cast("double")))
 
 
 def counter(text: Column) -> Column:

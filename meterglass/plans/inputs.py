@@ -32,7 +32,7 @@ SELECT 'host-' || cast(user_id % 3 AS {S}) AS host_id,
 FROM {EVENTS}
 """
 DUCKDB = {"MS": "(epoch_us(ts) // 1000)", "K": "json_extract_string(props,'$.k')", "S": "varchar", "EVENTS": "events"}
-SPARK = {"MS": "unix_millis(cast(ts as timestamp))", "K": "get_json_object(props,'$.k')", "S": "string", "EVENTS": "{events}"}
+SPARK = {"MS": "unix_millis(cast(ts as timestamp))", "K": "k", "S": "string", "EVENTS": "(SELECT *, get_json_object(props, '$.k') AS k FROM {events}) e"}
 ARRIVALS = (
     # (priority, added to the update time, added to the input tokens, sequence, rows)
     (3, 0, 0, 2, "true"), (2, 5000, 1, 1, "time_created_utc % 5 = 0"), (1, 9000, 2, 3, "time_created_utc % 7 = 0"), (3, 0, 3, 4, "time_created_utc % 11 = 0"), (3, -1, 4, 5, "time_created_utc % 13 = 0"),

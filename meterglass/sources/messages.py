@@ -24,9 +24,12 @@ DOCUMENT = T.StructType([*(T.StructField(p, T.VariantType()) for p in PARTS), T.
 
 
 def parsed(rows: DataFrame, data: str) -> DataFrame:
-    """Adds j, the parts of the document; null where it is no JSON object. The text is read once."""
+    """Adds j, the parts of the document; null where it is no JSON object.
+
+    Unfolded from a list of one: filters on j would otherwise be moved below it and read the text again for each use.
+    """
     j = F.from_json(F.when(F.ltrim(data).startswith("{"), F.col(data)), DOCUMENT, {"columnNameOfCorruptRecord": "_broken"})
-    return rows.withColumn("j", j).withColumn("j", F.when(F.col("j._broken").isNull(), F.col("j")))
+    return rows.select("*", F.explode(F.array(j)).alias("j")).withColumn("j", F.when(F.col("j._broken").isNull(), F.col("j")))
 
 
 def skip_reason() -> Column:
@@ -50,15 +53,18 @@ def normalised(rows: DataFrame, data: str = "data", keep: bool = False) -> DataF
     counters = {"tok_input": ".input", "tok_output": ".output", "tok_reasoning": ".reasoning", "tok_cache_read": ".cache.read", "tok_cache_write": ".cache.write"}
     times = {"time_created_utc": ".created", "time_completed_utc": ".completed", "time_updated": ".updated"}
     agent = X.text_only(F.col("j.agent"))
-    # as text first: each is looked at several times
-    rows = rows.withColumns({f"_{c}": text("tokens", path) for c, path in counters.items()} | {f"_{c}": text("time", path) for c, path in times.items()} | {"_cost": X.number(text("cost"))})
+    # step by step, as each is looked at several times: text, numbers, and what counts of them
+    rows = rows.withColumns({f"_{c}": F.trim(text("tokens", path)) for c, path in counters.items()} | {f"_{c}": F.trim(text("time", path)) for c, path in times.items()} | {"_cost": text("cost")})
+    rows = rows.withColumns({f"_w_{c}": F.col(f"_{c}").try_cast("bigint") for c in (*counters, *times)} | {"_cost": X.number(F.col("_cost"))})
+    rows = rows.withColumns({f"_w_{c}": F.coalesce(f"_w_{c}", X.cut_off(F.col(f"_{c}").try_cast("double"))) for c in (*counters, *times)})
     either = lambda field: F.coalesce(name(field), name("model", f".{field}"))
-    fields = {c: X.counter(F.col(f"_{c}")) for c in counters} | {c: X.whole_number(F.col(f"_{c}")) for c in times} | {f: F.coalesce(either(c), F.lit("unknown")) for f, c in (("provider_id", "providerID"), ("model_id", "modelID"))}
+    zero = F.lit(0).cast("bigint")
+    fields = {c: F.greatest(F.coalesce(f"_w_{c}", zero), zero) for c in counters} | {c: F.col(f"_w_{c}") for c in times} | {f: F.coalesce(either(c), F.lit("unknown")) for f, c in (("provider_id", "providerID"), ("model_id", "modelID"))}
     rows = rows.withColumns(fields | {"cost": F.when(F.col("_cost") > 0, F.col("_cost")), "agent_raw": F.when(F.trim(agent) != "", agent).otherwise("unknown"), "variant": F.coalesce(name("variant"), name("model", ".variant")), "project_dir": F.coalesce(name("path", ".cwd"), F.lit(""))})
     rows = rows.withColumns({
         "agent_key": X.agent_key(F.col("agent_raw")), "cost_source": F.when(F.col("cost").isNotNull(), "actual").otherwise("unavailable"),
         "is_incomplete": (X.all_tokens() == 0) & F.col("time_completed_utc").isNull(),
-    }).drop("_cost", *(f"_{c}" for c in (*counters, *times)))
+    }).drop("_cost", *(f"{p}{c}" for c in (*counters, *times) for p in ("_", "_w_")))
     return rows if keep else rows.drop("j")
 
 
