@@ -46,12 +46,6 @@ def within_overlap(rows: DataFrame, watermark: int | None, updated: str = "time_
     return rows if watermark is None else rows.where(F.col(updated) >= max(watermark - overlap_ms, -(1 << 63)))
 
 
-def first_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row a key, the first in the given order."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
-
-
 def deltas(rows: DataFrame, keys: list[str], order: str, total: str, last: str | None = None) -> DataFrame:
     """Adds delta and regressed: what a counter that only grows has gained since the row before.
 

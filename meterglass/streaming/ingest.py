@@ -20,7 +20,6 @@ from ..schema import KEY, USAGE, checked
 from ..sources.rollouts import COUNTERS
 
 POINTER = "current"
-PART = ("source", "month")
 CURSORS = "host_id string, source string, cursor bigint"
 INTERVALS = "host_id string, source string, origin string, interval_start bigint, interval_end bigint"
 

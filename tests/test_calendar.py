@@ -65,3 +65,11 @@ def test_fall_back_across_midnight(spark):
 def test_bad_ranges(bad):
     with pytest.raises(C.RangeError):
         C.LocalRange(*bad)
+
+
+def test_unit_by_span_and_local_texts(spark):
+    assert [C.default_unit(d) for d in (1, 2, 31, 32, 92, 93)] == ["hour", "day", "day", "week", "week", "month"]
+    stamps = {"2026-07-31T03:34:04Z": "2026-07-31 11:34:04", "2026-07-31T03:34:04.5+02:00": "2026-07-31 09:34:04", "2026-07-31T03:34:04": "2026-07-31T03:34:04", "12:00": "12:00", "1785468844419": "1785468844419"}
+    df = spark.createDataFrame([(s,) for s in stamps], "s string")
+    assert {r.s: r.t for r in df.select("s", C.rezoned_text(F.col("s"), "Asia/Shanghai").alias("t")).collect()} == stamps
+    assert df.select(C.rezoned_text(F.lit("2026-07-31T03:34:04Z"), "Mars/Base")).first()[0] == "2026-07-31 03:34:04"
