@@ -10,6 +10,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,21 @@ def test_neighbours(spark):
     assert permutation_index.neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_recall_on_vectors_without_clusters():
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    rows, asked = pd.DataFrame({"id": range(20_000), "v": list(x)}), pd.DataFrame({"id": range(0, 20_000, 500), "v": list(x[::500])})
+    got = permutation_index.search(asked, rows.sample(frac=1, random_state=1), x[rng.choice(20_000, permutation_index.PIVOTS, replace=False)], 5)
+    near = x[::500] @ x.T
+    near[np.arange(40), np.arange(0, 20_000, 500)] = -2
+    best = np.argsort(-near, axis=1)[:, :5]
+    hits = sum(len(set(best[i]) & set(got[got.query_id == 500 * i].vec_id)) for i in range(40))
+    assert hits >= 0.92 * 200
+    again = permutation_index.search(asked, rows, x[rng.choice(20_000, permutation_index.PIVOTS, replace=False)], 5)
+    assert len(again) == len(got) == 200
+
+
 # ---- 3
 
 
