@@ -34,6 +34,8 @@ MOST_VOCABULARY_BYTES = 64 << 20
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Case pairs of Unicode 16, which the library's tables have and Python's have not.
 NEW_CASES = (("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
+#: Letters of a later Unicode than the library's, which are no letters to it: as a range of a class in a pattern.
+LATER = "\U000323b0-\U0003ffff"
 
 
 def byte_letters() -> list[str]:
@@ -59,7 +61,12 @@ class WordBpe:
             raise ValueError("added tokens with strip or word flags are not supported")
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
+        pattern = pattern.replace(r"[^\s", f"[^{SPACE}")
+        if r"[\p{L}]+" not in pattern or r"\p{L}\p{N}]+" not in pattern:
+            raise ValueError("only patterns with runs of letters and of other signs are supported")
+        self.pattern, self.later = regex.compile(pattern), re.compile(f"[{LATER}]")
+        other = f"[^{SPACE}" + r"\p{L}\p{N}]"
+        self.slower = regex.compile(pattern.replace(other + "+", f"(?:{other}|[{LATER}])+").replace(r"[\p{L}]+", f"(?:(?![{LATER}])" + r"\p{L})+"))
         self.letters = byte_letters()
         self.numbered()
         self.whole: frozenset[str] = self.proved()
@@ -211,7 +218,8 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         for capital, small in NEW_CASES:
             text = text.replace(capital, small)
-        return self.pattern.findall(text.lower())
+        text = text.lower()
+        return (self.pattern if text.isascii() or not self.later.search(text) else self.slower).findall(text)
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""

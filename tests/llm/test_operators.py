@@ -751,6 +751,8 @@ def test_counts_are_the_library_s(spark, odd):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 100)
     bpe = token_counts.load(path)
+    later = [f"a{chr(c)}b {chr(c)}{chr(c + 1)}!{chr(c)} we'll" for p in range(0x32000, 0x40000, 0x1000) for c in (p + 0x808, p + 0x85C, p + 0x988, p + 0x3B0, p + 0x479)]
+    assert bpe.count(later).tolist() == [len(e.ids) for e in library.encode_batch(later, add_special_tokens=False)]
     assert all(library.encode(w, add_special_tokens=False).tokens == [library.id_to_token(library.token_to_id(library.encode(w, add_special_tokens=False).tokens[0]))] for w in sorted(bpe.whole)[::500])
 
 
