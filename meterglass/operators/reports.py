@@ -41,6 +41,7 @@ def summary(usage: DataFrame) -> DataFrame:
 
 
 def breakdown(usage: DataFrame, by_variant: bool = False) -> DataFrame:
+    """Measures by source, agent, model and, if asked for, variant. Rows come in no order; a page sorts its own."""
     keys = ["source", "agent_key", "provider_id", "model_id"]
     variant = F.col("variant") if by_variant else F.lit(None).cast("string")
     return usage.withColumn("variant", variant).groupBy(*keys, "variant").agg(*measures(), F.count_distinct("session_id").alias("sessions"), F.max("agent_raw").alias("agent_label"))
@@ -155,7 +156,7 @@ def provider_rank(observed: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def drill(usage: DataFrame, level: str) -> DataFrame:
-    """Level source, agent or model: token sums, heaviest first, with each node's share of its level."""
+    """Level source, agent or model: token sums with each node's share of its level; `by_weight` puts the heaviest first."""
     keys = {"source": ["source"], "agent": ["source", "agent_key"], "model": ["source", "agent_key", "provider_id", "model_id"]}[level]
     extra = {"source": [F.count_distinct("agent_key").alias("agents")], "agent": [F.count_distinct("provider_id", "model_id").alias("models"), F.max_by("agent_raw", F.struct("provider_id", "model_id", F.coalesce("variant", F.lit("")), "agent_raw")).alias("agent_label")], "model": [F.count_distinct(F.coalesce("variant", F.lit(""))).alias("variants")]}[level]
     rows = usage.groupBy(*keys).agg(F.sum(X.all_tokens()).alias("tokens"), F.count("*").alias("records"), *extra)
@@ -163,6 +164,17 @@ def drill(usage: DataFrame, level: str) -> DataFrame:
     return rows.withColumn("share", F.when(whole > 0, F.round(F.col("tokens") / whole, 6)).otherwise(0.0))
 
 
+def by_weight(nodes: DataFrame, *ids: str) -> DataFrame:
+    """Nodes of a drilldown, heaviest first, equal ones by id. A level has as many rows as a screen shows."""
+    return nodes.orderBy(F.desc("tokens"), *ids)
+
+
+def models_like(usage: DataFrame, needle: str) -> DataFrame:
+    """(provider_id, model_id) of the pairs that have the needle in one of the two, in whatever case."""
+    low = needle.lower()
+    return usage.select("provider_id", "model_id").distinct().where(F.lower("provider_id").contains(low) | F.lower("model_id").contains(low))
+
+
 def variants(usage: DataFrame) -> DataFrame:
     """Models of each agent with their variants nested, heaviest first: (id, tokens, records); no variant has the id ''."""
     keys = ["source", "agent_key", "provider_id", "model_id"]

@@ -239,8 +239,7 @@ def severity_filter(spark, sf):
 
 @query("SELECT DISTINCT provider_id, model_id FROM usage_record WHERE contains(lower(provider_id), 'claude') OR contains(lower(model_id), 'claude')")
 def model_search(spark, sf):
-    needle = "CLAUDE".lower()
-    return I.usage(spark, sf).select("provider_id", "model_id").distinct().where(F.lower("provider_id").contains(needle) | F.lower("model_id").contains(needle))
+    return R.models_like(I.usage(spark, sf), "CLAUDE")
 
 
 # ---- aggregates

@@ -328,6 +328,11 @@ def test_running_trend_is_that_of_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, reports.trend(reports.filtered(rows, span), span, "day").collect()))
 
 
+def test_nodes_by_weight(spark):
+    rows = usage(spark, *(usage_row(message_id=f"m{i}", source=s, tok_input=n) for i, (s, n) in enumerate((("b", 5), ("a", 5), ("c", 9)))))
+    assert [r.source for r in reports.by_weight(reports.drill(rows, "source"), "source").collect()] == ["c", "a", "b"]
+
+
 def test_made_up_exports(spark):
     from meterglass.sources import fixture
 
