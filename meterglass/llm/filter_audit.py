@@ -8,6 +8,7 @@ counts per part and mask; their sum is what one pass over everything would count
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import pickle
@@ -28,6 +29,8 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of files in a micro-batch, at least, and micro-batches, at most: state is committed once for each.
 LEAST_BYTES, MOST_ROUNDS = 128 << 20, 64
+#: Texts whose state is kept together, about: a round reads and writes it whole, which costs less than many small states.
+TEXTS = 4_096
 #: Groups that a task adds up before it hands them on.
 GROUPS = 1 << 16
 ARRIVAL = "h binary, part string, mask int, good boolean, toxic boolean, low long, n long, n_low long"
@@ -35,17 +38,27 @@ SIGNED = "part string, mask int, good boolean, toxic boolean, n long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def own_mask(text: Column) -> Column:
-    """Bits of the filters A to D that a text fails; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    capitals = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))
-    fails = (n < 200, 100 * F.size(F.array_distinct(words)) < 50 * n, 100 * capitals.cast("long") > 2 * F.length(text), text.rlike(r"[#$%&*|]"))
-    out = F.lit(0)
-    for bit, fail in enumerate(fails):
-        out = out + F.when(fail, 1 << bit).otherwise(0)
-    return out
+_CAPITALS, _SIGNS, _INNER = bytes(range(65, 91)), b"#$%&*|", bytes(range(0x80, 0xC0))
+
+
+def own_mask(text: bytes) -> int:
+    """Bits of the filters A to D that a text fails. Bytes split at exactly the six white spaces that part words."""
+    words = text.split()
+    capitals, points = len(text) - len(text.translate(None, _CAPITALS)), len(text.translate(None, _INNER))
+    fails = (len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * capitals > 2 * points, len(text.translate(None, _SIGNS)) < len(text))
+    return sum(1 << bit for bit, fail in enumerate(fails) if fail)
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, part) with the text's hash and mask in its place. Without an id, the hash is one of the part."""
+    for batch in batches:
+        ids, hashes, found = batch.column(0).to_pylist(), [], []
+        for i, text, part in zip(ids, batch.column(1), batch.column(2), strict=True):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            found.append(own_mask(raw))
+            # rows without an id are no copies of any and have none: they need no state, and their groups go by part
+            hashes.append(hashlib.sha256(raw).digest() if i is not None else hashlib.sha256(part.as_buffer()).digest()[:8])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), batch.column(2), pa.array(found, pa.int32())], ["id", "h", "part", "mask"])
 
 
 def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,12 +67,12 @@ def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told() -> pa.RecordBatch:
         columns = list(zip(*((*k, *v) for k, v in held.items()), strict=True))
-        schema = pa.schema([("h", pa.binary()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("low", pa.int64()), ("n", pa.int64()), ("n_low", pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        types = (pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "part", "mask", "good", "toxic", "low", "n", "n_low"])
 
     for batch in batches:
         for i, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at = held.setdefault(tuple(key), [i, 0, 0])
+            at = held.setdefault(tuple(key), [-1 if i is None else i, 0, 0])
             at[1] += 1
             if i is not None:
                 if i < at[0]:
@@ -73,41 +86,34 @@ def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def retracted(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Signed counts of one text's arrivals. State: its least id, its mask, and how many rows of what kind have that id."""
-    low, mask, kinds = state.get if state.exists else (None, 0, None)
-    first: dict[tuple, int] = pickle.loads(kinds) if kinds else {}
+    """Signed counts of the arrivals of some texts. State: each text's least id, and how many rows of what kind have it."""
+    texts: dict[bytes, tuple[int, dict[tuple, int]]] = pickle.loads(state.get[0]) if state.exists else {}
     out: dict[tuple, int] = {}
 
-    def count(part: str, good: bool, toxic: bool, copy: bool, n: int) -> None:
-        k = (part, mask | COPY if copy else mask, good, toxic)
+    def count(kind: tuple, mask: int, n: int) -> None:
+        k = (kind[0], mask, *kind[1:])
         out[k] = out.get(k, 0) + n
 
     for rows in batches:
-        for part, m, good, toxic, i, n, n_low in zip(*(rows[c].tolist() for c in ("part", "mask", "good", "toxic", "low", "n", "n_low")), strict=True):
-            mask = int(m)
-            count(part, good, toxic, True, int(n))
+        for h, part, mask, good, toxic, i, n, n_low in zip(*(rows[c].tolist() for c in ("h", "part", "mask", "good", "toxic", "low", "n", "n_low")), strict=True):
+            if len(h) < 32:  # without an id
+                count((part, good, toxic), mask, n)
+                continue
+            low, first = texts.get(h, (None, {}))
+            count((part, good, toxic), mask | COPY, n)
             if low is not None and i > low:
                 continue
             if low is None or i < low:
                 for kind, k in first.items():  # these have been counted as first, and are copies now
-                    count(*kind, False, -k)
-                    count(*kind, True, k)
-                low, first = int(i), {}
-            count(part, good, toxic, True, -int(n_low))
-            count(part, good, toxic, False, int(n_low))
-            first[part, good, toxic] = first.get((part, good, toxic), 0) + int(n_low)
-    state.update((low, mask, pickle.dumps(first)))
-    told = [(*k, n) for k, n in out.items() if n]
-    yield pd.DataFrame(told, columns=["part", "mask", "good", "toxic", "n"])
-
-
-def with_loose(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """As retracted; what has no text's hash is counted as it is."""
-    if len(key[0]) == 32:
-        yield from retracted(key, batches, state)
-    else:
-        for rows in batches:
-            yield rows[["part", "mask", "good", "toxic", "n"]]
+                    count(kind, mask, -k)
+                    count(kind, mask | COPY, k)
+                first = {}
+                texts[h] = (i, first)
+            count((part, good, toxic), mask | COPY, -n_low)
+            count((part, good, toxic), mask, n_low)
+            first[part, good, toxic] = first.get((part, good, toxic), 0) + n_low
+    state.update((pickle.dumps(texts, pickle.HIGHEST_PROTOCOL),))
+    yield pd.DataFrame([(*k, n) for k, n in out.items() if n], columns=["part", "mask", "good", "toxic", "n"])
 
 
 @contextmanager
@@ -130,27 +136,27 @@ def judged(labels: DataFrame, key: str) -> DataFrame:
     return labels.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("l_id")).agg(yes("quality").alias("good"), yes("toxic").alias("toxic"))
 
 
-def masks(docs: DataFrame, labels: DataFrame, folder: str, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
+def masks(docs: DataFrame, labels: DataFrame, folder: str, buckets: int = 64, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """(part, mask, good, toxic, n): how many documents of a part fail exactly the filters of the mask.
 
     docs: a stream of documents, which is read until what is there now has come; folder: where rounds, state and progress
-    go. A run that was stopped goes on from there, and a round that is offered twice replaces itself.
+    go; buckets: texts are dealt to as many by their hash, each with its part of the state. A run that was stopped goes on from there, and a round that is offered twice replaces itself.
     """
     spark = docs.sparkSession
     known = common.cut(judged(labels, key))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("h"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), own_mask(F.col(text)).alias("mask"))
-    # rows without an id have no label, and are dealt out by their text and not all to one task
-    rows = rows.withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64("h", "part")).otherwise(0))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
+    rows = rows.mapInArrow(marked, "id long, h binary, part string, mask int")
+    # rows without an id have no label, and are dealt out by their part and not all to one task
+    rows = rows.withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64("h")).otherwise(0))
     rows = rows.join(known.withColumn("l_salt", F.lit(0).cast("long")), (F.col("id") == F.col("l_id")) & (F.col("salt") == F.col("l_salt")), "left")
-    # such rows are no copies of any and have none: they need no state, and their groups go by part
-    loose = F.unhex(F.lpad(F.hex(F.xxhash64("part")), 16, "0"))
-    rows = rows.select("id", F.when(F.col("id").isNull(), loose).otherwise(F.unhex("h")).alias("h"), "part", "mask", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")))
+    rows = rows.select("id", "h", "part", "mask", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")))
     groups = rows.mapInArrow(added_up, ARRIVAL)
 
     def publish(batch: DataFrame, n: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0").write.mode("overwrite").parquet(f"{folder}/counts/round={n}")
 
-    stream = groups.groupBy("h").applyInPandasWithState(with_loose, SIGNED, "low long, mask int, kinds binary", "update", GroupStateTimeout.NoTimeout)
+    groups = groups.withColumn("of", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    stream = groups.groupBy("of").applyInPandasWithState(retracted, SIGNED, "texts binary", "update", GroupStateTimeout.NoTimeout)
     spark.createDataFrame([], SIGNED).write.mode("overwrite").parquet(f"{folder}/counts/round=-1")  # there is a table, whatever comes
     with rocks(spark):
         query = stream.writeStream.foreachBatch(publish).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
@@ -214,4 +220,5 @@ def interactions(spark: SparkSession, path: str, labels: DataFrame, key: str = "
     integer. Without documents there are no rows.
     """
     folder = f"{common.shared_folder(spark)}/audit-{uuid.uuid4().hex}"
-    return audit(masks(documents(spark, path, key, text, part, **rounds), labels, folder, key, text, part))
+    buckets = max(1, -(-spark.read.parquet(path).count() // TEXTS))
+    return audit(masks(documents(spark, path, key, text, part, **rounds), labels, folder, buckets, key, text, part))
