@@ -29,8 +29,13 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is about one and squares stay finite; exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
+    return scaled(np.stack(vectors.to_numpy()).astype(np.float64))
 
 
 def places(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
@@ -90,7 +95,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_
     posted = common.cut(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("id", "v"))
     sample = posted.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h", "v").limit(PIVOTS).collect()  # of bounded size
     pivots = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), size["d"] if size else 1)
-    pivots /= np.maximum(np.sqrt((pivots * pivots).sum(axis=1, keepdims=True)), 1e-300)
+    pivots = scaled(pivots) if len(pivots) else pivots
+    pivots /= np.sqrt((pivots * pivots).sum(axis=1, keepdims=True))
     sent = spark.sparkContext.broadcast(pivots)
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     shards, groups = max(1, -(-counts["n"] // SHARD)), max(1, -(-counts["q"] // QUERIES))
