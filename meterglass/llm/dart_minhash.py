@@ -131,6 +131,12 @@ def counted(element: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return element[new], row[new], np.diff(np.append(new, row.size))
 
 
+def text_keys(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """128 bits that stand for the words of each text."""
+    n = np.diff(at).astype(np.uint64)
+    return [common.mix(_runs(h, at[:-1], at[1:], b) + n).view(np.int64) for b in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
+
+
 def summaries(docs: DataFrame, key: str, text: str, weighted: bool = False) -> DataFrame:
     """(id, k1, k2, bands) of each document with text and id: 128 bits that stand for its words, and its bands."""
 
@@ -139,7 +145,7 @@ def summaries(docs: DataFrame, key: str, text: str, weighted: bool = False) -> D
             data, offsets = common.utf8(batch.column(1))
             h, at = word_hashes(data, offsets)
             n = np.diff(at)
-            keys = [common.mix(_runs(h, at[:-1], at[1:], b) + n.astype(np.uint64)).view(np.int64) for b in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
+            keys = text_keys(h, at)
             for i in np.flatnonzero(n == 0):  # no words: equal only to the very same text
                 raw = hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes()).digest()
                 keys[0][i], keys[1][i] = np.frombuffer(raw, np.int64)
@@ -157,7 +163,7 @@ def summaries(docs: DataFrame, key: str, text: str, weighted: bool = False) -> D
 
 
 def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """(id, s): the sorted distinct shingles of a text as 32-bit integers.
+    """(id, k1, k2, s): the bits of a text's words, and its sorted distinct shingles as 32-bit integers.
 
     Two texts of n shingles each share a false one with a chance of about n * n / 2 ** 32. With weights, the second and
     further occurrences of a shingle are elements of their own, so that the Jaccard similarity is that of the counts.
@@ -166,6 +172,7 @@ def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             h, at = word_hashes(*common.utf8(batch.column(1)))
+            keys = text_keys(h, at)
             element, row = shingles(h, at)
             if weighted:
                 element, row, n = counted(element, row)
@@ -173,9 +180,9 @@ def shingle_sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 element, row = common.mix(np.repeat(element, n) + again.astype(np.uint64) * _STEPS), np.repeat(row, n)
             cuts = np.searchsorted(row, np.arange(len(batch) + 1))
             sets = [np.unique((element[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, keys), pa.array(sets, pa.binary())], ["id", "k1", "k2", "s"])
 
-    return docs.mapInArrow(made, "id long, s binary")
+    return docs.mapInArrow(made, "id long, k1 long, k2 long, s binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -361,17 +368,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Similarity: Jaccard, of the sets of five-word shingles (all words, if a text has fewer), or, if weighted, of how often
     a text has each. The key is an integer (others that Spark can't cast raise). Texts with the same words are copies of each other; texts without words are copies only of equal texts. Null and empty texts are classes of
-    their own. Rows without a key get a null class. Rows that share a key count as one document; each row is returned.
+    their own. Rows without a key get a null class. Rows that share a key count as one
+    document, alike to all that any of its texts is alike to; each row is returned.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     known = common.cut(summaries(docs, key, text, weighted))
-    first = common.cut(known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    buckets = crowded(first.select(F.explode("bands").alias("h"), F.col("rep").alias("id")).distinct())
-    of = known.select("id", "k1", "k2").join(first.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
-    involved = buckets.select("id").distinct()
-    sets = common.cut(shingle_sets(rows.join(involved, "id", "left_semi"), weighted).dropDuplicates(["id"]))
+    # each distinct text has a number of its own, so that a key may have several texts
+    first = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    first = common.cut(first.withColumn("node", F.monotonically_increasing_id()))
+    buckets = crowded(first.select(F.explode("bands").alias("h"), F.col("node").alias("id")).distinct())
+    involved = common.cut(first.select("rep", "k1", "k2", "node").join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("rep", "id"))
+    sets = shingle_sets(rows.join(involved.select("id").distinct(), "id", "left_semi"), weighted)
+    sets = common.cut(sets.dropDuplicates(["id", "k1", "k2"]).join(involved, ["id", "k1", "k2"]).select(F.col("node").alias("id"), "s"))
     label = classes(buckets, sets, least)
-    of = of.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("rep"))
-    # a key with several texts has the least class of them
-    of = of.groupBy("id").agg(F.min("rep").alias("class_id"))
+    # texts of one key are in one class
+    unlike = F.max(F.col("k1")) > F.min("k1"), F.max(F.col("k2")) > F.min("k2")
+    texts = known.groupBy("id").agg((unlike[0] | unlike[1]).alias("several")).where("several").select("id")
+    held = common.cut(known.select("id", "k1", "k2").join(texts, "id", "left_semi").join(first.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node").distinct())
+    if not held.isEmpty():
+        alike = held.join(held.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b")
+        label = components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).union(alike))
+    nodes = first.select("k1", "k2", "rep", "node").join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least_of = nodes.groupBy("label").agg(F.min("rep").alias("class_id"))
+    named = common.cut(nodes.join(least_of, "label").select("k1", "k2", "class_id"))
+    of = known.select("id", "k1", "k2").join(named, ["k1", "k2"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
     return rows.select("id").join(of, "id", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))

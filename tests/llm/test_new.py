@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.llm import filter_audit, heap_clustering, language_id, queries
+from meterglass.llm import dart_minhash, filter_audit, heap_clustering, language_id, permutation_index, queries
 
 # ---- 11
 
@@ -201,6 +201,38 @@ def test_an_empty_table_has_no_parts(spark, tmp_path):
     assert filter_audit.interactions(spark, str(tmp_path / "docs"), labels).count() == 0
 
 
+# ---- 9 and 2 on odd rows
+
+
+def test_a_key_with_several_texts_is_alike_to_all_that_these_are(spark):
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randint(0, 10_000)}" for _ in range(n)]
+    a, b, c = prose(80), prose(80), prose(80)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, " ".join(c)), (5, ""), (6, None), (6, " ".join(b)), (7, "!"), (7, "?"), (8, "?"), (9, "lone")]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 1, 7: 7, 8: 7, 9: 9}
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: str(r[1]))):
+        got = dart_minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert {(r.doc_id, r.class_id) for r in got} == set(want.items()) and len(got) == len(rows)
+
+
+def test_neighbours_of_vectors_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150, 8))
+    size = 10.0 ** rng.choice([-300, -200, 0, 200, 300], 150)
+    table = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v * size[:, None])], "vec_id long, embedding array<double>")
+    got = permutation_index.neighbours(table, F.col("vec_id") % 50 == 0).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = 0
+    for q in (0, 50, 100):
+        near = unit @ unit[q]
+        near[q] = -2
+        mine = [r for r in got if r.query_id == q]
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and all(abs(r.score - near[r.vec_id]) < 1e-9 for r in mine)
+        found += len({r.vec_id for r in mine} & set(np.argsort(-near)[:5].tolist()))
+    assert found >= 14
+
+
 # ---- SQL
 
 
