@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
@@ -16,6 +17,7 @@ from ..operators import hosts as H
 from ..operators import merge as M
 from ..operators import pricing as P
 from ..operators import reports as R
+from ..streaming import archive as A
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,6 +642,17 @@ def upsert_winner(spark, sf):
     return M.winners(I.arrivals(I.usage(spark, sf)), "host_id", "source", "message_id")
 
 
+@query("""SELECT host_id, source, message_id, (m).t AS time_created_utc, (m).u AS source_time_updated, (m).i AS tok_input FROM (
+SELECT host_id, source, message_id, arg_max({'t': time_created_utc + r * 7776000000, 'u': source_time_updated + r, 'i': tok_input + r}, r) AS m FROM usage_record JOIN (SELECT unnest([0, 1, 2]) AS r) n
+ ON r = 0 OR r = 1 AND time_created_utc % 3 = 0 OR r = 2 AND time_created_utc % 5 = 0 GROUP BY 1, 2, 3) x""")
+def archive_rounds(spark, sf):
+    """Three rounds into an archive: records are told again, created three and six months later."""
+    folder, rows = f"{A.scratch(spark)}/archive-{uuid.uuid4().hex}", I.usage(spark, sf)
+    for r, chosen in enumerate(("true", "time_created_utc % 3 = 0", "time_created_utc % 5 = 0")):
+        A.publish(rows.where(chosen).withColumns({"time_created_utc": F.col("time_created_utc") + r * 7_776_000_000, "source_time_updated": F.col("source_time_updated") + r, "tok_input": F.col("tok_input") + r}), folder, r)
+    return A.archive(spark, folder).select("host_id", "source", "message_id", "time_created_utc", "source_time_updated", "tok_input")
+
+
 @query("SELECT origin_priority, count(*) FILTER (changed) AS changed, count(*) AS arrived FROM (SELECT *, coalesce(origin_priority * 10000000000000 + source_time_updated >= max(origin_priority * 10000000000000 + source_time_updated) OVER (PARTITION BY host_id, source, message_id ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS changed FROM arrivals) x GROUP BY 1")
 def upsert_changed(spark, sf):
     rows = M.changed(I.arrivals(I.usage(spark, sf)), "host_id", "source", "message_id")

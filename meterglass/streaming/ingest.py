@@ -1,134 +1,20 @@
-"""Continuous ingest with Structured Streaming: winners into a snapshot archive, and gains of running counters.
-
-The archive is dealt by source and UTC month of creation. A round reads and rewrites only the months that its arrivals
-are in (and neighbouring ones, where these hold an arrival's key), and one line then names the parts that are in force.
-"""
+"""Continuous ingest with Structured Streaming: winners into the archive, and gains of running counters."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import calendar as C
-from ..operators import coverage, merge, reports
-from ..schema import KEY, USAGE, checked
+from ..operators import reports
 from ..sources.rollouts import COUNTERS
+from .archive import archive, covered, cursors, manifest, publish
 
-POINTER = "current"
-CURSORS = "host_id string, source string, cursor bigint"
-INTERVALS = "host_id string, source string, origin string, interval_start bigint, interval_end bigint"
-
-
-def _manifest(spark: SparkSession, folder: str) -> dict | None:
-    """The published state, read by Spark from wherever the folder is."""
-    try:
-        rows = spark.read.text(f"{folder}/{POINTER}").collect()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return max((json.loads(r[0]) for r in rows if r[0]), key=lambda m: m["round"], default=None)
-
-
-def month() -> Column:
-    return F.date_format(F.timestamp_millis("time_created_utc"), "yyyy-MM")
-
-
-def _usage(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return checked(spark.read.schema(USAGE).parquet(*paths)) if paths else spark.createDataFrame([], USAGE)
-
-
-def archive(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The archive as last published."""
-    m = _manifest(spark, folder)
-    return _usage(spark, [p["path"] for p in m["parts"]]) if m else None
-
-
-def _state(spark: SparkSession, m: dict | None, name: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(m[name]) if m and m.get(name) else spark.createDataFrame([], schema)
-
-
-def cursors(spark: SparkSession, folder: str) -> DataFrame:
-    """(host_id, source, cursor) as last published."""
-    return _state(spark, _manifest(spark, folder), "cursors", CURSORS)
-
-
-def covered(spark: SparkSession, folder: str) -> DataFrame:
-    """(host_id, source, origin, interval_start, interval_end) as last published."""
-    return _state(spark, _manifest(spark, folder), "coverage", INTERVALS)
-
-
-def _touched(arrivals: DataFrame, parts: list[dict]) -> list[tuple[str, str]]:
-    """Source and month of the arrivals, and of the neighbouring months that hold one of their keys."""
-    spark = arrivals.sparkSession
-    own = {(r["source"], r["month"]) for r in arrivals.select("source", month().alias("month")).distinct().collect()}  # a few parts
-    near = {(s, str(pd.Period(m) + d)) for s, m in own for d in (-1, 1)} - own
-    beside = [p["path"] for p in parts if (p["source"], p["month"]) in near]
-    if beside:
-        # only the key columns of these are read
-        moved = _usage(spark, beside).select(*KEY, month().alias("month")).join(arrivals.select(*KEY).distinct(), list(KEY), "left_semi")
-        own |= {(r["source"], r["month"]) for r in moved.select("source", "month").distinct().collect()}
-    return sorted(own)
-
-
-def publish(arrivals: DataFrame, folder: str, round_id: int, window: DataFrame | None = None, strict: bool = True) -> dict:
-    """One round: arrivals (the fact and arrival_seq) into new parts of the archive, then one line that makes them current.
-
-    window: the intervals (as INTERVALS) that were asked for, with or without records in them. A bad record rejects the
-    round; if not strict, it goes to the folder's quarantine. A round that was published before is left alone, so a
-    restarted stream may offer it again. A failure before the last write leaves parts, cursors and coverage in force as
-    they were. A record's time of creation may move by a month at most between rounds. The manifest that is returned
-    says what happened: rows changed and rejected.
-    """
-    spark = arrivals.sparkSession
-    before = _manifest(spark, folder)
-    if before and before["round"] >= round_id:
-        return before
-    path = f"{folder}/round={round_id}"
-    names = [f.name for f in USAGE]
-    if "arrival_seq" not in arrivals.columns:
-        arrivals = arrivals.withColumn("arrival_seq", F.lit(round_id).cast("bigint"))
-    arrivals = arrivals.select(*(F.col(f.name).cast(f.dataType) for f in USAGE), F.col("arrival_seq").cast("bigint")).persist()
-    try:
-        good, bad = merge.validated(arrivals, strict)
-        rejected = 0
-        if not strict:
-            aside = f"{folder}/quarantine/round={round_id}"
-            bad.write.mode("overwrite").parquet(aside)
-            rejected = spark.read.schema(bad.schema).parquet(aside).count()
-        have = before["parts"] if before else []
-        touched = _touched(good, have)
-        replaced = [p for p in have if (p["source"], p["month"]) in touched]
-        old = _usage(spark, [p["path"] for p in replaced]).withColumn("arrival_seq", F.lit(-1).cast("bigint"))
-        rows = merge.winners(old.unionByName(good), *KEY)
-        rows = rows.select(*names, (F.col("arrival_seq") >= 0).alias("arrived"), month().alias("month"), F.substring(F.sha2("source", 256), 1, 12).alias("of"))
-        # few files a part: a part's rows go to the tasks that their key's hash picks
-        rows.repartition("of", "month", F.pmod(F.xxhash64("message_id"), F.lit(8))).write.mode("overwrite").partitionBy("of", "month").parquet(f"{path}/usage")
-        written, changed = set(), 0
-        if touched:
-            dealt = spark.read.schema("source string, arrived boolean, of string, month string").parquet(f"{path}/usage")
-            for r in dealt.groupBy("source", "of", "month").agg(F.count_if("arrived").alias("n")).collect():  # a few parts
-                written.add((r["source"], r["of"], r["month"]))
-                changed += r["n"]
-        parts = [p for p in have if p not in replaced] + [{"source": s, "month": m, "path": f"{path}/usage/of={of}/month={m}"} for s, of, m in sorted(written)]
-        # from what was written: nothing is merged again
-        fresh = merge.cursors(_usage(spark, [p["path"] for p in parts if p["path"].startswith(path)]))
-        known = _state(spark, before, "cursors", CURSORS)
-        known.unionByName(fresh).groupBy("host_id", "source").agg(F.max("cursor").alias("cursor")).write.mode("overwrite").parquet(f"{path}/cursors")
-        manifest = {"round": round_id, "parts": parts, "cursors": f"{path}/cursors", "coverage": before.get("coverage") if before else None, "changed": changed, "rejected": rejected, "rewritten": len(written)}
-        if window is not None:
-            coverage.extend(_state(spark, before, "coverage", INTERVALS), window).write.mode("overwrite").parquet(f"{path}/coverage")
-            manifest["coverage"] = f"{path}/coverage"
-        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("append").text(f"{folder}/{POINTER}")
-        return manifest
-    finally:
-        arrivals.unpersist()
-
+__all__ = ["archive", "covered", "cursors", "publish", "requested", "running_trend", "stream", "stream_deltas", "stream_gains"]
 
 def requested(spark: SparkSession, folder: str, pairs: DataFrame, now_ms: int) -> DataFrame:
     """The windows that a round asks pairs (host_id, source) for: from each one's cursor on, up to now."""
@@ -148,7 +34,7 @@ def stream(source: DataFrame, folder: str, checkpoint: str, pairs: DataFrame | N
     def publish_round(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
         window = requested(spark, folder, pairs, now()) if pairs is not None and now is not None else None
-        known = _manifest(spark, folder)
+        known = manifest(spark, folder)
         m = publish(rows, folder, n, window, strict)
         if told is not None and m["changed"] and (known is None or known["round"] < n):
             told(m)

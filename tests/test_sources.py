@@ -14,7 +14,7 @@ from meterglass.functions.calendar import LocalRange
 from meterglass.operators import coverage, hosts, merge, pricing, reports
 from meterglass.schema import USAGE, SchemaMismatch, checked
 from meterglass.sources import applog, lines, messages, prices, rollouts, sessions, transcripts, wire
-from meterglass.streaming import ingest
+from meterglass.streaming import archive, ingest
 
 
 def usage_row(**changed):
@@ -269,17 +269,47 @@ def test_rounds(spark, tmp_path):
 
 def test_a_round_rewrites_its_months_only(spark, tmp_path):
     folder = str(tmp_path / "archive")
-    first = ingest.publish(seq(usage(spark, *(at_month(m, message_id=f"m{m}", source=s) for m in range(6) for s in ("s", "a/b"))), 0), folder, 0)
-    assert len(first["parts"]) == 12
-    second = ingest.publish(seq(usage(spark, at_month(5, message_id="m5", tok_input=50, source_time_updated=6), at_month(5, message_id="new")), 1), folder, 1)
-    assert second["rewritten"] == 1 and len([p for p in second["parts"] if p in first["parts"]]) == 11
-    # a record that moved to the next month is there once
-    third = ingest.publish(seq(usage(spark, at_month(3, message_id="m2", tok_input=20, source_time_updated=7)), 2), folder, 2)
-    assert third["rewritten"] == 1 and len(third["parts"]) == 11
-    got = sorted((r.source, r.message_id, r.tok_input) for r in ingest.archive(spark, folder).collect())
-    want = [(s, f"m{m}", {("s", 5): 50, ("s", 2): 20}.get((s, m), 1)) for m in range(6) for s in ("a/b", "s")] + [("s", "new", 1)]
+    paths = lambda n=None: {r.path for r in archive.parts(spark, folder, n).collect()}
+    archive.publish(seq(usage(spark, *(at_month(m, message_id=f"m{m}", source=s) for m in range(6) for s in ("s", "a/b"))), 0), folder, 0)
+    assert len(paths()) == 12
+    second = archive.publish(seq(usage(spark, at_month(5, message_id="m5", tok_input=50, source_time_updated=6), at_month(5, message_id="new")), 1), folder, 1)
+    assert second["parts_read"] <= 2 and second["keys_read"] == 0 and len(paths() & paths(0)) >= 11
+    # a record that moved by years is there once, and only the part that it left and the one that it came to are read
+    third = archive.publish(seq(usage(spark, at_month(40, message_id="m2", tok_input=20, source_time_updated=7)), 2), folder, 2)
+    assert third["parts_read"] == 1 and third["keys_read"] == 1
+    fourth = archive.publish(seq(usage(spark, at_month(2, message_id="m2", tok_input=21, source_time_updated=8), at_month(41, message_id="other")), 3), folder, 3)
+    assert fourth["parts_read"] == 1
+    got = sorted((r.source, r.message_id, r.tok_input) for r in archive.archive(spark, folder).collect())
+    want = [(s, f"m{m}", {("s", 5): 50, ("s", 2): 21}.get((s, m), 1)) for m in range(6) for s in ("a/b", "s")] + [("s", "new", 1), ("s", "other", 1)]
     assert got == sorted(want)
-    assert {tuple(r) for r in ingest.cursors(spark, folder).collect()} == {("h", "s", 7), ("h", "a/b", 5)}
+    assert {tuple(r) for r in archive.cursors(spark, folder).collect()} == {("h", "s", 8), ("h", "a/b", 5)}
+    # as of a round, by time and by source
+    assert archive.archive(spark, folder, as_of=2).where("message_id = 'm2' and source = 's'").first().tok_input == 20
+    start = at_month(40)["time_created_utc"]
+    assert {r.message_id for r in archive.archive(spark, folder, start_ms=start).collect()} == {"other"}
+    assert archive.archive(spark, folder, end_ms=start, sources=["a/b"]).count() == 6
+    assert {r.path for r in archive.out_of_force(spark, folder, 2).collect()} == (paths(0) | paths(1) | paths(2) | paths()) - paths(2) - paths()
+
+
+def test_any_rounds_give_the_sequential_fold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "MOST_KEY_LISTS", 2)
+    monkeypatch.setattr(archive, "ERA", 2)
+    folder, rng, held = str(tmp_path / "archive"), random.Random(3), {}
+    for n in range(6):
+        rows = []
+        for i in range(rng.choice([0, 12, 12])):
+            origin = rng.choice(["live", "live", "bak"])
+            row = at_month(rng.randint(0, 60), message_id=f"m{rng.randint(0, 9)}", tok_input=100 * n + i, source_time_updated=rng.randint(0, 9), origin=origin, origin_priority={"live": 3, "bak": 2}[origin])
+            rows.append(row)
+            mark = (row["origin_priority"], row["source_time_updated"])
+            if row["message_id"] not in held or mark >= held[row["message_id"]][0]:
+                held[row["message_id"]] = (mark, row["tok_input"], row["time_created_utc"])
+        table = spark.createDataFrame([], USAGE) if not rows else usage(spark, *rows)
+        line = archive.publish(table.coalesce(1).withColumn("arrival_seq", F.col("tok_input")), folder, n)
+        assert line["number"] == n and len(line["keys"]) <= 2
+    got = {r.message_id: (r.tok_input, r.time_created_utc) for r in archive.archive(spark, folder).collect()}
+    assert got == {k: v[1:] for k, v in held.items()} and archive.archive(spark, folder).count() == len(held)
+    assert [archive.manifest(spark, folder, n)["round"] for n in range(6)] == list(range(6))
 
 
 def test_stream_into_the_archive(spark, tmp_path):
