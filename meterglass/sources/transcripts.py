@@ -14,6 +14,8 @@ PROVIDER = "anthropic"
 def normalised(lines: DataFrame) -> DataFrame:
     """Adds the record's fields and skip_reason to lines with v. A line that isn't JSON is skipped alone.
 
+    A line without a working folder has the name of its file's folder instead, which is all that is known.
+
     Cache writes are the sum of the short and the long kind where these are told apart, else the plain counter.
     """
     usage = at("message.usage")
@@ -35,7 +37,7 @@ def normalised(lines: DataFrame) -> DataFrame:
     rows = lines.withColumns({
         "message_id": F.concat_ws("#", message, request), "request_id": request, "session_id": X.text_or_number(at("sessionId")), "time_created_utc": created, "agent_raw": F.when(side, "sidechain").otherwise("main"), "is_sidechain": side,
         "provider_id": F.lit(PROVIDER), "model_id": F.coalesce(X.text_or_number(at("message.model")), F.lit("unknown")), "tok_input": count("input_tokens"), "tok_output": count("output_tokens"), "tok_reasoning": F.lit(0).cast("bigint"),
-        "tok_cache_read": count("cache_read_input_tokens"), "tok_cache_write": write, "long_cache": long, "flat_cache": count("cache_creation_input_tokens"), "has_speed": at("message.usage.speed").isNotNull(), "project_dir": F.coalesce(X.text_or_number(at("cwd")), F.lit("")), "skip_reason": reason,
+        "tok_cache_read": count("cache_read_input_tokens"), "tok_cache_write": write, "long_cache": long, "flat_cache": count("cache_creation_input_tokens"), "has_speed": at("message.usage.speed").isNotNull(), "project_dir": F.coalesce(F.nullif(X.text_only(at("cwd")), F.lit("")), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)), "skip_reason": reason,
     })
     return rows.withColumns({"agent_key": F.col("agent_raw"), "is_incomplete": X.billable() == 0}).drop("v")
 

@@ -1,7 +1,8 @@
-"""Continuous ingest with Structured Streaming: winners into the archive, and gains of running counters."""
+"""Continuous ingest with Structured Streaming: winners into the archive, and records of files that are still written."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import calendar as C
+from ..functions import exprs
 from ..operators import reports
-from ..sources.rollouts import COUNTERS
+from ..sources import lines, rollouts
 from .archive import archive, covered, cursors, manifest, publish
 
-__all__ = ["archive", "covered", "cursors", "publish", "requested", "running_trend", "stream", "stream_deltas", "stream_gains"]
+__all__ = ["archive", "covered", "cursors", "publish", "requested", "running_trend", "stream", "stream_deltas", "stream_rollouts"]
 
 def requested(spark: SparkSession, folder: str, pairs: DataFrame, now_ms: int) -> DataFrame:
     """The windows that a round asks pairs (host_id, source) for: from each one's cursor on, up to now."""
@@ -69,30 +71,74 @@ def stream_deltas(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").transformWithStateInPandas(Deltas(), "path string, line long, delta long", "Append", "None")
 
 
-class Gains(StatefulProcessor):
-    """Keeps the last totals of each file and emits what each line adds to the five counters, by the batch rules."""
+SAID = ("session_id", "meta_provider", "full_model", "project_dir")
+_LINE = ("line", "quiet", "broken", *SAID, "counts", "skip_reason", "time_created_utc", "ordinal", *(f"{p}_{k}" for p in "tl" for k in rollouts.STATED))
+_RECORD = f"path string, line long, {', '.join(f'{c} string' for c in SAID)}, time_created_utc long, ordinal string, {', '.join(f'tok_{k} long' for k in rollouts.COUNTERS)}, regressed boolean"
+
+
+class Rollouts(StatefulProcessor):
+    """Follows each file line by line: what was said so far, the last totals, and lines that came before their turn."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", ", ".join(f"{k} long" for k in COUNTERS))
+        totals = ", ".join(f"t_{k} long" for k in rollouts.STATED)
+        self.so_far = handle.getValueState("so_far", f"next long, waiting long, broken boolean, {', '.join(f'{c} string' for c in SAID)}, {totals}", self.idle_ms)
+        self.early = handle.getMapState("early", "line long", "row string", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values("line", ignore_index=True)
-        total, last = (batch[[f"{p}_{k}" for k in COUNTERS]].to_numpy() for p in "tl")
-        first = self.totals.get() if self.totals.exists() else (0,) * len(COUNTERS)
-        before = pd.DataFrame(total).shift().fillna(dict(enumerate(first))).astype("int64").to_numpy()
-        self.totals.update(tuple(int(x) for x in total[-1]))
-        grown, stated = total.sum(axis=1) > before.sum(axis=1), last.sum(axis=1) > 0
-        gain = (total - before).clip(min=0)
-        gain[grown & stated] = last[grown & stated]
-        gain[~grown] = 0
-        out = pd.DataFrame(gain, columns=[f"tok_{k}" for k in COUNTERS])
-        yield out.assign(path=key[0], line=batch["line"], regressed=(before > total).any(axis=1))
+        held = self.so_far.get() if self.so_far.exists() else (1, 0, False, *[None] * len(SAID), *[0] * len(rollouts.STATED))
+        line, waiting, broken, said, totals = held[0], held[1], held[2], list(held[3 : 3 + len(SAID)]), list(held[3 + len(SAID) :])
+        came = {r[0]: r for part in rows for r in part[list(_LINE)].astype(object).where(part[list(_LINE)].notna(), None).itertuples(index=False, name=None)}
+        out = []
+        while True:
+            if line in came:
+                row = came.pop(line)
+            elif waiting and self.early.containsKey((line,)):
+                row = json.loads(self.early.getValue((line,))[0])
+                self.early.removeKey((line,))
+                waiting -= 1
+            else:
+                break
+            line += 1
+            at = dict(zip(_LINE, row, strict=True))
+            broken = broken or at["broken"]
+            if broken or at["quiet"]:
+                continue
+            said = [said[i] if at[c] is None else at[c] for i, c in enumerate(SAID)]
+            if not at["counts"] or at["skip_reason"] not in (None, "time_invalid"):
+                continue
+            new, stated = ([int(at[f"{p}_{k}"]) for k in rollouts.STATED] for p in "tl")
+            fell, grew = any(a < b for a, b in zip(new, totals, strict=True)), any(a > b for a, b in zip(new, totals, strict=True))
+            gain = stated if grew and not fell and any(stated) else [max(a - b, 0) for a, b in zip(new, totals, strict=True)]
+            totals = new
+            if at["time_created_utc"] is not None:
+                out.append((key[0], int(at["line"]), *said, int(at["time_created_utc"]), at["ordinal"], *gain[: len(rollouts.COUNTERS)], fell))
+        for n, row in came.items():
+            if n > line and not self.early.containsKey((int(n),)):
+                self.early.updateValue((int(n),), (json.dumps([x.item() if hasattr(x, "item") else x for x in row]),))
+                waiting += 1
+        self.so_far.update((int(line), waiting, bool(broken), *said, *totals))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def stream_gains(lines: DataFrame) -> DataFrame:
-    """(path, line, tok_ counters, regressed) of a stream of (path, line, totals t_, stated gains l_), across micro-batches."""
-    counters = ", ".join(f"tok_{k} long" for k in COUNTERS)
-    return lines.groupBy("path").transformWithStateInPandas(Gains(), f"path string, line long, {counters}, regressed boolean", "Append", "None").select("path", "line", *(f"tok_{k}" for k in COUNTERS), "regressed")
+def stream_rollouts(lines_: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """The records of a stream of rollout lines (path, line, value): those that `rollouts.records` makes of all lines.
+
+    Lines count from 1, blank ones too, and may come in any order and more than once: what comes before its turn waits
+    in the state. After a malformed line nothing more of its file is told (a batch leaves the file out whole). A file
+    that nothing was heard of for `idle_ms` leaves the state, with what waits in it. Needs a state store with columns of
+    its own for each state, such as RocksDB.
+    """
+    rows = lines.parsed(lines_)
+    kind = exprs.text_or_number(rollouts.at("type"))
+    object_ = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    rows = rows.withColumns({"quiet": F.trim("value") == "", "broken": (F.trim("value") != "") & ~object_, "counts": F.coalesce(rollouts.counts(kind), F.lit(False)), "time_created_utc": rollouts.created(), "ordinal": exprs.text_or_number(rollouts.at("ordinal"))} | rollouts.context(kind) | rollouts.stated())
+    rows = rows.withColumn("skip_reason", rollouts.reason(F.col("time_created_utc"))).select("path", *_LINE)
+    told = rows.groupBy("path").transformWithStateInPandas(Rollouts(idle_ms), _RECORD, "Append", "ProcessingTime")
+    told = told.withColumns(rollouts.named(F.col("session_id"), F.col("meta_provider"), F.col("full_model"), F.col("ordinal")) | {"project_dir": F.coalesce("project_dir", F.lit("")), "is_incomplete": rollouts.incomplete()})
+    return told.select(*rollouts.RECORD)

@@ -13,7 +13,7 @@ from meterglass.functions import exprs
 from meterglass.functions.calendar import LocalRange
 from meterglass.operators import coverage, hosts, merge, pricing, reports
 from meterglass.schema import USAGE, SchemaMismatch, checked
-from meterglass.sources import applog, lines, messages, prices, rollouts, sessions, transcripts, wire
+from meterglass.sources import adapters, applog, lines, messages, prices, rollouts, sessions, transcripts, wire
 from meterglass.streaming import archive, ingest
 
 
@@ -326,26 +326,71 @@ def test_stream_into_the_archive(spark, tmp_path):
     assert sorted((r.source, r.interval_start, r.interval_end) for r in ingest.covered(spark, folder).collect()) == [("idle", 0, 103), ("s", 0, 103)]
 
 
-def test_gains_across_micro_batches_are_those_of_the_batch(spark, tmp_path):
+def test_rollouts_streamed_in_any_cut_and_order_are_those_of_the_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rng, keys = random.Random(3), list(rollouts.COUNTERS)
-    rows = []
-    for path in "abc":
-        total = [0] * 5
-        for line in range(1, 13):
-            total = [max(0, t + rng.choice((0, 0, 3, 7, -2))) for t in total]
-            rows.append((path, line, *total, *(rng.choice((0, 0, 2)) if line % 3 else 0 for _ in keys)))
-    schema = "path string, line long, " + ", ".join(f"{p}_{k} long" for p in "tl" for k in keys)
+    rng, rows = random.Random(3), []
+    for path in ("x/a.jsonl", "x/b-01234567-89ab-cdef-0123-456789abcdef.jsonl", "c.jsonl"):
+        total = [0] * 6
+        for line in range(1, 25):
+            kind = rng.choice(["count", "count", "count", "meta", "turn", "blank", "other", "no total", "no time"])
+            total = [max(0, t + rng.choice((0, 3, 7, 7))) for t in total] if rng.random() < 0.9 else [t // 2 for t in total]
+            usage_ = lambda xs: dict(zip(rollouts.STATED.values(), xs, strict=True))
+            info = {"total_token_usage": usage_(total), "last_token_usage": usage_([rng.choice((0, 0, 2)) for _ in total])}
+            event = {"type": "event_msg", "timestamp": "2026-07-01T00:00:00Z", "payload": {"type": "token_count", "info": info}} | ({"ordinal": line * 10} if rng.random() < 0.3 else {})
+            event = {
+                "meta": {"type": "session_meta", "payload": {"id": rng.choice([f"s{line}", " "]), "model_provider": rng.choice(["p", None])}}, "turn": {"type": "turn_context", "payload": {"model": rng.choice(["m.n", "q", ""]), "cwd": rng.choice(["/w", None])}},
+                "other": {"type": "else"}, "no total": event | {"payload": {"type": "token_count", "info": {}}}, "no time": event | {"timestamp": "?"},
+            }.get(kind, event)
+            rows.append((path, line, "" if kind == "blank" else json.dumps(event)))
+    schema = "path string, line long, value string"
+    want = rollouts.records(lines.parsed(spark.createDataFrame(rows, schema))).collect()
+    assert len(want) > 20 and any(r.regressed for r in want)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for low, high in ((0, 5), (5, 9), (9, 99)):
-        spark.createDataFrame([r for r in rows if low < r[1] <= high], schema).write.mode("append").parquet(source)
-        query = ingest.stream_gains(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    shuffled = rng.sample(rows, len(rows))
+    for part in (shuffled[:30], shuffled[20:31], shuffled[31:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        query = ingest.stream_rollouts(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         query.awaitTermination(120)
-    w = Window.partitionBy("path").orderBy("line")
-    batch = spark.createDataFrame(rows, schema)
-    batch = batch.withColumns({f"p_{k}": F.coalesce(F.lag(f"t_{k}").over(w), F.lit(0).cast("bigint")) for k in keys}).withColumns(rollouts.gains())
-    columns = ["path", "line", *(f"tok_{k}" for k in keys), "regressed"]
-    assert sorted(map(tuple, spark.read.parquet(out).select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    got = spark.read.parquet(out).select(*rollouts.RECORD).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_gains_where_a_counter_falls(spark):
+    keys = list(rollouts.STATED)
+    case = lambda t, p, l: (*t, *p, *l)  # noqa: E731, E741
+    rows = [
+        case([9, 0, 0, 5, 0, 14], [5, 0, 0, 5, 0, 10], [3, 0, 0, 0, 0, 3]), case([9, 0, 0, 1, 0, 10], [5, 0, 0, 5, 0, 10], [3, 0, 0, 0, 0, 3]),
+        case([5, 0, 0, 5, 0, 10], [5, 0, 0, 5, 0, 10], [3, 0, 0, 0, 0, 3]), case([6, 0, 0, 5, 0, 11], [5, 0, 0, 5, 0, 10], [0] * 6),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{p}_{k} long" for p in "tpl" for k in keys)).withColumns(rollouts.gains())
+    assert [(r.tok_input, r.tok_output, r.regressed) for r in df.collect()] == [(3, 0, False), (4, 0, True), (0, 0, False), (1, 0, False)]
+
+
+def test_exports_become_the_fact(spark, tmp_path):
+    tree = tmp_path / "projects" / "-home-me"
+    tree.mkdir(parents=True)
+    answer = {"type": "assistant", "timestamp": 5, "sessionId": "s", "message": {"id": "a", "model": "m", "usage": {"input_tokens": 3}}}
+    (tree / "one.jsonl").write_text(json.dumps(answer) + "\n\nnonsense\n" + json.dumps({"type": "user"}) + "\n")
+    old = tmp_path / "old" / "ses"
+    old.mkdir(parents=True)
+    (old / "msg.json").write_text(json.dumps({"role": "assistant", "tokens": {"input": 4}, "time": {"created": 7}}))
+    facts, skips = adapters.adapted({"transcripts": adapters.read(spark, "transcripts", str(tmp_path / "projects")), "legacy": adapters.read(spark, "legacy", str(tmp_path / "old"))}, "box")
+    got = {r.message_id: r for r in checked(facts).collect()}
+    assert {k: (r.source, r.session_id, r.tok_input, r.origin, r.source_time_updated, r.project_dir, r.cost_source) for k, r in got.items()} == {"a": ("claude-code", "s", 3, "live", 5, "-home-me", "unavailable"), "msg": ("opencode", "ses", 4, "legacy", 7, "", "unavailable")}
+    assert {tuple(r) for r in skips.collect()} == {("claude-code", "not_json", 1), ("claude-code", "not_assistant", 1)}
+    line = ingest.publish(facts, str(tmp_path / "archive"), 0)
+    assert line["changed"] == 2
+
+
+def test_coverage_by_sweep_is_that_of_all_pairs(spark):
+    rng = random.Random(4)
+    buckets = spark.createDataFrame([(b, b + rng.choice((5, 10)), f"b{b}") for b in range(0, 200, 10)] + [(300, 300, "empty")], "bucket_start long, bucket_end long, label string")
+    rows = [(f"h{rng.randint(0, 3)}", "s", *sorted((rng.randint(-20, 220), rng.randint(-20, 220)))) for _ in range(14)] + [("h9", "s", 5, 5), ("h0", "s", 40, 160), ("h1", "s", 50, 170), ("h2", "s", 30, 120), ("h3", "s", 0, 130)]
+    for some in (rows, rows[:14], rows[15:], []):
+        intervals = spark.createDataFrame(some, "host_id string, source string, interval_start long, interval_end long")
+        pairs = coverage.per_pair(buckets, intervals).groupBy("bucket_start").agg(F.bool_and("covers").alias("all"), F.bool_or("meets").alias("some"))
+        want = {r.bucket_start: "none" if not r["some"] else "full" if r["all"] else "partial" for r in buckets.join(pairs, "bucket_start", "left").collect()}
+        assert {r.bucket_start: r.coverage for r in coverage.status(buckets, intervals).collect()} == want
 
 
 def test_running_trend_is_that_of_the_batch(spark, tmp_path):
