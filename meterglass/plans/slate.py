@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,13 +133,6 @@ def wire_meta(spark, sf):
     return wire.meta(I.usage(spark, sf), since=0).select("host_id", "source", "eligible_count", "cutoff")
 
 
-@query("SELECT source, granularity, count(*) AS n FROM usage_record GROUP BY 1, 2")
-def union_sources(spark, sf):
-    u = I.usage(spark, sf)
-    parts = [u.where(F.col("source") == s) for s in H.SUPPORTED]
-    return reduce(DataFrame.unionByName, parts).groupBy("source", "granularity").agg(F.count("*").alias("n"))
-
-
 SESSION_MODEL = "CASE WHEN id % 5 = 0 THEN 'anthropic' WHEN id % 5 = 1 THEN 'openai' WHEN id % 5 IN (2, 3) OR id % 7 = 0 THEN 'ollama' WHEN id % 2 = 0 THEN 'custom' ELSE 'hermes' END AS provider_id, CASE id % 5 WHEN 0 THEN 'claude-x' WHEN 1 THEN 'gpt-5.4' WHEN 2 THEN 'qwen3:8b' WHEN 3 THEN 'llama3' ELSE 'unknown' END AS model_id"
 
 
@@ -161,6 +153,11 @@ LINE = """'{"type":"' || CASE WHEN event_id % 11 = 10 THEN 'user' ELSE 'assistan
  CASE WHEN event_id % 2 = 0 THEN '"cache_creation":{"ephemeral_5m_input_tokens":2,"ephemeral_1h_input_tokens":3}' ELSE '"cache_creation_input_tokens":7' END || CASE WHEN event_id % 5 = 0 THEN ',"speed":"fast"' ELSE '' END || '}}}'"""
 
 
+def transcript_lines(spark, sf):
+    value = F.expr(LINE.replace("{MS}", "unix_millis(cast(ts as timestamp))").replace("{S}", "string"))
+    return I.table(spark, sf, "events").select(F.expr("'f' || cast(event_id % 7 as string)").alias("path"), F.col("event_id").alias("line"), value.alias("value"))
+
+
 @query(
     "WITH l AS (SELECT event_id // 3 AS answer, 'f' || cast(event_id % 7 AS varchar) AS path, event_id AS line, epoch_us(ts) // 1000 AS time_created_utc, user_id, event_id % 4 = 0 AS side, event_id % 100 AS tok_input, event_id % 13 AS tok_output, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 7 END AS tok_cache_write, event_id % 5 = 0 AS fast FROM events WHERE event_id % 11 <> 10), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY side, tok_input + tok_output + 5 + tok_cache_write DESC, fast DESC, path, line) AS n FROM l) "
@@ -171,9 +168,7 @@ def norm_transcripts(spark, sf):
     from ..sources import lines as L
     from ..sources import transcripts as S
 
-    value = F.expr(LINE.replace("{MS}", "unix_millis(cast(ts as timestamp))").replace("{S}", "string"))
-    rows = I.table(spark, sf, "events").select(F.expr("'f' || cast(event_id % 7 as string)").alias("path"), F.col("event_id").alias("line"), value.alias("value"))
-    return S.records(L.parsed(rows)).select("message_id", "session_id", "line", "time_created_utc", "agent_key", "tok_input", "tok_output", "tok_cache_write")
+    return S.records(L.parsed(transcript_lines(spark, sf))).select("message_id", "session_id", "line", "time_created_utc", "agent_key", "tok_input", "tok_output", "tok_cache_write")
 
 
 @query(
@@ -685,17 +680,68 @@ def cumulative_delta(spark, sf):
     return M.deltas(conversation_totals(spark, sf), ["conv_id"], "turn", "total").select("conv_id", "turn", "total", "delta", "regressed")
 
 
-@query(
-    f"WITH c AS ({CONV}), l AS (SELECT *, coalesce(lag(total) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS before FROM c) SELECT 'c' || cast(conv_id AS varchar) || '.jsonl#' || cast(turn AS varchar) AS message_id, 'c' || cast(conv_id AS varchar) AS session_id, greatest(total - before, 0)::bigint AS tok_input, before > total AS regressed, total <= before AS is_incomplete, 'codex' AS provider_id FROM l",
-    usage=False,
-)
+# a conversation as a rollout: what is said of session and model, and totals, of which every fourth states its gain
+ROLLOUTS = f"""c AS (SELECT conv_id, turn, greatest(total, 0) AS total FROM ({CONV}) t),
+w AS (SELECT *, coalesce(lag(total) OVER o, 0) AS before, coalesce(bool_or(turn = 0) OVER (o ROWS UNBOUNDED PRECEDING), false) AS met, last_value(CASE WHEN turn % 5 = 0 THEN turn END IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING) AS named FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+k AS (SELECT *, total > before AND turn % 4 = 1 AS stated FROM w),
+rollout AS (SELECT 'c' || conv_id || '.jsonl#' || (turn * 3 + 3) AS message_id, CASE WHEN met THEN 's' ELSE 'c' END || conv_id AS session_id, 1782864000000 AS time_created_utc,
+ CASE WHEN named % 10 = 0 THEN 'ns' WHEN met THEN 'prov' ELSE 'codex' END AS provider_id, CASE WHEN named IS NULL THEN 'unknown' WHEN named % 10 = 0 THEN 'm' || named ELSE 'plain' || named END AS model_id, CASE WHEN named IS NULL THEN '' ELSE '/w/' || named END AS project_dir,
+ {", ".join(f"(CASE WHEN stated THEN {stated} ELSE greatest(total // {d} - before // {d}, 0) END)::BIGINT AS tok_{k}" for k, d, stated in (("input", 1, 1), ("cache_read", 2, 0), ("cache_write", 5, 0), ("output", 3, 2), ("reasoning", 7, 0)))}, total < before AS regressed FROM k)"""
+
+
+def rollout_lines(spark, sf):
+    """(path, line, value): three lines a turn, the first two of which may be missing."""
+    t = conversation_totals(spark, sf).selectExpr("conv_id", "turn", "greatest(total, 0) AS total")
+    last = "CASE WHEN turn % 4 = 1 THEN ',\"last_token_usage\":{\"input_tokens\":1,\"output_tokens\":2}' ELSE '' END"
+    each = ",".join(f"\"{name}\":' || cast(total div {d} as string) || '" for name, d in (("input_tokens", 1), ("cached_input_tokens", 2), ("cache_write_input_tokens", 5), ("output_tokens", 3), ("reasoning_output_tokens", 7), ("total_tokens", 1)))
+    model = "CASE WHEN turn % 10 = 0 THEN 'ns.m' ELSE 'plain' END || cast(turn as string)"
+    values = (
+        "CASE WHEN turn % 5 = 0 THEN '{\"type\":\"turn_context\",\"payload\":{\"model\":\"' || " + model + " || '\",\"cwd\":\"/w/' || cast(turn as string) || '\"}}' END",
+        "CASE WHEN turn = 0 THEN '{\"type\":\"session_meta\",\"payload\":{\"id\":\"s' || cast(conv_id as string) || '\",\"model_provider\":\"prov\"}}' END",
+        "'{\"timestamp\":\"2026-07-01T00:00:00Z\",\"type\":\"event_msg\",\"payload\":{\"type\":\"token_count\",\"info\":{\"total_token_usage\":{" + each + "}' || " + last + " || '}}}'",
+    )
+    rows = t.select("conv_id", "turn", F.posexplode(F.array(*(F.expr(v) for v in values))).alias("nth", "value")).where("value is not null")
+    return rows.select(F.expr("'c' || cast(conv_id as string) || '.jsonl'").alias("path"), F.expr("turn * 3 + nth + 1").cast("bigint").alias("line"), "value")
+
+
+@query(f"WITH {ROLLOUTS} SELECT message_id, session_id, time_created_utc, provider_id, model_id, project_dir, tok_input, tok_cache_read, tok_cache_write, tok_output, tok_reasoning, regressed, tok_input + tok_output + tok_cache_read + tok_cache_write = 0 AS is_incomplete FROM rollout", usage=False)
 def norm_rollouts(spark, sf):
     from ..sources import lines as L
     from ..sources import rollouts as S
 
-    value = F.expr("""'{"timestamp":"2026-07-01T00:00:00Z","type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":' || cast(total as string) || '}}}}'""")
-    rows = conversation_totals(spark, sf).select(F.expr("'c' || cast(conv_id as string) || '.jsonl'").alias("path"), F.col("turn").alias("line"), value.alias("value"))
-    return S.records(L.parsed(rows)).select("message_id", "session_id", "tok_input", "regressed", "is_incomplete", "provider_id")
+    return S.records(L.parsed(rollout_lines(spark, sf))).drop("path", "line")
+
+
+_MEASURES = "count(*) AS n, count(DISTINCT session_id) AS sessions, sum(tok_input)::BIGINT AS tok_input, sum(tok_output)::BIGINT AS tok_output, sum(tok_reasoning)::BIGINT AS tok_reasoning, sum(tok_cache_read)::BIGINT AS tok_cache_read, sum(tok_cache_write)::BIGINT AS tok_cache_write, min(time_created_utc) AS first_created, max(source_time_updated) AS last_updated"
+
+
+@query(
+    f"""WITH {ROLLOUTS}, m AS (SELECT event_id % 11 AS k, * FROM events WHERE event_id % 11 NOT IN (0, 1, 2, 5)),
+l AS (SELECT event_id // 3 AS answer, 'f' || (event_id % 7) AS path, event_id AS line, epoch_us(ts) // 1000 AS ms, user_id, event_id % 4 = 0 AS side, event_id % 100 AS i, event_id % 13 AS o, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 7 END AS w, event_id % 5 = 0 AS fast FROM events WHERE event_id % 11 <> 10),
+t AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY side, i + o + 5 + w DESC, fast DESC, path, line) AS nth FROM l),
+s AS (SELECT user_id AS id, min(epoch_us(ts)) / 1e6 AS first_at, max(epoch_us(ts)) / 1e6 AS last_at, count(*) AS n, sum(floor(value))::BIGINT - 1500 AS tok FROM events GROUP BY 1),
+u AS (SELECT 'opencode' AS source, 'message' AS granularity, 'ses-' || user_id AS session_id, CASE WHEN k = 4 THEN 0 ELSE event_id END AS tok_input, 0 AS tok_output, CASE WHEN k IN (3, 4) THEN 0 ELSE 2 END AS tok_reasoning, CASE WHEN k IN (3, 4) THEN 0 ELSE 7 END AS tok_cache_read, 0 AS tok_cache_write, epoch_us(ts) // 1000 AS time_created_utc, epoch_us(ts) // 1000 + 9 AS source_time_updated FROM m
+ UNION ALL SELECT 'claude-code', 'message', 's' || user_id, i, o, 0, 5, w, ms, ms FROM t WHERE nth = 1
+ UNION ALL SELECT 'codex', 'message', session_id, tok_input, tok_output, tok_reasoning, tok_cache_read, tok_cache_write, time_created_utc, time_created_utc FROM rollout
+ UNION ALL SELECT 'hermes', 'session', id::VARCHAR, tok, n * 3, n, n * 2, n, floor(first_at * 1000)::BIGINT, floor(CASE WHEN id % 7 <> 0 THEN last_at ELSE first_at END * 1000)::BIGINT FROM s WHERE tok >= 0)
+SELECT source, granularity, {_MEASURES} FROM u GROUP BY 1, 2""",
+    usage=False,
+)
+def union_sources(spark, sf):
+    """Four exports, each read by its own adapter, as one fact."""
+    from ..sources import adapters, sessions
+
+    events = I.table(spark, sf, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    exports = {
+        "messages": events.select(F.expr("'msg-' || cast(event_id as string)").alias("id"), F.expr("'ses-' || cast(user_id as string)").alias("session_id"), ms.alias("time_created"), (ms + 9).alias("time_updated"), F.expr(RAW.replace("varchar", "string")).alias("data")),
+        "transcripts": transcript_lines(spark, sf), "rollouts": rollout_lines(spark, sf), "sessions": sessions.with_activity(*sessions.from_events(events)),
+    }
+    facts, _ = adapters.adapted(exports, "host")
+    return facts.groupBy("source", "granularity").agg(
+        F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"), *(F.sum(f"tok_{k}").alias(f"tok_{k}") for k in ("input", "output", "reasoning", "cache_read", "cache_write")),
+        F.min("time_created_utc").alias("first_created"), F.max("source_time_updated").alias("last_updated"),
+    )
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'system' OR turn % 5 = 0 THEN role || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS model FROM conversations", usage=False)

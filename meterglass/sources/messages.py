@@ -70,9 +70,10 @@ def normalised(rows: DataFrame, data: str = "data", keep: bool = False) -> DataF
 
 def records(rows: DataFrame, host_id: str, origin: str = "live", source: str = "opencode") -> DataFrame:
     """The usage records of a message export: id, session_id, time_created, time_updated and data."""
-    rows = normalised(rows).where("skip_reason is null")
+    # the export's own update time, which the document's must not replace
+    rows = normalised(rows.withColumnRenamed("time_updated", "_updated")).where("skip_reason is null")
     given = {"host_id": host_id, "source": source, "granularity": "message", "origin": origin, "origin_priority": ORIGINS[origin]}
-    rows = rows.withColumns({c: F.lit(v) for c, v in given.items()} | {"message_id": F.col("id"), "time_created_utc": F.col("time_created"), "source_time_updated": F.col("time_updated")})
+    rows = rows.withColumns({c: F.lit(v) for c, v in given.items()} | {"message_id": F.col("id"), "time_created_utc": F.col("time_created"), "source_time_updated": F.col("_updated")})
     return rows.select(*(F.col(f.name).cast(f.dataType) for f in USAGE))
 
 

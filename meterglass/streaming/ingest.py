@@ -79,7 +79,7 @@ _RECORD = f"path string, line long, {', '.join(f'{c} string' for c in SAID)}, ti
 class Rollouts(StatefulProcessor):
     """Follows each file line by line: what was said so far, the last totals, and lines that came before their turn."""
 
-    def __init__(self, idle_ms: int):
+    def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -126,12 +126,13 @@ class Rollouts(StatefulProcessor):
         pass
 
 
-def stream_rollouts(lines_: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def stream_rollouts(lines_: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """The records of a stream of rollout lines (path, line, value): those that `rollouts.records` makes of all lines.
 
     Lines count from 1, blank ones too, and may come in any order and more than once: what comes before its turn waits
-    in the state. After a malformed line nothing more of its file is told (a batch leaves the file out whole). A file
-    that nothing was heard of for `idle_ms` leaves the state, with what waits in it. Needs a state store with columns of
+    in the state. After a malformed line nothing more of its file is told (a batch leaves the file out whole). With
+    `idle_ms`, a file that nothing was heard of for so long leaves the state, with what waits in it; this is for streams
+    that go on, as Spark then makes empty rounds for ever, also where it is to stop after what is there. Needs a state store with columns of
     its own for each state, such as RocksDB.
     """
     rows = lines.parsed(lines_)
@@ -139,6 +140,6 @@ def stream_rollouts(lines_: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFra
     object_ = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     rows = rows.withColumns({"quiet": F.trim("value") == "", "broken": (F.trim("value") != "") & ~object_, "counts": F.coalesce(rollouts.counts(kind), F.lit(False)), "time_created_utc": rollouts.created(), "ordinal": exprs.text_or_number(rollouts.at("ordinal"))} | rollouts.context(kind) | rollouts.stated())
     rows = rows.withColumn("skip_reason", rollouts.reason(F.col("time_created_utc"))).select("path", *_LINE)
-    told = rows.groupBy("path").transformWithStateInPandas(Rollouts(idle_ms), _RECORD, "Append", "ProcessingTime")
+    told = rows.groupBy("path").transformWithStateInPandas(Rollouts(idle_ms), _RECORD, "Append", "ProcessingTime" if idle_ms else "None")
     told = told.withColumns(rollouts.named(F.col("session_id"), F.col("meta_provider"), F.col("full_model"), F.col("ordinal")) | {"project_dir": F.coalesce("project_dir", F.lit("")), "is_incomplete": rollouts.incomplete()})
     return told.select(*rollouts.RECORD)
