@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pivots: the distinct vectors of least hash. How many of them represent a vector.
-PIVOTS, NEAREST = 1_024, 64
+PIVOTS, NEAREST = 1_024, 96
 #: Rows of a shard and queries of a group, about; one row in so many of a shard is ranked again.
-SHARD, QUERIES, SHARE = 32_768, 32_768, 16
+SHARD, QUERIES, SHARE = 32_768, 32_768, 12
 
 
 def usable(vector: str) -> Column:
