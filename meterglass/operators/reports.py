@@ -92,6 +92,11 @@ def trend_costs(usage: DataFrame, catalog: DataFrame, span: C.LocalRange, unit:
     start = C.bucket_start(F.col("time_created_utc"), unit, span)
     counts = [F.count_if(F.col("granularity") == g).alias(c) for g, c in (("message", "messages"), ("session", "session_records"))]
     groups = P.folded(usage.withColumn("bucket_start", start), "bucket_start", "source", "agent_key", extra=[*counts, F.max("agent_raw").alias("label")])
+    return costs_of_groups(groups, catalog, overrides)
+
+
+def costs_of_groups(groups: DataFrame, catalog: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The costs bundle of `pricing.folded` rows that have bucket_start, source, agent_key, the two record counts and label."""
     rows = P.priced(groups, P.match(groups, catalog, overrides))
     keys = ["bucket_start", "source", "agent_key", "provider_id", "model_id"]
     sums = [F.sum(c).alias(c) for c in (*TOKENS, "messages", "session_records")]

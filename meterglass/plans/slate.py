@@ -17,6 +17,7 @@ from ..operators import merge as M
 from ..operators import pricing as P
 from ..operators import reports as R
 from ..streaming import archive as A
+from ..streaming import rollup
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,6 +649,35 @@ def archive_rounds(spark, sf):
     return A.archive(spark, folder).select("host_id", "source", "message_id", "time_created_utc", "source_time_updated", "tok_input")
 
 
+def rolled_archive(spark, sf):
+    """An archive of two rounds whose aggregates are of the first: the second tells a part of the records again."""
+    folder, rows = f"{A.scratch(spark)}/archive-{uuid.uuid4().hex}", I.usage(spark, sf)
+    A.publish(rows, folder, 0)
+    rollup.refresh(spark, folder)
+    A.publish(rows.where("source = 'codex'").withColumns({"source_time_updated": F.col("source_time_updated") + 1, "session_id": F.concat("session_id", F.lit("-again"))}), folder, 1)
+    return folder
+
+
+AGAIN = ", usage_again AS (SELECT * REPLACE (CASE WHEN source = 'codex' THEN session_id || '-again' ELSE session_id END AS session_id) FROM usage_record) "
+
+
+@query(AGAIN + f"SELECT {SUMS}, {COUNTS}, count(DISTINCT session_id) AS sessions FROM usage_again WHERE NOT is_incomplete AND {range_sql(MARCH)}")
+def rolled_summary(spark, sf):
+    return rollup.summary(spark, rolled_archive(spark, sf), MARCH)
+
+
+@query(AGAIN + f"SELECT source, agent_key, provider_id, model_id, variant, {BREAK} FROM usage_again WHERE NOT is_incomplete AND {range_sql(MARCH)} GROUP BY 1, 2, 3, 4, 5")
+def rolled_breakdown(spark, sf):
+    folder = rolled_archive(spark, sf)
+    rollup.refresh(spark, folder)
+    return rollup.breakdown(spark, folder, MARCH, by_variant=True)
+
+
+@query(ORACLE_SQL["trend_costs"].removeprefix(I.WITH))
+def rolled_costs(spark, sf):
+    return rollup.trend_costs(spark, rolled_archive(spark, sf), I.catalog(spark), MARCH, "day")
+
+
 @query("SELECT origin_priority, count(*) FILTER (changed) AS changed, count(*) AS arrived FROM (SELECT *, coalesce(origin_priority * 10000000000000 + source_time_updated >= max(origin_priority * 10000000000000 + source_time_updated) OVER (PARTITION BY host_id, source, message_id ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS changed FROM arrivals) x GROUP BY 1")
 def upsert_changed(spark, sf):
     rows = M.changed(I.arrivals(I.usage(spark, sf)), "host_id", "source", "message_id")

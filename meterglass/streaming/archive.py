@@ -36,10 +36,10 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-archive-")
 
 
-def _lines(spark: SparkSession, folder: str, era: int) -> list[dict]:
+def _lines(spark: SparkSession, folder: str, era: int, pointer: str = POINTER) -> list[dict]:
     """The lines of an era's rounds, in order; none if there is no such era."""
     try:
-        rows = spark.read.text(f"{folder}/{POINTER}/era={era}").collect()  # ERA lines at most
+        rows = spark.read.text(f"{folder}/{pointer}/era={era}").collect()  # ERA lines at most
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
             return []
@@ -47,8 +47,8 @@ def _lines(spark: SparkSession, folder: str, era: int) -> list[dict]:
     return sorted((json.loads(r[0]) for r in rows if r[0]), key=lambda m: m["number"])
 
 
-def manifest(spark: SparkSession, folder: str, as_of: int | None = None) -> dict | None:
-    """The state in force, or the one that was after round `as_of`.
+def manifest(spark: SparkSession, folder: str, as_of: int | None = None, pointer: str = POINTER) -> dict | None:
+    """The state in force, or the one that was after round `as_of`; pointer: which lines tell it.
 
     Eras follow each other without a gap, so the last is found by doubling and halving; what is read doesn't grow with
     the number of rounds.
@@ -57,7 +57,7 @@ def manifest(spark: SparkSession, folder: str, as_of: int | None = None) -> dict
 
     def lines(era: int) -> list[dict]:
         if era not in found:
-            found[era] = _lines(spark, folder, era)
+            found[era] = _lines(spark, folder, era, pointer)
         return found[era]
 
     fits = lambda era: bool(lines(era)) and (as_of is None or lines(era)[0]["round"] <= as_of)
