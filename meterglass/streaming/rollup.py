@@ -144,7 +144,7 @@ def reads(spark: SparkSession, folder: str, span: C.LocalRange, sources: list[st
         if p["last"] >= low and p["first"] < high:
             sums.append(held[p["path"]]["sums"])
             sessions.append(held[p["path"]]["sessions"])
-        if p["first"] < low and p["last"] >= start or p["last"] >= high and p["first"] < end:
+        if start < low and p["first"] < low or high < end and p["last"] >= high:
             cut.append(p["path"])
     return Reads(start, low, high, end, *(tuple(x) for x in (sums, sessions, cut, plain)), tuple(rolled["dictionaries"] if rolled else ()))
 
