@@ -47,11 +47,14 @@ def breakdown(usage: DataFrame, by_variant: bool = False) -> DataFrame:
     return usage.withColumn("variant", variant).groupBy(*keys, "variant").agg(*measures(), F.count_distinct("session_id").alias("sessions"), F.max("agent_raw").alias("agent_label"))
 
 
-def breakdown_costs(priced: DataFrame, by_variant: bool = False) -> DataFrame:
-    """The breakdown of priced records with costs by layer: prices are known per row, so nothing is joined afterwards."""
-    variant = F.col("variant") if by_variant else F.lit(None).cast("string")
-    rows = priced.withColumn("variant", variant).groupBy("source", "agent_key", "provider_id", "model_id", "variant")
-    return rows.agg(*measures(), F.count_distinct("session_id").alias("sessions"), F.max("agent_raw").alias("agent_label"), *P.in_series())
+def breakdown_costs(usage: DataFrame, catalog: DataFrame, by_variant: bool = False, overrides: DataFrame | None = None) -> DataFrame:
+    """The breakdown with costs by layer. Records are summed up by node and session before prices meet them."""
+    keys, variant = ["source", "agent_key", "provider_id", "model_id", "variant"], F.col("variant") if by_variant else F.lit(None).cast("string")
+    counts = [F.count_if(F.col("granularity") == g).alias(c) for g, c in (("message", "messages"), ("session", "session_records"))]
+    groups = P.folded(usage.withColumn("variant", variant), "source", "agent_key", "variant", "session_id", extra=[*counts, F.max("agent_raw").alias("label")])
+    rows = P.priced(groups, P.match(groups, catalog, overrides)).groupBy(*keys)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*TOKENS, "messages", "session_records")]
+    return rows.agg(*sums, F.count_distinct("session_id").alias("sessions"), F.max("label").alias("agent_label"), *P.in_series(records=F.col("records")))
 
 
 def trend(usage: DataFrame, span: C.LocalRange, unit: str, *by: str, extra: list[Column] | None = None) -> DataFrame:

@@ -309,7 +309,7 @@ SERIES_MONEY = ", ".join(f"round(coalesce(sum(amount) FILTER (layer = '{x}' AND
 
 @query(PRICED + f"SELECT source, agent_key, provider_id, model_id, variant, {BREAK}, {SERIES_MONEY} FROM priced WHERE NOT is_incomplete AND {range_sql(MARCH)} GROUP BY 1, 2, 3, 4, 5")
 def breakdown_costs(spark, sf):
-    return R.breakdown_costs(priced(spark, sf), by_variant=True)
+    return R.breakdown_costs(R.filtered(I.usage(spark, sf), MARCH), I.catalog(spark), by_variant=True)
 
 
 @query("SELECT agent_key, max(agent_raw) AS agent_label FROM usage_record GROUP BY 1")
