@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ORIGINS, USAGE, checked
-from . import lines, messages, rollouts, sessions, transcripts
+from . import lines, messages, rollouts, sessions, tolerant, transcripts
 
 #: What a record has where its source says nothing of it.
 ABSENT = {"variant": None, "cost": None, "time_completed_utc": None, "cost_source": "unavailable", "agent_raw": "", "agent_key": "", "is_incomplete": False, "project_dir": ""}
 SKIPS = "source string, skip_reason string, n bigint"
+#: The columns of exports that are tables: messages, and sessions with the times of their messages.
+MESSAGE = "id string, session_id string, time_created bigint, time_updated bigint, data string"
+SESSION = (
+    "id string, source string, model string, started_at double, ended_at double, billing_provider string, billing_base_url string, "
+    "input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, reasoning_tokens bigint"
+)
+SAID_AT = "session_id string, timestamp double"
 
 
 def fact(rows: DataFrame, host_id: str, source: str, granularity: str, origin: str = "live") -> DataFrame:
@@ -79,3 +86,23 @@ def read(spark: SparkSession, kind: str, *paths: str) -> DataFrame:
     if kind == "legacy":
         return lines.documents(spark, *paths)
     return lines.read(spark, *paths)
+
+
+def scanned(spark: SparkSession, kind: str, host_id: str, folder: str, *paths: str, origin: str = "live", strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fact rows, skip counts, files) of an export, of which some files may be unreadable.
+
+    files: (host_id, source, path, readable, error), as `coverage.with_holes` takes them. What is read is written to the
+    folder, so that facts and counts don't read the export again. If strict, an unreadable file raises UnreadableFile,
+    as for an export that came whole from another host. kind "sessions" takes two paths: sessions, and their messages.
+    """
+    if kind == "sessions":
+        (told, files), (said, more) = (tolerant.tables(spark, f"{folder}/{n}", schema, p) for n, schema, p in zip(("sessions", "messages"), (SESSION, SAID_AT), paths, strict=True))
+        rows, files = sessions.with_activity(told, said), files.unionByName(more)
+    elif kind == "messages":
+        rows, files = tolerant.tables(spark, folder, MESSAGE, *paths)
+    else:
+        rows, files = (tolerant.documents if kind == "legacy" else tolerant.lines)(spark, folder, *paths)
+    if strict:
+        tolerant.whole(files)
+    facts, skips = adapted({kind: rows}, host_id, origin)
+    return facts, skips, files.select(F.lit(host_id).alias("host_id"), F.lit(ADAPTERS[kind][0]).alias("source"), "path", "readable", "error")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import calendar as C
 from ..functions import exprs
-from ..operators import reports
-from ..sources import lines, rollouts
-from .archive import archive, covered, cursors, manifest, publish
+from ..operators import coverage, reports
+from ..sources import adapters, lines, rollouts
+from .archive import INTERVALS, archive, covered, cursors, manifest, publish
 
-__all__ = ["archive", "covered", "cursors", "publish", "requested", "running_trend", "stream", "stream_deltas", "stream_rollouts"]
+__all__ = ["archive", "covered", "cursors", "ingest_round", "publish", "requested", "running_trend", "stream", "stream_deltas", "stream_rollouts"]
 
 def requested(spark: SparkSession, folder: str, pairs: DataFrame, now_ms: int) -> DataFrame:
     """The windows that a round asks pairs (host_id, source) for: from each one's cursor on, up to now."""
@@ -44,6 +45,27 @@ def stream(source: DataFrame, folder: str, checkpoint: str, pairs: DataFrame | N
     return source.writeStream.foreachBatch(publish_round).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def ingest_round(spark: SparkSession, folder: str, round_id: int, host_id: str, exports: dict[str, tuple[str, ...]], now_ms: int, strict: bool = False) -> dict:
+    """One round over a host's exports, by kind the paths of each: scanned, adapted, and published with what was scanned.
+
+    Exports are read whole, so all time up to now counts as scanned for their sources. A file that can't be read is a
+    hole: what else there is goes into the archive, but nothing counts as scanned for its source in this round. If strict,
+    such a file rejects the round, and so does a bad record; else bad records are put in quarantine. The line that is
+    returned has how many files were unreadable, and what was skipped by source and reason. A round that was published
+    before is left alone.
+    """
+    known = manifest(spark, folder)
+    if known and known["round"] >= round_id:
+        return known
+    parts = [adapters.scanned(spark, kind, host_id, f"{folder}/round={round_id}/scanned/{kind}", *paths, strict=strict) for kind, paths in exports.items()]
+    facts, skips, files = (reduce(DataFrame.unionByName, column) for column in zip(*parts, strict=True))
+    holes = coverage.with_holes(files, now_ms, 0).collect()  # one row a source
+    window = spark.createDataFrame([(h["host_id"], h["source"], "live", 0, now_ms) for h in holes if not h["unreadable"]], INTERVALS)
+    counts = {f"{r['source']}/{r['skip_reason']}": r["n"] for r in skips.groupBy("source", "skip_reason").agg(F.sum("n").alias("n")).collect()}  # few reasons
+    line = publish(facts, folder, round_id, window, strict)
+    return line | {"unreadable": sum(h["unreadable"] for h in holes), "skipped": counts}
+
+
 def running_trend(usage: DataFrame, span: C.LocalRange, unit: str) -> DataFrame:
     """The trend of a stream of fact rows: each row has its calendar bucket itself, whatever the zone's offset."""
     return reports.trend(reports.filtered(usage, span), span, unit)
