@@ -203,6 +203,23 @@ def detail(usage: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return usage.orderBy(*order).offset(offset).limit(min(limit, MOST_PER_PAGE))
 
 
+#: The order of pages, newest first: total, as a message's identifier is unique in its host and source.
+PAGED = ("message_id", "host_id", "source")
+
+
+def detail_after(usage: DataFrame, limit: int, after: tuple[int, str, str, str] | None = None) -> DataFrame:
+    """The page of records that follows the one whose (time_created_utc, *PAGED) are `after`; the first page without it.
+
+    What comes before isn't sorted or counted, as an offset's would be, and the time's bound reaches the scan.
+    """
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    if after is not None:
+        time, rest = F.col("time_created_utc"), F.struct(*(F.lit(x).alias(c) for c, x in zip(PAGED, after[1:], strict=True)))
+        usage = usage.where(time <= after[0]).where((time < after[0]) | (F.struct(*PAGED) > rest))
+    return usage.orderBy(F.desc("time_created_utc"), *PAGED).limit(min(limit, MOST_PER_PAGE))
+
+
 def masked_trend(usage: DataFrame, intervals: DataFrame, spine: DataFrame, span: C.LocalRange, unit: str) -> DataFrame:
     """Every bucket with coverage and tokens; null where nothing was scanned."""
     rows = trend(usage, span, unit).withColumn("tokens", X.all_tokens()).select("bucket_start", "tokens")

@@ -592,6 +592,19 @@ def detail_page(spark, sf):
     return R.detail(I.usage(spark, sf).select("host_id", "source", "message_id", "time_created_utc"), 500, 100)
 
 
+@query("SELECT host_id, source, message_id, time_created_utc, tok_input FROM usage_record WHERE tok_input % 3 = 0 ORDER BY time_created_utc DESC, message_id, host_id, source LIMIT 150 OFFSET 300")
+def detail_seek(spark, sf):
+    """The third page of an archive, with a condition; each page begins after the last row of the one before."""
+    folder = f"{A.scratch(spark)}/archive-{uuid.uuid4().hex}"
+    A.publish(I.usage(spark, sf), folder, 0)
+    page = lambda after: A.page(spark, folder, 150, after, where=F.col("tok_input") % 3 == 0)
+    after = None
+    for _ in range(2):
+        last = page(after).select("time_created_utc", *R.PAGED).tail(1)
+        after = tuple(last[0]) if last else (-(1 << 63), "", "", "")
+    return page(after).select("host_id", "source", "message_id", "time_created_utc", "tok_input")
+
+
 @query(PRICED + "SELECT message_id, host_id, CASE WHEN layer = 'actual' THEN round(amount, 9) END AS actual, CASE WHEN layer = 'estimated' THEN round(amount, 9) END AS estimated, layer = 'unavailable' AS unavailable FROM priced ORDER BY time_created_utc DESC, message_id, host_id, source LIMIT 200")
 def detail_costs(spark, sf):
     page = R.detail(I.usage(spark, sf), 200)

@@ -13,7 +13,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coverage, merge
+from ..operators import coverage, merge, reports
 from ..schema import KEY, USAGE, checked
 
 POINTER = "current"
@@ -113,6 +113,46 @@ def archive(spark: SparkSession, folder: str, start_ms: int | None = None, end_m
     return usage(spark, [r["path"] for r in chosen.select("path").collect()]).where(wanted)
 
 
+def reaching(have: list, after_ms: int | None, limit: int) -> tuple[list[str], int | None]:
+    """(paths, low): parts (PARTS) with the `limit` newest records up to a time, none of which is older than low.
+
+    Parts that lie wholly before the time are counted from the newest on until they hold enough; low is None where all
+    parts are needed. Parts that reach beyond the time may have few records before it, so they are read but not counted.
+    """
+    rows = [p for p in have if after_ms is None or p["first"] <= after_ms]
+    low, counted = None, 0
+    for p in sorted((p for p in rows if after_ms is None or p["last"] < after_ms), key=lambda p: -p["first"]):
+        counted += p["n"]
+        if counted >= limit:
+            low = p["first"]
+            break
+    return [p["path"] for p in rows if low is None or p["last"] >= low], low
+
+
+def page(spark: SparkSession, folder: str, limit: int, after: tuple[int, str, str, str] | None = None, sources: list[str] | None = None, where: Column | None = None, as_of: int | None = None) -> DataFrame:
+    """`reports.detail_after` of the archive: a page costs the same wherever it lies, as only parts that can have its records are opened.
+
+    With `where`, more parts are opened, four times the records each time, until the page is full. as_of: the round whose
+    archive is paged through, so that pages of one reader agree while rounds go on.
+    """
+    m, limit = manifest(spark, folder, as_of), min(limit, reports.MOST_PER_PAGE)
+    wanted = limit
+    have = _table(spark, m["parts"] if m else None, PARTS).collect()  # one row a part
+    have = [p for p in have if sources is None or p["source"] in sources]
+    while True:
+        paths, low = reaching(have, after[0] if after else None, wanted)
+        rows = usage(spark, paths)
+        for said in (F.col("time_created_utc") >= low if low is not None else None, where):
+            rows = rows if said is None else rows.where(said)
+        rows = reports.detail_after(rows, limit, after)
+        if where is None or low is None:
+            return rows
+        full = rows.collect()  # a page
+        if len(full) == limit:
+            return spark.createDataFrame(full, USAGE)
+        wanted *= 4
+
+
 def cursors(spark: SparkSession, folder: str) -> DataFrame:
     """(host_id, source, cursor) as last published."""
     m = manifest(spark, folder)
