@@ -119,3 +119,17 @@ def test_documents_and_no_files(spark, tmp_path):
     (tmp_path / "in/b.json.gz").write_bytes(b"broken")
     rows, files = tolerant.documents(spark, str(tmp_path / "staged"), str(tmp_path / "in"))
     assert [r.value for r in rows.collect()] == ['{"a":\n1}'] and told(files) == {"a.json": True, "b.json.gz": False}
+
+
+def test_sessions_and_legacy_documents(spark, tmp_path):
+    for d in ("s", "said", "old"):
+        (tmp_path / d).mkdir()
+    pq.write_table(pa.table({"id": ["one", "two"], "started_at": [1.0, 2.0], "ended_at": [None, 3.0], "input_tokens": [5, 6]}), tmp_path / "s/a.parquet")
+    pq.write_table(pa.table({"session_id": ["one"], "timestamp": [9.0]}), tmp_path / "said/a.parquet")
+    (tmp_path / "said/b.parquet").write_text("no parquet")
+    facts, _, files = adapters.scanned(spark, "sessions", "box", str(tmp_path / "x"), str(tmp_path / "s"), str(tmp_path / "said"))
+    assert {(r.message_id, r.tok_input, r.source_time_updated) for r in facts.collect()} == {("one", 5, 9000), ("two", 6, 2000)}
+    assert sorted(r.readable for r in files.collect()) == [False, True, True]
+    (tmp_path / "old/a.json").write_text("{")
+    facts, skips, files = adapters.scanned(spark, "legacy", "box", str(tmp_path / "y"), str(tmp_path / "old"))
+    assert facts.count() == 0 and [r.n for r in skips.collect()] == [1] and told(files) == {"a.json": True}
