@@ -3,7 +3,7 @@
 A part never changes once it is written, so its aggregate is made once, and made anew only for parts that a round has
 rewritten. Reports read aggregates for the quarters that lie wholly in their range and records for what is cut at its
 ends; parts that have no aggregate yet are read as records. So a report is right whenever it is asked, and only faster
-after `refresh`. Sessions are exact: each has a number in a dictionary, and bitmaps of numbers are united by OR.
+after `refresh`. Sessions are exact: each has a number in a dictionary, and distinct numbers are counted.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from ..operators import pricing, reports
 from ..schema import TOKENS
 from .archive import ERA, PARTS, SLOTS, _table, key_hash, manifest, month, usage
 
-POINTER = "rolled"
+#: Not that of folders whose aggregates had bitmaps: these are made anew.
+POINTER = "rolled_numbers"
 #: Milliseconds of a quarter of an hour: local days and hours of today's time zones all begin with one.
 GRAIN = 900_000
 MOST_DICTIONARIES = 16
@@ -30,7 +31,7 @@ SUMS = (
     "grain bigint, host_id string, source string, agent_key string, variant string, provider_id string, model_id string, cost_source string, "
     f"records bigint, {', '.join(f'{t} bigint' for t in TOKENS)}, cost double, messages bigint, session_records bigint, label string"
 )
-BITS = "grain bigint, host_id string, source string, agent_key string, variant string, provider_id string, model_id string, bucket bigint, bits binary"
+SESSIONS = "grain bigint, host_id string, source string, agent_key string, variant string, provider_id string, model_id string, number bigint"
 
 
 def _grained(records: DataFrame) -> DataFrame:
@@ -43,16 +44,11 @@ def _sums(records: DataFrame, *more: str) -> DataFrame:
     return pricing.folded(records, *more, "grain", "host_id", "source", "agent_key", "variant", extra=[*counts, F.max("agent_raw").alias("label")])
 
 
-def _bits(numbered: DataFrame, *keys: str) -> DataFrame:
-    """(keys, bucket, bits) of rows with keys and the number of a session."""
-    return numbered.groupBy(*keys, F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-
-
 def _numbered(sessions: DataFrame, known: DataFrame, so_far: int, path: str) -> int:
     """Writes (session_id, number) of sessions (session_id, first) that aren't known; how many sessions have a number then.
 
-    Numbers go up in order of first use, so the sessions of an hour are in few bitmaps. They are dealt range by range
-    without a gap: only the number of rows of each range passes the driver.
+    Numbers go up in order of first use, so those of an hour are near each other. They are dealt range by range without
+    a gap: only the number of rows of each range passes the driver.
     """
     spark = sessions.sparkSession
     new = sessions.join(known, "session_id", "left_anti").repartitionByRange("first", "session_id").sortWithinPartitions("first", "session_id")
@@ -93,8 +89,9 @@ def refresh(spark: SparkSession, folder: str) -> dict | None:
         # a hot session is a few rows a quarter before it meets the dictionary
         pairs = records.select(*dealt, "grain", *BY, "session_id").distinct().join(_table(spark, dictionaries, NUMBERS), "session_id")
         spread = (*dealt, F.pmod(F.xxhash64("grain"), F.lit(8)))
-        for name, rows in (("sums", _sums(records, *dealt)), ("sessions", _bits(pairs, *dealt, "grain", *BY))):
-            rows.repartition(*spread).sortWithinPartitions("grain").write.mode("overwrite").partitionBy(*dealt).parquet(f"{path}/{name}")
+        # a quarter has few records of most sessions, so a row for each of its sessions is less than a bitmap of all
+        for name, rows in (("sums", _sums(records, *dealt)), ("sessions", pairs.drop("session_id"))):
+            rows.repartition(*spread).sortWithinPartitions(*dealt, "grain").write.mode("overwrite").partitionBy(*dealt).parquet(f"{path}/{name}")
         some = _aggregated(spark, path, {p: inside[p] for p in todo})
         held += [(p, *(f"{path}/{name}/{inside[p]}" if p in some else None for name in ("sums", "sessions"))) for p in todo]
     spark.createDataFrame(held, HELD).coalesce(1).write.mode("overwrite").parquet(f"{path}/held")
@@ -167,17 +164,16 @@ def groups(spark: SparkSession, r: Reads, **equal: str | None) -> DataFrame:
 def sessions(spark: SparkSession, r: Reads, *keys: str, **equal: str | None) -> DataFrame:
     """(keys, sessions): how many distinct sessions the range has, by keys that are in BY.
 
-    Bitmaps are united; sessions of records join in by their numbers, and those that have none yet are in no bitmap.
+    Sessions of records join in by their numbers; those that have none yet are in no aggregate.
     """
-    whole = _table(spark, list(r.sessions), BITS).where((F.col("grain") >= r.low) & (F.col("grain") < r.high))
-    bits = reports.filtered(whole, complete=None, **equal).select(*keys, "bucket", "bits")
+    whole = _table(spark, list(r.sessions), SESSIONS).where((F.col("grain") >= r.low) & (F.col("grain") < r.high))
+    known = reports.filtered(whole, complete=None, **equal).select(*keys, "number")
     counted = []
     if r.cut or r.plain:
         left = _outside(spark, r, **equal).where("session_id is not null").select(*keys, "session_id").distinct().join(_table(spark, list(r.dictionaries), NUMBERS), "session_id", "left")
-        bits = bits.unionByName(_bits(left.where("number is not null"), *keys))
+        known = known.unionByName(left.where("number is not null").select(*keys, "number"))
         counted = [left.where("number is null").groupBy(*keys).agg(F.count("*").alias("sessions"))]
-    united = bits.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
-    rows = united.groupBy(*keys).agg(F.sum("n").alias("sessions"))
+    rows = known.distinct().groupBy(*keys).agg(F.count("*").alias("sessions"))
     for more in counted:
         rows = rows.unionByName(more)
     return rows.groupBy(*keys).agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))

@@ -98,3 +98,16 @@ def test_little_or_nothing(spark, tmp_path):
     rollup.refresh(spark, folder)
     assert rollup.summary(spark, folder, span).first().sessions == 1
     assert rollup.sessions(spark, rollup.reads(spark, folder, span), "host_id").select(F.sum("sessions")).first()[0] == 1
+
+
+def test_a_session_of_a_quarter_takes_a_number(spark, tmp_path):
+    """Most quarters see few of all sessions: what is kept of each grows with those, not with a bitmap's width."""
+    folder = str(tmp_path / "archive")
+    rows = [usage_row(message_id=f"m{i}", session_id=f"s{i % 50}", time_created_utc=START + i % 100 * rollup.GRAIN) for i in range(300)]
+    archive.publish(usage(spark, *rows).coalesce(1), folder, 0)
+    rollup.refresh(spark, folder)
+    span = LocalRange(date(2024, 1, 1), date(2024, 2, 1))
+    kept = spark.read.parquet(*rollup.reads(spark, folder, span).sessions).collect()
+    assert 100 <= len(kept) <= 300  # a record's slot is that of its key
+    assert all(len(v) < 100 for r in kept for v in r if isinstance(v, (str, bytearray)))
+    assert rollup.summary(spark, folder, span).first().sessions == 50
