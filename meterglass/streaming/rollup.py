@@ -41,7 +41,8 @@ def _grained(records: DataFrame) -> DataFrame:
 def _sums(records: DataFrame, *more: str) -> DataFrame:
     """Complete records (with grain) summed up by all that reports group by and all that decides a price."""
     counts = [F.count_if(F.col("granularity") == g).alias(c) for g, c in (("message", "messages"), ("session", "session_records"))]
-    return pricing.folded(records, *more, "grain", "host_id", "source", "agent_key", "variant", extra=[*counts, F.max("agent_raw").alias("label")])
+    # by label too, as its maximum would make Spark sort all records before it sums them up
+    return pricing.folded(records.withColumnRenamed("agent_raw", "label"), *more, "grain", "host_id", "source", "agent_key", "variant", "label", extra=counts)
 
 
 def _numbered(sessions: DataFrame, known: DataFrame, so_far: int, path: str) -> int:
@@ -184,6 +185,8 @@ def _measured(sums: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
     added = (*TOKENS, "messages", "session_records")
     rows = sums.select(*keys, *added, "label", F.lit(0).cast("bigint").alias("sessions"))
     rows = rows.unionByName(counts.select(*keys, *(F.lit(0).cast("bigint").alias(c) for c in added), F.lit(None).cast("string").alias("label"), "sessions"))
+    # the maximum of labels is left for the few rows of these groups: with a string's maximum, Spark sorts what it groups
+    rows = rows.groupBy(*keys, "label").agg(*(F.sum(c).alias(c) for c in (*added, "sessions")))
     return rows.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*added, "sessions")), F.max("label").alias("agent_label"))
 
 

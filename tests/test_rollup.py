@@ -111,3 +111,11 @@ def test_a_session_of_a_quarter_takes_a_number(spark, tmp_path):
     assert 100 <= len(kept) <= 300  # a record's slot is that of its key
     assert all(len(v) < 100 for r in kept for v in r if isinstance(v, (str, bytearray)))
     assert rollup.summary(spark, folder, span).first().sessions == 50
+
+
+def test_records_are_summed_up_without_a_sort(spark, tmp_path):
+    """A maximum of strings is left for few rows: Spark would sort all records by all keys for it."""
+    folder, rng = str(tmp_path / "archive"), random.Random(3)
+    archive.publish(usage(spark, *records(rng, 20, 20)).coalesce(1), folder, 0)
+    held = rollup._grained(archive.archive(spark, folder))
+    assert "SortAggregate" not in rollup._sums(held)._jdf.queryExecution().executedPlan().toString()
