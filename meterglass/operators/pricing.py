@@ -88,16 +88,16 @@ def priced(usage: DataFrame, matches: DataFrame) -> DataFrame:
     return df.withColumns({"layer": layer, "amount": amount}).drop(*PRICES)
 
 
-def folded(usage: DataFrame, *keys: str, extra: list[Column] | None = None) -> DataFrame:
+def folded(usage: DataFrame, *keys: str, extra: list[Column] | None = None, records: Column | None = None) -> DataFrame:
     """Records summed up by keys and by all that decides what they cost: records, the five counters and own cost.
 
     Estimates are linear in tokens, so `priced` gives groups what it gives their records together; prices then meet few
-    rows, whatever the number of records.
+    rows, whatever the number of records. records: how many records a row stands for, if it is a group of them.
     """
     rows = usage.withColumns({"_trusted": X.is_trusted(), "_billed": X.is_billable()})
     sums = [F.sum(c).alias(c) for c in TOKENS]
     by = rows.groupBy(*keys, "provider_id", "model_id", "cost_source", "_trusted", "_billed")
-    return by.agg(F.count("*").alias("records"), *sums, F.sum(F.when(F.col("_trusted"), F.col("cost"))).alias("cost"), *(extra or [])).drop("_trusted", "_billed")
+    return by.agg((F.count("*") if records is None else F.sum(records)).alias("records"), *sums, F.sum(F.when(F.col("_trusted"), F.col("cost"))).alias("cost"), *(extra or [])).drop("_trusted", "_billed")
 
 
 def cost_columns(counted: Column, paid: Column | None = None, digits: int | None = 6, records: Column | None = None) -> list[Column]:

@@ -213,6 +213,10 @@ def trend_costs(spark: SparkSession, folder: str, catalog: DataFrame, span: C.Lo
     if not C.spine(spark, span, unit).where(F.pmod("bucket_start", F.lit(GRAIN)) != 0).isEmpty():
         held = {h["sums"]: h["path"] for h in _table(spark, (manifest(spark, folder, pointer=POINTER) or {}).get("held"), HELD).collect()}
         r = replace(r, sums=(), sessions=(), cut=(), plain=tuple({*r.plain, *r.cut, *(held[s] for s in r.sums)}))
-        rows = _outside(spark, r, **equal).withColumn("grain", F.col("time_created_utc"))
-        return reports.costs_of_groups(_sums(rows).withColumn("bucket_start", start), catalog, overrides)
-    return reports.costs_of_groups(groups(spark, r, **equal).withColumn("bucket_start", start), catalog, overrides)
+        rows = _sums(_outside(spark, r, **equal).withColumn("grain", F.col("time_created_utc")))
+    else:
+        rows = groups(spark, r, **equal)
+    # quarters are summed up to buckets before prices meet them
+    counts = [F.sum(c).alias(c) for c in ("messages", "session_records")]
+    rows = pricing.folded(rows.withColumn("bucket_start", start), "bucket_start", "source", "agent_key", "label", extra=counts, records=F.col("records"))
+    return reports.costs_of_groups(rows, catalog, overrides)

@@ -119,3 +119,15 @@ def test_records_are_summed_up_without_a_sort(spark, tmp_path):
     archive.publish(usage(spark, *records(rng, 20, 20)).coalesce(1), folder, 0)
     held = rollup._grained(archive.archive(spark, folder))
     assert "SortAggregate" not in rollup._sums(held)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prices_meet_buckets_not_quarters(spark, tmp_path, monkeypatch):
+    folder, met = str(tmp_path / "archive"), []
+    rows = [usage_row(message_id=f"m{i}", time_created_utc=START + i * rollup.GRAIN, cost=0.5 if i % 2 else None, cost_source="actual" if i % 2 else "unavailable") for i in range(96)]
+    archive.publish(usage(spark, *rows).coalesce(1), folder, 0)
+    rollup.refresh(spark, folder)
+    plain_costs = reports.costs_of_groups
+    monkeypatch.setattr(reports, "costs_of_groups", lambda groups, *a: met.append(groups) or plain_costs(groups, *a))
+    got = rollup.trend_costs(spark, folder, inputs.catalog(spark), LocalRange(date(2024, 1, 1), date(2024, 1, 2)), "day").where("dimension = 'total'").first()
+    assert met[0].count() == 2
+    assert (got.actual_sum, got.actual_count, got.unavailable_count) == (24.0, 48, 48)
