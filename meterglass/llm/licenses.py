@@ -2,8 +2,8 @@
 
 A multinomial logistic regression on words and pairs of words tells the licence families and an unknown class apart. Its
 margin over unknown must pass a cut calibrated on held-back unknown paragraphs, and a template of the family must then
-share enough of its word pairs with the paragraph. Paragraphs are single lines, and stretches of short adjoining lines,
-as notices are often wrapped.
+share enough of its word pairs with the paragraph. Paragraphs are single lines, and stretches of adjoining lines, as
+notices are often wrapped; what is long is taken in overlapping pieces that hold any template whole.
 """
 
 from __future__ import annotations
@@ -80,17 +80,20 @@ FEATURES = 1 << 14
 MOST_UNKNOWN = 3_000
 #: Words of a piece of corpus text that templates are put beside, and how many are put beside each.
 PIECE, TEMPLATES_A_PIECE = 9, 3
-#: Every notice has one of these strings, in whatever case; lines without them are plain.
-NOTICE = ("licen", "copyright", "redistribut", "permission", "creative commons", "warrant", "public domain", "compiled binary")
+#: So much of every template's pairs has a word with one of these strings, in whatever case, that what is left is less than
+#: CONFIRMED: a paragraph without them can't be a notice. Lines without them are plain.
+NOTICE = (
+    "licen", "copyright", "permission", "warrant", "gnu", "affero", "software", "compliance", "binary", "obtain", "distribut", "implied", "express", "modif", "permitted", "conditions", "retain", "bsd", "4.0",
+    "neighboring", "waived", "extent", "cc0", "eclipse", "accompanying", "materials", "merchantab", "purpose", "granted", "released", "lesser", "hereby", "mozilla", "subject", "2.0", "unencumbered", "domain", "compile",
+)
 #: Share of a template's pairs of neighbouring words that a paragraph must have for the template to confirm its family,
 #: and from which on a paragraph is no example of the unknown class.
 CONFIRMED, NEAR = 0.6, 0.35
 #: Chance of wrongly naming a family that the cut on the classifier's margin leaves to unknown paragraphs.
 WRONG = 0.001
-#: Characters of a line that may be part of a wrapped notice; lines of such a stretch before and after one of them.
-WRAPPED, BEFORE, AFTER = 120, 3, 6
 LINE = "\\r?\\n"
-#: Characters of lines that are taken whole; longer ones are taken in pieces of 2 * STEP words that overlap by STEP.
+#: Characters of lines that are taken whole; longer ones, and stretches of lines, are taken in pieces of 2 * STEP words
+#: that overlap by STEP, which is more words than any template has.
 LONG, STEP = 600, 40
 
 
@@ -120,14 +123,24 @@ def nearness(pairs: Column, family: Column | None = None) -> Column:
     return F.coalesce(F.array_max(F.transform(asked, lambda t: F.size(F.array_intersect(pairs, t["pairs"])) / F.size(t["pairs"]))), F.lit(0.0))
 
 
-def pieces_of(line: Column) -> Column:
-    """The line, or its overlapping pieces if it is long: features of thousands of words would drown each other."""
+def tokens_of(line: Column) -> Column:
+    """What stands between blanks, if it has a word; each is a word or more."""
+    return F.filter(F.split(line, "\\s+"), lambda w: w.rlike("[A-Za-z0-9]"))
+
+
+def slices(tokens: Column) -> Column:
+    """The tokens' overlapping pieces."""
 
     def cut(words: Column) -> Column:
         last = F.greatest(F.ceil(F.size(words) / STEP).cast("int") - 2, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * STEP + 1, 2 * STEP), " "))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(words, k * STEP + 1, 2 * STEP))
 
-    return F.when(F.length(line) <= LONG, F.array(line)).otherwise(F.transform(F.array(F.split(line, " ")), cut)[0])
+    return F.transform(F.array(tokens), cut)[0]  # in an array, so that tokens are made once and not for each piece
+
+
+def pieces_of(line: Column) -> Column:
+    """The line, or its overlapping pieces if it is long: features of thousands of words would drown each other."""
+    return F.when(F.length(line) <= LONG, F.array(line)).otherwise(F.transform(slices(tokens_of(line)), lambda words: F.array_join(words, " ")))
 
 
 def lines_of(docs: DataFrame, text: str) -> DataFrame:
@@ -135,36 +148,39 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(F.flatten(F.transform(F.split(F.col(text), LINE), pieces_of))).alias("paragraph")).where(F.trim("paragraph") != "")
 
 
+def stretches(text: Column) -> Column:
+    """Arrays of adjoining lines that aren't blank, each line with its number before it and a \\1 between."""
+    numbered = F.transform(F.split(text, LINE), lambda line, i: F.when(F.trim(line) == "", "").otherwise(F.concat(i.cast("string"), F.lit("\1"), line)))
+    return F.filter(F.transform(F.split(F.array_join(numbered, "\n"), "\n{2,}"), lambda s: F.trim(s, F.lit("\n"))), lambda s: s != "")
+
+
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, place, lines, piece, paragraph): what may hold a notice.
 
-    Lines with a string of NOTICE, or pieces of long ones, and wrapped stretches around the first of several such lines.
+    Lines with a string of NOTICE, or pieces of long ones, and pieces of stretches of lines that aren't blank. Nothing that
+    shares CONFIRMED of a template's pairs within STEP words is left out, however it is wrapped.
     """
-    docs = docs.select(F.col(key).alias("key"), F.split(F.col(text), LINE).alias("all")).where(has_any(F.col(text), NOTICE))
-    docs = docs.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: has_any(F.get("all", i), NOTICE)))
-
-    def short(line: Column) -> Column:
-        return (F.length(line) <= WRAPPED) & (F.trim(line) != "")
+    docs = docs.where(has_any(F.col(text), NOTICE)).select(F.col(key).alias("key"), F.explode(stretches(F.col(text))).alias("stretch"))
+    docs = docs.where(has_any(F.col("stretch"), NOTICE)).select("key", F.split("stretch", "\n").alias("all"))
+    docs = docs.select("key", F.transform("all", lambda x: F.transform(F.array(F.split(x, "\1", 2)), lambda y: F.struct(y[0].cast("int").alias("place"), y[1].alias("line")))[0]).alias("all"))
 
-    def run(lines: Column) -> Column:
-        """How many lines there are before the first that isn't short."""
-        broken = F.array_position(F.transform(lines, short), F.lit(False)).cast("int")
-        return F.when(broken > 0, broken - 1).otherwise(F.size(lines))
+    def alone(x: Column) -> Column:
+        return F.transform(pieces_of(x["line"]), lambda p, k: F.struct(x["place"].alias("place"), F.lit(1).alias("lines"), k.alias("piece"), p.alias("paragraph")))
 
-    def around(i: Column, k: Column) -> Column:
-        line, last = F.get("all", i), F.get("at", k - 1)
-        back = run(F.reverse(F.slice("all", F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE)))))
-        on = run(F.slice("all", i + 2, F.lit(AFTER)))
-        return F.struct(i.alias("place"), line.alias("line"), last.alias("last"), F.when(short(line), back).otherwise(0).alias("before"), F.when(short(line), on).otherwise(0).alias("after"))
+    def joined(words: Column) -> Column:
+        """Words with a blank, or the end of a line, between."""
+        gap = lambda w, k: F.when(k == 0, "").when(F.get(words, k - 1)["place"] < w["place"], "\n").otherwise(" ")
+        return F.array_join(F.transform(words, lambda w, k: F.concat(gap(w, k), w["word"])), "")
 
-    def units(x: Column) -> Column:
-        alone = F.transform(pieces_of(x["line"]), lambda p, k: F.struct(x["place"].alias("place"), F.lit(1).alias("lines"), k.alias("piece"), p.alias("paragraph")))
-        first, size = x["place"] - x["before"], x["before"] + x["after"] + 1
-        stretch = F.struct(first.alias("place"), size.alias("lines"), F.lit(0).alias("piece"), F.array_join(F.slice("all", first + 1, size), "\n").alias("paragraph"))
-        return F.when((size > 1) & (x["last"].isNull() | (x["last"] < first)), F.concat(alone, F.array(stretch))).otherwise(alone)
+    def together(words: Column) -> Column:
+        first = F.get(words, F.lit(0))["place"]
+        return F.struct(first.alias("place"), (F.element_at(words, -1)["place"] - first + 1).alias("lines"), F.lit(0).alias("piece"), joined(words).alias("paragraph"))
 
-    found = F.flatten(F.transform(F.transform("at", around), units))
-    return docs.select("key", F.explode(found).alias("x")).select("key", "x.*").where(has_any(F.col("paragraph"), NOTICE))
+    words = F.flatten(F.transform("all", lambda x: F.transform(tokens_of(x["line"]), lambda w: F.struct(x["place"].alias("place"), w.alias("word")))))
+    several = F.filter(slices(words), lambda w: (F.size(w) > 0) & (F.element_at(w, -1)["place"] > F.get(w, F.lit(0))["place"]))
+    units = F.flatten(F.transform(F.filter("all", lambda x: has_any(x["line"], NOTICE)), alone))
+    units = F.when(F.size("all") > 1, F.concat(units, F.transform(several, together))).otherwise(units)
+    return docs.select("key", F.explode(units).alias("x")).select("key", "x.*").where(has_any(F.col("paragraph"), NOTICE))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -239,11 +255,35 @@ def confirmed(family: Column) -> Column:
     return nearness(F.col("_pairs"), family) >= CONFIRMED
 
 
+def nearness_by_family() -> Column:
+    """The nearness of a row's pairs to each family."""
+    share = lambda p: F.size(F.array_intersect("_pairs", p)) / F.size(p)
+    most = {f: F.array_max(F.transform(F.array(*(F.array(*map(F.lit, template_pairs(t))) for t in many)), share)) for f, many in TEMPLATES.items()}
+    return F.create_map(*(x for f, n in most.items() for x in (F.lit(f), n)))
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """Notices without lines and stretches of unlike families that are one notice; drops _near.
+
+    Where a line is as near to the family of a stretch around it, it is but a part of that. Where the line alone would
+    confirm the stretch's family, and is nearer to its own, the stretch is only what stands around the line.
+    """
+    names = ("key", "place", "lines", "piece", "family")
+    around = found.where("lines > 1").select(*(F.col(c).alias(f"s_{c}") for c in names), F.explode(F.expr("sequence(place, place + lines - 1)")).alias("at"))
+    line = found.where("lines = 1").select(*(F.col(c).alias(f"l_{c}") for c in names), "_near")
+    met = around.join(line, F.col("s_key").eqNullSafe(F.col("l_key")) & (F.col("at") == F.col("l_place")) & (F.col("s_family") != F.col("l_family")))
+    there, own = F.element_at("_near", F.col("s_family")), F.element_at("_near", F.col("l_family"))
+    part = F.when(there >= own, "l").when(there >= CONFIRMED, "s")
+    lost = common.cut(met.select(*(F.when(part == "l", F.col(f"l_{c}")).otherwise(F.col(f"s_{c}")).alias(f"x_{c}") for c in names), part.alias("_part")).where("_part is not null").distinct())
+    same = [F.col("key").eqNullSafe(F.col("x_key")), *(F.col(c) == F.col(f"x_{c}") for c in names[1:])]
+    return found.drop("_near").join(lost, reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, place, lines, paragraph, family, margin) of each paragraph that the classifier and a template call a notice.
 
     place: number of its first line, from 0; lines: how many there are. A wrapped stretch counts only where no line of
-    it is a notice of its own; what overlaps and is of one family is given once. Null and empty texts have no
+    it is a notice of its family by itself, see also `settled`; what overlaps and is of one family is given once. Null and empty texts have no
     paragraphs. Rows of a repeated key are all scanned; a notice at the same lines of both is given once. An empty table
     gives an empty result; a corpus without a plain line is judged by the fixed examples of the unknown class alone.
     """
@@ -253,13 +293,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return likely.select(F.col("key").alias(key), "place", "lines", "paragraph", F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("margin"))
     model, cut = fit(lines_of(docs, text))
     # and again: the comparison would otherwise ask the classifier anew for every template
-    found = common.cut(confidence(model, likely).where(F.col("margin") > cut)).where(confirmed(F.col("family"))).drop("_pairs")
-    ahead = Window.partitionBy("key").orderBy("place").rangeBetween(0, BEFORE + AFTER)
-    own = F.exists(F.collect_set(F.when(F.col("lines") == 1, F.col("place"))).over(ahead), lambda p: p < F.col("place") + F.col("lines"))
-    found = found.withColumn("_own", own).where("lines = 1 or not _own").drop("_own")
-    before = F.lag(F.struct("family", "place", "lines", "piece")).over(Window.partitionBy("key").orderBy("place", "lines", "piece"))
-    again = F.when(F.col("lines") > 1, (F.col("_b.lines") > 1) & (F.col("_b.place") + F.col("_b.lines") > F.col("place"))).otherwise((F.col("_b.place") == F.col("place")) & (F.col("_b.piece") == F.col("piece") - 1))
-    found = found.withColumn("_b", before).where(~F.coalesce(again & (F.col("_b.family") == F.col("family")), F.lit(False)))
+    found = common.cut(confidence(model, likely).where(F.col("margin") > cut)).where(confirmed(F.col("family"))).withColumn("_near", nearness_by_family()).drop("_pairs")
+    # the next line from here on that is a notice by itself
+    ahead = Window.partitionBy("key", "family").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.min(F.when(F.col("lines") == 1, F.col("place"))).over(ahead) < F.col("place") + F.col("lines")
+    found = settled(common.cut(found.withColumn("_own", F.coalesce(own, F.lit(False))).where("lines = 1 or not _own").drop("_own")))
+    before = F.lag(F.struct("place", "lines", "piece")).over(Window.partitionBy("key", "family", F.col("lines") > 1).orderBy("place", "lines", "piece"))
+    again = F.when(F.col("lines") > 1, F.col("_b.place") + F.col("_b.lines") > F.col("place")).otherwise((F.col("_b.place") == F.col("place")) & (F.col("_b.piece") == F.col("piece") - 1))
+    found = found.withColumn("_b", before).where(~F.coalesce(again, F.lit(False)))
     return found.select(F.col("key").alias(key), "place", "lines", "paragraph", "family", "margin")
 
 

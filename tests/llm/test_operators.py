@@ -374,6 +374,32 @@ def test_license_margins_and_confirmation_in_plain_python(spark):
     assert cut >= 0
 
 
+def test_every_paragraph_near_a_template_is_a_candidate(spark):
+    """What has no string of NOTICE shares less than CONFIRMED of any template's pairs; wrapping hides nothing."""
+    for t in [t for many in licenses.TEMPLATES.values() for t in many]:
+        pairs = licenses.template_pairs(t)
+        left = [p for p in pairs if not any(n in w for w in p.split() for n in licenses.NOTICE)]
+        assert len(left) < licenses.CONFIRMED * len(pairs), t
+        assert len(plain_words(t)) <= licenses.STEP + 1
+    rng = random.Random(26)
+    permission, warranty, redistribution = licenses.TEMPLATES["mit"][2], licenses.TEMPLATES["gpl"][2], licenses.TEMPLATES["bsd"][0]
+    texts = [
+        "Released under the MIT", "Dedicated to the Public  Domain\tunder CC0 1.0",
+        "\n".join(textwrap.wrap(permission, 13)),  # more lines than any bound on lines
+        "\n".join(f" * {x}" for x in textwrap.wrap(warranty, 13)),
+        "\r\n".join(textwrap.wrap(warranty, 130)),  # long lines, neither of which is enough
+        made_up(rng, 30) + " license\n" + "\n".join(made_up(rng, 7) for _ in range(12)) + "\n" + "\n".join(textwrap.wrap(permission, 30)),  # far from the first line of talk
+        f"{made_up(rng, 30)} - {redistribution} {made_up(rng, 100)}".replace(" ", "  -  "),  # blanks and signs are no words
+    ]
+    docs = frame(spark, texts + [made_up(rng, 40) for _ in range(100)])
+    best = licenses.candidates(docs, "doc_id", "text").withColumn("p", licenses.pairs_of(licenses.words_of(F.col("paragraph")))).groupBy("key").agg(F.max(licenses.nearness(F.col("p"))).alias("n"))
+    near = {r.key: r.n for r in best.collect()}
+    assert [i for i in range(len(texts)) if near.get(i, 0) < licenses.CONFIRMED] == []
+    got = {r.doc_id: (r.licences, r.n_notices) for r in licenses.summary(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [("mit", 1), ("cc0", 1), ("mit", 1), ("gpl", 1), ("gpl", 1), ("mit", 1), ("bsd", 1)]
+    assert all(got[i] == ("", 0) for i in range(len(texts), len(got)))
+
+
 def test_copies_of_a_line_take_no_places_of_the_unknown_class(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MOST_UNKNOWN", 100)
     rng = random.Random(7)
